@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, sharding
+from tessera.llm import mixing, quality, sharding
 
 QUERIES = {
+    "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
     "op8_lpt_shards": sharding.op8_lpt_shards,
     "op9_water_filling_mix": mixing.op9_water_filling_mix,
 }
