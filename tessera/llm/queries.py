@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, linededup, mixing, quality, sharding
+from tessera.llm import decontaminate, html, linededup, mixing, quality, sharding
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
     "op3_simhash_decontamination": decontaminate.op3_simhash_decontamination,
+    "op4_consensus_html_text": html.op4_consensus_html_text,
     "op7_cuckoo_line_dedup": linededup.op7_cuckoo_line_dedup,
     "op8_lpt_shards": sharding.op8_lpt_shards,
     "op9_water_filling_mix": mixing.op9_water_filling_mix,
