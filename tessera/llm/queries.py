@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, embedding_dedup, html, linededup, mixing, ngram_join, quality, sharding
+from tessera.llm import decontaminate, embedding_dedup, html, linededup, mixing, ngram_join, quality, sharding, suffix_tree
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1_rule_ensemble_quality,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_cuckoo_line_dedup": linededup.op7_cuckoo_line_dedup,
     "op8_lpt_shards": sharding.op8_lpt_shards,
     "op9_water_filling_mix": mixing.op9_water_filling_mix,
+    "op10_suffix_tree_scores": suffix_tree.op10_suffix_tree_scores,
 }
 SQL = {"op7_cuckoo_line_dedup": linededup.SQL, "op9_water_filling_mix": mixing.SQL}
