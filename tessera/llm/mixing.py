@@ -43,9 +43,12 @@ def targets(sources: DataFrame, max_epochs: float = 3, budget: float = 1.0, weig
     return s.select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("weight") * F.col("water")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, max_epochs: float = 3, budget: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, max_epochs: float = 3, budget: float = 1.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target and the words taken of it.
 
+    With ``keep`` it returns these input columns and ``__repeats`` instead, from another reading
+    of ``docs`` rather than by a join.
+
     With r = target / source_size, every document is taken floor(r) times; the rest of the target
     is filled with documents in the order of their seeded hash, up to the one whose middle passes
     it, so that a source's words differ from its target by at most half a document. ``taken`` is
@@ -56,8 +59,10 @@ def mix(docs: DataFrame, max_epochs: float = 3, budget: float = 1.0, seed: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
-    rows = scratch.save(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), key.alias("key")))
-    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    own = [F.col(f"`{c}`").alias(f"__in_{c}") for c in keep or []]
+    narrow = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), key.alias("key")]
+    bucket = F.conv(F.substring("key", 1, 3), 16, 10).cast("int")
+    rows = scratch.save(docs.select(*narrow)).withColumn("bucket", bucket)
     summed = scratch.save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")))
     plan = targets(summed.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, budget)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -70,6 +75,8 @@ def mix(docs: DataFrame, max_epochs: float = 3, budget: float = 1.0, seed: str =
     cut = reached.groupBy("p.no").agg(F.min(F.struct("bucket", (F.col("sum_to") - F.col("words")).alias("before"))).alias("cut")).select("no", "cut.bucket", "cut.before")
     plan = scratch.save(plan.join(cut.withColumnsRenamed({"bucket": "cut_bucket", "before": "cut_before"}), "no", "left"))
     sized = F.broadcast(plan) if small else plan
+    if keep:
+        rows = docs.select(*own, *narrow).withColumn("bucket", bucket)
     joined = rows.alias("r").join(sized.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "p.source_size", "p.target", "p.whole", "p.need", "p.no", "p.cut_bucket", "p.cut_before")
     at_cut = F.col("bucket").eqNullSafe(F.col("cut_bucket"))
     clear = joined.where(~at_cut).withColumn("extra", F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.lit(False)))
@@ -77,6 +84,8 @@ def mix(docs: DataFrame, max_epochs: float = 3, budget: float = 1.0, seed: str =
     edge = joined.where(at_cut).withColumn("extra", 2 * running - F.col("size") <= 2 * F.col("need"))
     both = clear.unionByName(edge)
     repeats = F.col("whole") + F.when(F.col("extra") & (F.col("need") > 0), 1).otherwise(0)
+    if keep:
+        return both.select(*(F.col(f"`__in_{c}`").alias(c) for c in keep), repeats.alias("__repeats"))
     return both.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 
