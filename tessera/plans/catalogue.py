@@ -339,7 +339,7 @@ on_shops("filters_predicate", "length(a) = 3", fl.Where("a", fl.Predicate(lambda
 
 # --- tables, joins, columns ------------------------------------------------------------------------------------
 
-on_cube("drillthrough_rows", "SELECT l_orderkey, l_linenumber, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity_2 FROM lineitem WHERE l_orderkey < 200", "quantity", "returned", forest=(RETURNED,), group_by=("l_orderkey", "l_linenumber"), filter=fl.compare("l_orderkey", "<", 200), options=("DRILLTHROUGH",))
+on_cube("drillthrough_rows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity_2 FROM lineitem WHERE l_orderkey < 200", "quantity", "returned", forest=(RETURNED,), group_by=("l_orderkey", "l_linenumber"), filter=fl.compare("l_orderkey", "<", 200), options=("DRILLTHROUGH",))
 
 
 @query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
@@ -407,7 +407,7 @@ def grouping_sets_multi(spark, d):
     return grouping_sets(tpch(spark, d), ["quantity"], [("l_returnflag",), ("l_linestatus",), ("l_returnflag", "l_linestatus"), ()])
 
 
-@query("SELECT l_returnflag, l_linestatus, avg(l_discount) AS avg_discount, grouping(l_returnflag) AS grouping_l_returnflag, grouping(l_linestatus) AS grouping_l_linestatus FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query("SELECT l_returnflag, l_linestatus, avg(l_discount) AS avg_discount, grouping(l_returnflag)::INT AS grouping_l_returnflag, grouping(l_linestatus)::INT AS grouping_l_linestatus FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup_with_markers(spark, d):
     from tessera.plans.sets import grouping_sets, rollup
 

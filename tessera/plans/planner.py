@@ -240,11 +240,11 @@ class Planner:
             df = self.nothing(g)
             return df.select(*(F.col(f"`{c}`") for c in g), *(F.lit(None).cast("double").alias(n) for n in names)), names
         out = frame.df.select(*(F.col(f"`{c}`") for c in g), *(v.column.alias(f"__m{i}") for i, v in enumerate(found)))
-        empties = [n for n in nodes if isinstance(n, Leaf) and n.empty]
         if g:
             out = out.where(present([F.col(f"__m{i}") for i in range(len(found))]))
-        shown = [F.col(f"__m{i}") if not (isinstance(n, Leaf) and n.empty) else F.lit(None).cast("double") for i, n in enumerate(nodes)]
-        del empties
+        # neither a measure without value nor one that only materialises slices has a type of its own
+        none = [v.frame is None or isinstance(n, Leaf) and n.empty for v, n in zip(found, nodes, strict=True)]
+        shown = [F.lit(None).cast("double") if x else F.col(f"__m{i}") for i, x in enumerate(none)]
         return out.select(*(F.col(f"`{c}`") for c in g), *(c.alias(n) for c, n in zip(shown, names, strict=False))), names
 
     def nothing(self, g: tuple[str, ...]) -> DataFrame:
@@ -355,7 +355,7 @@ class Planner:
     def states(self, g: tuple[str, ...], leaves: list[Leaf]) -> tuple[DataFrame, dict[int, list[str]]]:
         shared = fl.common([x.filter for x in leaves])
         needed = [c for c in g if self.known(c)]
-        needed += [c for c in fl.and_(shared, *[]).columns()] + [c for x in leaves for c in x.filter.columns()]
+        needed += [c for x in leaves for c in sorted(x.filter.columns())]
         for x in leaves:
             needed += self.table.in_sql(x.column) if x.agg.opaque else [x.column] if x.column != "*" else []
         for x in leaves:
