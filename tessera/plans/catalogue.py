@@ -246,7 +246,7 @@ def ratio_over_current(spark, d):
 
 on_cube(
     "dispatchor_linear",
-    "SELECT bound, sum(v) AS x FROM (SELECT 1.0 AS bound, CASE WHEN l_quantity = 1 THEN q WHEN l_quantity = 50 THEN NULL ELSE q * (l_quantity - 1) / 49 END AS v FROM (SELECT l_quantity, sum(l_extendedprice) AS q FROM lineitem GROUP BY 1) UNION ALL SELECT 50.0, CASE WHEN l_quantity = 1 THEN NULL WHEN l_quantity = 50 THEN q ELSE q - q * (l_quantity - 1) / 49 END FROM (SELECT l_quantity, sum(l_extendedprice) AS q FROM lineitem GROUP BY 1)) GROUP BY 1",
+    "SELECT bound, sum(v) AS x FROM (SELECT 1.0::DOUBLE AS bound, CASE WHEN l_quantity = 1 THEN q WHEN l_quantity = 50 THEN NULL ELSE q * (l_quantity - 1) / 49 END AS v FROM (SELECT l_quantity, sum(l_extendedprice) AS q FROM lineitem GROUP BY 1) UNION ALL SELECT 50.0::DOUBLE, CASE WHEN l_quantity = 1 THEN NULL WHEN l_quantity = 50 THEN q ELSE q - q * (l_quantity - 1) / 49 END FROM (SELECT l_quantity, sum(l_extendedprice) AS q FROM lineitem GROUP BY 1)) GROUP BY 1",
     "x", forest=(ms.sum_("l_extendedprice", "price"), ms.Dispatchor("x", "price", dc.Linear("l_quantity", "bound", 1, 50))), group_by=("bound",),
 )
 GROUPS = {"ASIA": ["east", "all"], "EUROPE": ["west", "all"], "AMERICA": ["west", "all"]}

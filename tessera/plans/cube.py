@@ -222,11 +222,8 @@ class SubMeasure(ms.Measure):
     tags: frozenset[str] = frozenset()
 
     def build(self, planner: Planner, s: Any):
-        agg = aggregation(self.aggregation)
-        if isinstance(planner.table, Composite):
-            own = planner.table.carrier(self.name)
-            agg = own if own is not None else agg
-        return Leaf(s.group_by, agg, self.name, s.filter, self)
+        own = planner.table.carrier(self.name) if isinstance(planner.table, Composite) else None
+        return Leaf(s.group_by, own if own is not None else aggregation(self.aggregation), self.name, s.filter, self)
 
 
 @dataclass

@@ -154,16 +154,22 @@ class Forest:
         def hide(x: str) -> str:
             return x if x == "*" else "h" + hashlib.sha256(f"{salt}:{x}".encode()).hexdigest()[:12]
 
+        def matcher_of(m: fl.Matcher) -> fl.Matcher:
+            if isinstance(m, fl.Equals):
+                return fl.Equals(hide(str(m.operand)))
+            if isinstance(m, fl.In):
+                return fl.In(tuple(hide(str(v)) for v in m.operands))
+            if isinstance(m, (fl.AnyOf, fl.AllOf)):
+                return type(m)(tuple(map(matcher_of, m.of)))
+            if isinstance(m, fl.NotMatcher):
+                return fl.NotMatcher(matcher_of(m.of))
+            if isinstance(m, fl.IsNull):
+                return m
+            raise ValueError(f"cannot conceal {m!r}")
+
         def filter_of(f: fl.Filter) -> fl.Filter:
             if isinstance(f, fl.Where):
-                m = f.matcher
-                if isinstance(m, fl.Equals):
-                    m = fl.Equals(hide(str(m.operand)))
-                elif isinstance(m, fl.In):
-                    m = fl.In(tuple(hide(str(v)) for v in m.operands))
-                elif not isinstance(m, fl.IsNull):
-                    raise ValueError(f"cannot conceal {m!r}")
-                return fl.Where(hide(f.column), m, f.null_if_absent)
+                return fl.Where(hide(f.column), matcher_of(f.matcher), f.null_if_absent)
             if isinstance(f, (fl.And, fl.Or)):
                 return (fl.and_ if isinstance(f, fl.And) else fl.or_)(*map(filter_of, f.of))
             return fl.not_(filter_of(f.of)) if isinstance(f, fl.Not) else f

@@ -125,6 +125,8 @@ class Planner:
         self.counter = itertools.count()
         self.uses: dict[int, int] = {}
         self.log: list[str] = []
+        self.pending: dict[tuple, tuple[Frame, tuple[str, ...], list]] = {}
+        self.registered: set[int] = set()
 
     # --- measures to nodes ---------------------------------------------------------------------
 
@@ -233,6 +235,10 @@ class Planner:
             nodes = [self.slices(f, g)]
         self.count_uses(nodes)
         self.leaves(nodes)
+        # aggregations straight over a scan's frame share it with the coarser leaves made of it
+        for n in list(self.steps.values()):
+            if isinstance(n, Again) and id(n) in self.uses and id(n) not in self.registered and self.ready(n.of):
+                self.register(n)
         found = [self.value(n) for n in nodes]
         frame = self.join([v.frame for v in found if v.frame is not None], g)
         names = [m if isinstance(m, str) else m.name for m in measures]
@@ -319,12 +325,6 @@ class Planner:
         for leaves in by_target.values():
             self.pending.setdefault((id(frame), frozenset(leaves[0].group_by)), (frame, leaves[0].group_by, []))[2].extend((leaf, leaf.agg, columns[id(leaf)]) for leaf in leaves)
 
-    @property
-    def pending(self) -> dict:
-        if not hasattr(self, "_pending"):
-            self._pending: dict = {}
-        return self._pending
-
     def base(self, names: list[str]) -> DataFrame:
         """The table's columns of these names, also those that the query itself defines."""
         stored = [n for n in names if n not in self.extra]
@@ -443,29 +443,24 @@ class Planner:
                 made = F.col(name)
             return Value(frame, made)
         if isinstance(n, Again):
-            child = self.value(n.of)
-            if child.frame is None:
-                return Value(None, F.lit(None))
-            # with others that go from this frame to this grouping
-            mates = [x for x in self.all_again if x.group_by == n.group_by and id(x) not in self.values]
-            for x in [n, *(m for m in mates if m is not n)]:
-                v = self.value(x.of) if x is n or self.ready(x.of) else None
-                if v is None or v.frame is None or v.frame is not child.frame:
-                    continue
-                name = f"__v{next(self.counter)}"
-                v.frame.df, v.frame.version = v.frame.df.withColumn(name, v.column), v.frame.version + 1
-                self.pending.setdefault((id(v.frame), frozenset(n.group_by)), (v.frame, n.group_by, []))[2].append((x, x.agg, name))
+            if id(n) not in self.registered:
+                self.register(n)
             self.settle(n.group_by, lambda x: x is n)
             return self.values[id(n)]
         if isinstance(n, Spread):
             return self.spread(n)
         return self.shifted(n)
 
-    @property
-    def all_again(self) -> list[Again]:
-        if not hasattr(self, "_again"):
-            self._again = [x for x in self.steps.values() if isinstance(x, Again)]
-        return self._again
+    def register(self, n: Again) -> None:
+        """Put an aggregation of a finer frame among the pending ones."""
+        self.registered.add(id(n))
+        v = self.value(n.of)
+        if v.frame is None:
+            self.values[id(n)] = Value(None, F.lit(None))
+            return
+        name = f"__v{next(self.counter)}"
+        v.frame.df, v.frame.version = v.frame.df.withColumn(name, v.column), v.frame.version + 1
+        self.pending.setdefault((id(v.frame), frozenset(n.group_by)), (v.frame, n.group_by, []))[2].append((n, n.agg, name))
 
     def ready(self, n: Node) -> bool:
         """Whether a node is made of leaves and formulas alone, so that evaluating it now settles nothing else."""
