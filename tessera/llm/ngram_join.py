@@ -6,7 +6,10 @@ share, have a shingle in common. The order here puts rare shingles first, as far
 all documents' shingle counts tells, so that common passages join documents only where little
 else is in them; a bad estimate costs time, never a link. Each shared prefix shingle has its least
 document as leader, and a document belongs to the blocks of the leaders of its prefix. Every
-linked pair meets in a block. Within a block overlap counts are accumulated over the n-grams, pairs
+linked pair meets in a block. First only parity sketches of the sets travel: the bits in which two
+sketches differ are at most the shingles in which the sets differ, so what has no partner within
+the bound of its size leaves the block for good. Then the texts of the others follow. Within a
+block overlap counts are accumulated over the n-grams, pairs
 below the bound that their sizes give are discarded, and the links leave as a spanning forest.
 
 Documents with equal sets are one row. A block beyond the bounds is cut in chunks, each with the
@@ -35,6 +38,8 @@ CHUNK_ROWS = 1500
 CHUNK_SHINGLES = 2_000_000
 #: The (document, block) table is broadcast up to so many rows (24 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bits of the longest sketch.
+MOST_BITS = 1 << 16
 #: Shingles held by at least so many documents of a block are multiplied densely, in column blocks.
 DENSE = 24
 COLUMNS = 2048
@@ -43,25 +48,28 @@ COLUMNS = 2048
 def _profile(docs: DataFrame) -> DataFrame:
     """Per document: set size and digest; per task: the counters of its shingles, in parts."""
 
+    names = ["doc_id", "n", "d1", "d2", "sketch", "part", "cells"]
+
     def run(batches):
         cells = np.zeros(CELLS, np.uint32)
         for b in batches:
-            ids, sizes, d1, d2 = W.ids(b.column(0)), [], [], []
+            ids, sizes, d1, d2, sketches = W.ids(b.column(0)), [], [], [], []
             for s in W.shingle_sets(b.column(1)):
                 cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32) if len(s) > 50_000 else 0
                 if len(s) <= 50_000:
                     cells[(s & np.uint64(CELLS - 1)).astype(np.int64)] += np.uint32(1)
                 sizes.append(len(s))
+                sketches.append(sketch(s))
                 d1.append(int(W.mix(s + np.uint64(1)).sum(dtype=np.uint64)))
                 d2.append(int(W.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
             n = len(ids)
             digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d1, d2)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), *digests, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "d1", "d2", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), *digests, pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = [i for i in range(CELLS // PART) if cells[i * PART : (i + 1) * PART].any()]
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(parts, pa.int32()), pa.array([cells[i * PART : (i + 1) * PART].tobytes() for i in parts], pa.binary())], names=["doc_id", "n", "d1", "d2", "part", "cells"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(parts), pa.binary()), pa.array(parts, pa.int32()), pa.array([cells[i * PART : (i + 1) * PART].tobytes() for i in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, part int, cells binary")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, part int, cells binary")
 
 
 def _levels(profile: DataFrame) -> np.ndarray:
@@ -90,6 +98,79 @@ def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return s[np.argsort((level << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[: n - (4 * n + 4) // 5 + 1]]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each bit whether an odd number of shingles falls on it; about twice as many bits as shingles."""
+    if not len(s):
+        return b""
+    bits = 64
+    while bits < min(2 * len(s), MOST_BITS):
+        bits *= 2
+    odd = np.bincount(((s >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def partnered(sizes: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Whether each set may link with another: the sizes allow it, and the sketches differ in few enough bits.
+
+    Sets at 80 % differ in at most a ninth of their sizes' sum. Half of a sketch on the other half
+    gives the sketch of half the length, as sets of a quarter more shingles may have.
+    """
+    out = np.zeros(len(sizes), bool)
+    bits = np.array([len(x) for x in sketches])
+    for length in np.unique(bits):
+        own = np.flatnonzero(bits == length)
+        twice = np.flatnonzero(bits == 2 * length)
+        all_ = np.concatenate([own, twice])
+        if len(all_) < 2:
+            continue
+        x = np.zeros((len(all_), length // 8), np.uint64)
+        for k, i in enumerate(all_):
+            words = np.frombuffer(sketches[i], np.uint64)
+            x[k] = words if k < len(own) else words[: length // 8] ^ words[length // 8 :]
+        n = sizes[all_]
+        for k in range(len(own)):
+            fits = (5 * np.minimum(n, n[k]) >= 4 * np.maximum(n, n[k])).nonzero()[0]
+            fits = fits[fits > k]
+            near = fits[9 * np.bitwise_count(x[fits] ^ x[k]).sum(1, dtype=np.int64) <= n[fits] + n[k]]
+            if len(near):
+                out[all_[k]] = True
+                out[all_[near]] = True
+    return out
+
+
+def _partnered(rows: DataFrame) -> DataFrame:
+    """Of (block, x, y, doc_id, n, sketch) rows those with a possible partner in their block, without sketch."""
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            if len(held) > 1:
+                keep = partnered(np.array([n for _, n, _ in held], np.int64), [s for _, _, s in held])
+                for (doc, _, _), k in zip(held, keep, strict=True):
+                    if k:
+                        yield (*key, doc)
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["block", "x", "y", "doc_id"])
+
+        for b in batches:
+            out = []
+            for block, x, y, doc, n, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (block, x, y) != key:
+                    out += done()
+                    key, held = (block, x, y), []
+                held.append((doc, n, bits))
+            if out:
+                yield batch(out)
+        out = list(done())
+        if out:
+            yield batch(out)
+
+    ordered = rows.select("block", "x", "y", "doc_id", "n", "sketch").repartition("block", "x", "y").sortWithinPartitions("block", "x", "y", "doc_id")
+    return ordered.mapInArrow(run, "block long, x int, y int, doc_id long")
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """The product of the incidence matrix with its transpose: overlap counts of all pairs."""
     m = len(sets)
@@ -176,6 +257,7 @@ def _linked(rows: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (block, x, y, doc_id) with their texts."""
+    members = members.distinct()
     side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     return docs.join(side, "doc_id").select("block", "x", "y", "doc_id", "text")
 
@@ -194,6 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = scratch.save(_profile(known))
     levels = spark.sparkContext.broadcast(_levels(profile))
     sizes = profile.where("part is null").select("doc_id", "n", "d1", "d2")
+    sketches = profile.where("n > 0").select("doc_id", "n", "sketch")
     classes = scratch.save(sizes.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")))
 
     def prefixes(batches):
@@ -218,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
     first = dealt.select("block", F.explode(F.when(F.col("doc_id") == F.col("block"), everywhere).otherwise(F.array(own))).alias("x"), F.lit(0).alias("y"), "doc_id")
-    edges = scratch.save(_linked(_texts(known, scratch.save(first))))
+    edges = scratch.save(_linked(_texts(known, scratch.save(_partnered(first.join(sketches, "doc_id"))))))
     parts = components(edges, scratch)
     # Second round: in blocks of several chunks, what is not connected to the leader meets every chunk.
     cut = dealt.where("chunks > 1")
@@ -231,7 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         every_rest = F.sequence(F.lit(0), F.col("rests") - 1)
         whole = c.select("block", own.alias("x"), F.explode(every_rest).alias("y"), "doc_id")
         rest = c.where("rest").select("block", F.explode(everywhere).alias("x"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("rests")).cast("int").alias("y"), "doc_id")
-        more = scratch.save(_linked(_texts(known, scratch.save(whole.unionByName(rest).distinct()))))
+        both = whole.unionByName(rest).distinct()
+        more = scratch.save(_linked(_texts(known, scratch.save(_partnered(both.join(sketches, "doc_id"))))))
         edges = edges.unionByName(more)
         parts = components(edges, scratch)
     parts = scratch.save(parts)
