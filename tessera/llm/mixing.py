@@ -38,8 +38,8 @@ def targets(sources: DataFrame, max_epochs: float = 3, budget: float = 1.0, weig
     total = F.sum("source_size").over(every).cast("double") * F.lit(float(budget))
     s = s.withColumn("caps_before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("weights_left", F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    s = s.withColumn("level", (total - F.col("caps_before")) / F.col("weights_left"))
-    s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(every)["level"])
+    s = s.withColumn("level", (total - F.col("caps_before")) / F.col("weights_left")).withColumn("no", F.row_number().over(by_ratio))
+    s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("no", "level"))).over(every)["level"])
     return s.select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("weight") * F.col("water")), F.col("cap")).alias("target"))
 
 
@@ -104,8 +104,9 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-         / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-water AS (SELECT min_by(level, ratio) AS water FROM l WHERE level <= ratio),
+         / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER (ORDER BY ratio, source NULLS LAST) AS no FROM r),
+water AS (SELECT min_by(level, no) AS water FROM l WHERE level <= ratio),
 t AS (SELECT source, source_size, coalesce(least(cap, weight * water), cap) AS target FROM l LEFT JOIN water ON true),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 c AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS need,

@@ -49,7 +49,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "sharding")
     text = F.col(f"`{text_col}`")
     rows = docs.select(
-        *(F.col(f"`{c}`") for c in keep),
+        *(F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)),
         F.col(f"`{id_col}`").alias("__id"),
         (text_bytes(text) + 16).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
@@ -76,7 +76,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     starts = placed.groupBy("shard", "__block").agg(F.count(F.lit(1)).alias("__n")).select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("shard", "__block").orderBy("__id", "__g1", "__g2")
     return placed.join(F.broadcast(starts), ["shard", "__block"]).select(
-        *(F.col(f"`{c}`") for c in keep),
+        *(F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)),
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
