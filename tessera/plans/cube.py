@@ -85,6 +85,8 @@ class Cube:
             return self._cached[key]
         planner = self.planner(q)
         g = tuple(planner.name_of(c) for c in q.group_by)
+        if "AGGREGATION_CARRIERS_STAY_WRAPPED" in q.options:
+            return self.carriers(planner, q, g)
         out, _ = planner.compile(list(q.measures), q.filter, g, q.marker)
         out = out.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in out.columns))
         if q.top is not None:
@@ -99,6 +101,25 @@ class Cube:
             out = self._cached[key] = out.persist()
         return out
 
+    def carriers(self, planner: Planner, q: CubeQuery, g: tuple[str, ...]) -> DataFrame:
+        """The states of aggregators in place of their values, as ``name#0``, ``name#1``, ...; others as values."""
+        nodes = {(m if isinstance(m, str) else m.name): planner.node(m, q.filter, g, q.marker) for m in q.measures}
+        wrapped = {m: n for m, n in nodes.items() if isinstance(n, Leaf) and not n.agg.opaque and not n.empty}
+        if len(wrapped) < len(nodes):
+            raise ValueError(f"no state to give for {sorted(set(nodes) - set(wrapped))}")
+        df, columns = (self.table if hasattr(self.table, "states") else planner).states(*([planner] if hasattr(self.table, "states") else []), g, list(wrapped.values()))
+        return df.select(*(F.col(f"`{c}`") for c in g), *(F.col(c).alias(f"{m}#{i}") for m, n in wrapped.items() for i, c in enumerate(columns[id(n)])))
+
+    def sql(self, text: str) -> DataFrame:
+        """Spark SQL over the cube's table under the cube's name; only the joins of the columns that it speaks of are made."""
+        self.table.frame(self.table.in_sql(text)).createOrReplaceTempView(self.name)
+        return self.spark.sql(text)
+
+    def statistics(self, column: str, top: int = 100) -> DataFrame:
+        """About how many values a column has, and its most frequent ones with their counts, in one pass."""
+        df = self.table.frame([column]).select(F.col(f"`{column}`").alias("c"))
+        return df.agg(F.approx_count_distinct("c").alias("cardinality"), F.expr(f"approx_top_k(c, {int(top)})").alias("top"))
+
     def execute_async(self, q: CubeQuery, consume: Callable[[DataFrame], Any] = lambda df: df.toPandas()) -> tuple[str, Any]:
         """Run a query and what consumes it in a thread of its own: an id for ``cancel``, and a future."""
         from concurrent.futures import ThreadPoolExecutor
@@ -140,7 +161,7 @@ class Cube:
 
     def prepared(self, q: CubeQuery) -> tuple[CubeQuery, dict[str, str]]:
         """The query with what the cube implies, in the table's names; how to show the names asked for."""
-        unknown = q.options - OPTIONS
+        unknown = {o for o in q.options - OPTIONS if not o.startswith("TABLEQUERY_PER_")}
         if unknown:
             raise ValueError(f"unknown options {sorted(unknown)}")
         options = q.options | self.implicit_options

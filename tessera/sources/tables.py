@@ -102,6 +102,14 @@ class Table:
     def with_alias(self, alias: str, column: str) -> Table:
         return replace(self, aliases={**self.aliases, alias: column})
 
+    def with_aliases(self, aliases: Mapping[str, str]) -> Table:
+        """Several aliases; each must lead to a column."""
+        out = replace(self, aliases={**self.aliases, **aliases})
+        for a in aliases:
+            if not out.has(a):
+                raise ValueError(f"alias {a} leads to no column")
+        return out
+
     def with_column(self, column: Derived) -> Table:
         return replace(self, derived={**self.derived, column.name: column})
 
@@ -241,6 +249,11 @@ def prefixed(prefix: str, names: Iterable[str]) -> dict[str, str]:
     return {f"{prefix}{n}": n for n in names}
 
 
+def by_function(function: Callable[[str], str], names: Iterable[str]) -> dict[str, str]:
+    """alias -> column for the aliases that a function makes of columns."""
+    return {function(n): n for n in names}
+
+
 def chained(*maps: Mapping[str, str]) -> dict[str, str]:
     """Aliases resolved through several maps in turn."""
     out = {}

@@ -277,3 +277,25 @@ def test_arrow_sink(spark):
     c = cube(spark, SPARSE, ms.sum_("k1"))
     t = tb.to_arrow(c.query("k1", group_by="a"))
     assert t.num_rows == 2 and tb.to_ipc(c.query("k1"))
+
+
+def test_carriers_sql_and_statistics(spark):
+    c = cube(spark, SPARSE, ms.Aggregator("mean", "k1", "AVG"), ms.count_rows("n"), ms.Combinator("x", ("n",)))
+    assert rows(c.query("mean", "n", group_by="a", options=["AGGREGATION_CARRIERS_STAY_WRAPPED"])) == [("a1", 468, 2, 2), ("a2", 567, 1, 2)]
+    with pytest.raises(ValueError):
+        c.query("x", options=["AGGREGATION_CARRIERS_STAY_WRAPPED"])
+    assert rows(c.sql("SELECT a, max(k1) AS m FROM c GROUP BY a")) == [("a1", 345), ("a2", 567)]
+    assert c.statistics("a").first()["cardinality"] == 2
+    with pytest.raises(ValueError):
+        c.query("n", options=["NO_SUCH_OPTION"])
+
+
+def test_aliases(spark):
+    t = tb.in_memory(spark, SPARSE).with_aliases(tb.prefixed("t_", ["a", "k1"])).with_aliases(tb.by_function(str.upper, ["b"]))
+    c = Cube("c", t, Forest.of(ms.sum_("t_k1", "k")))
+    assert rows(c.query("k", group_by=["t_a", "B"], filter=fl.where("t_a", "a2"))) == [("a2", "b2", 567)]
+    assert tb.chained({"x": "y"}, {"y": "a"}) == {"x": "a", "y": "a"}
+    with pytest.raises(ValueError):
+        t.with_aliases({"z": "nowhere"})
+    with pytest.raises(ValueError, match="unknown column"):
+        c.query("k", group_by="nowhere")
