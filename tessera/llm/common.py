@@ -63,6 +63,17 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch at most; texts may be long, and a Python worker holds a batch at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of bounded size, unless the session has smaller ones already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

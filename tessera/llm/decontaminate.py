@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import by_value, table
+from tessera.llm.common import by_value, small_batches, table
 
 #: Fingerprints of 64 bits within this distance are found with certainty ...
 RADIUS = 19
@@ -148,6 +148,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col:
     that occurs repeatedly gives a row each time. Either table may be empty.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     out = None
@@ -178,6 +179,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col:
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text holds no item; null ids are kept rows like others."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs
     for _, texts in item_blocks(benchmark, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(Items(texts))

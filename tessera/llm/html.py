@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, by_value, table
+from tessera.llm.common import Scratch, by_value, small_batches, table
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -204,6 +204,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
+    small_batches(spark)
     won = scratch.save(winners(host_paths(pages, url_col, html_col)).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")))
     side = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
     rows = pages.drop("text", "n_chars").withColumn("__host", host_of(F.col(url_col))).join(side, "__host", "left").drop("__host")

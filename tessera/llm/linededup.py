@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import Scratch, by_value, table
+from tessera.llm.common import Scratch, by_value, small_batches, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -160,6 +160,7 @@ class LineStore:
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineStore:
+        small_batches(docs.sparkSession)
         scratch = Scratch(docs.sparkSession, "lines")
         return cls(scratch, scratch.save(holdings(docs, min_chars)), min_chars, min_docs)._refreshed()
 

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import Scratch, by_value, table
+from tessera.llm.common import Scratch, by_value, small_batches, table
 from tessera.llm.components import components
 
-#: Counters of the sketch, whatever the input (4 MB in each task).
-CELLS = 1 << 20
-PART = 1 << 16
+#: Counters of the sketch, whatever the input (a task passes on 4 MB).
+CELLS = 1 << 22
+PART = 1 << 18
 #: Documents and shingles of a chunk.
 CHUNK_ROWS = 1500
 CHUNK_SHINGLES = 2_000_000
@@ -46,18 +46,17 @@ COLUMNS = 2048
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """Per document: set size and digest; per task: the counters of its shingles, in parts."""
+    """Per document: set size, digest and sketch; per task: its shingles' counters, up to 255, in parts."""
 
     names = ["doc_id", "n", "d1", "d2", "sketch", "part", "cells"]
 
     def run(batches):
-        cells = np.zeros(CELLS, np.uint32)
+        cells = np.zeros(CELLS, np.uint16)
         for b in batches:
             ids, sizes, d1, d2, sketches = W.ids(b.column(0)), [], [], [], []
             for s in W.shingle_sets(b.column(1)):
-                cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    cells[(s & np.uint64(CELLS - 1)).astype(np.int64)] += np.uint32(1)
+                at = (s & np.uint64(CELLS - 1)).astype(np.int64)
+                cells[at] = np.minimum(cells[at], 254) + 1
                 sizes.append(len(s))
                 sketches.append(sketch(s))
                 d1.append(int(W.mix(s + np.uint64(1)).sum(dtype=np.uint64)))
@@ -67,7 +66,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), *digests, pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = [i for i in range(CELLS // PART) if cells[i * PART : (i + 1) * PART].any()]
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(parts), pa.binary()), pa.array(parts, pa.int32()), pa.array([cells[i * PART : (i + 1) * PART].tobytes() for i in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(parts), pa.binary()), pa.array(parts, pa.int32()), pa.array([cells[i * PART : (i + 1) * PART].astype(np.uint8).tobytes() for i in parts], pa.binary())], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, part int, cells binary")
 
@@ -79,23 +78,61 @@ def _levels(profile: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for part, cells in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(cells.as_buffer(), np.uint32).astype(np.int64)
+                total[part] = total.get(part, 0) + np.frombuffer(cells.as_buffer(), np.uint8).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "cells"])
 
     counts = np.zeros(CELLS, np.int64)
     summed = profile.where("part is not null").select("part", "cells").repartition(CELLS // PART, "part").mapInArrow(add, "part int, cells binary")
     for r in summed.collect():
-        counts[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["cells"], np.int64)
+        counts[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["cells"], np.int32)
     mean = counts.mean()
     frequent = counts > max(8, mean + 6 * np.sqrt(mean))
     return np.where(frequent, np.ceil(np.log2(counts + 1.0)), 0).astype(np.uint8)
 
 
-def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles of a sorted set, rare ones first."""
+def prefix(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(0.8 n) + 1 shingles of a sorted set, rare ones first: those not known to be frequent, and the others."""
     n = len(s)
-    level = levels[(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
-    return s[np.argsort((level << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+    level = levels[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+    first = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[: n - (4 * n + 4) // 5 + 1]
+    rare = level[first] == 0
+    return s[first[rare]].view(np.int64), s[first[~rare]].view(np.int64)
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
+
+def _met_rarely(grams: DataFrame) -> DataFrame:
+    """doc_id and block out of (gram, doc_id) rows of grams that no large part of the documents holds: one shuffle, then runs of equal grams."""
+
+    def run(batches):
+        gram = leader = None
+        for b in batches:
+            g, d = W.ids(b.column(0)), W.ids(b.column(1))
+            if not len(g):
+                continue
+            new = np.ones(len(g), bool)
+            new[1:] = g[1:] != g[:-1]
+            new[0] = gram is None or g[0] != gram
+            start = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
+            lead = np.where(start >= 0, d[np.maximum(start, 0)], leader if leader is not None else 0)
+            follows = np.flatnonzero(~new & (d != lead))
+            pairs = np.stack([d[follows], lead[follows]])
+            own = np.stack([lead[follows], lead[follows]])
+            both = np.unique(np.concatenate([pairs, own], 1), axis=1) if len(follows) else pairs
+            gram, leader = int(g[-1]), int(lead[-1])
+            if both.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(both[0].copy()), pa.array(both[1].copy())], names=["doc_id", "block"])
+
+    return grams.select("gram", "doc_id").repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(run, "doc_id long, block long")
+
+
+def _met_often(grams: DataFrame) -> DataFrame:
+    """The same of frequent grams: leaders by partial aggregation, and a join that can split a gram's rows."""
+    leaders = grams.groupBy("gram").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last")).where("block < last").select("gram", "block")
+    return grams.join(leaders, "gram").select("doc_id", "block")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -271,6 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where("doc_id is not null")
     profile = scratch.save(_profile(known))
@@ -281,16 +319,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def prefixes(batches):
         for b in batches:
-            found = [prefix(s, levels.value).view(np.int64) for s in W.shingle_sets(b.column(1))]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "grams"])
+            found = [prefix(s, levels.value) for s in W.shingle_sets(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([x for x, _ in found]), _lists([x for _, x in found])], names=["doc_id", "rare", "often"])
 
     chosen = classes.select(F.col("class_id").alias("doc_id")).distinct()
-    starts = scratch.save(known.mapInArrow(prefixes, "doc_id long, grams array<long>").join(chosen, "doc_id", "left_semi"))
-    grams = starts.select("doc_id", F.explode("grams").alias("gram"))
-    leaders = grams.groupBy("gram").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last")).where("block < last").select("gram", "block")
-    met = scratch.save(grams.join(leaders, "gram").select("doc_id", "block").distinct())
+    starts = scratch.save(known.mapInArrow(prefixes, "doc_id long, rare array<long>, often array<long>").join(chosen, "doc_id", "left_semi"))
+    rarely = _met_rarely(starts.select("doc_id", F.explode("rare").alias("gram")))
+    met = scratch.save(rarely.unionByName(_met_often(starts.select("doc_id", F.explode("often").alias("gram")))).distinct())
     scratch.drop(starts)
     size_of = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n").alias("n"))
     sized = met.join(size_of, "doc_id")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import by_value, held_out, table
+from tessera.llm.common import by_value, held_out, small_batches, table
 
 STATS = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "pipes", "marks", "other_symbols", "non_ascii",
@@ -111,6 +111,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a double column for each statistic, named PREFIX and its name."""
+    small_batches(docs.sparkSession)
     names = [PREFIX + s for s in STATS]
     kept = docs.drop(*names)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import Scratch, by_value, held_out, table
+from tessera.llm.common import Scratch, by_value, held_out, small_batches, table
 
 #: Longest context.
 DEPTH = 3
@@ -211,6 +211,7 @@ def _entry_counts(docs: DataFrame, shared, n: int) -> DataFrame:
 def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int = DEPTH) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs``, and the counts of all words (h, c)."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(text_col).alias("text"))
     vocabulary = scratch.save(_counts(texts))
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -258,6 +259,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
     Null and empty texts are the end alone; null and repeated ids are rows like others.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"]
 

@@ -36,7 +36,7 @@ class _Tables:
             value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
             t.update(space=space, value=value[lower], n=0)
         if t["n"] < n:
-            size = max(n, SLICE * 2)
+            size = max(n, SLICE + 1)
             up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
             up[0] = down[0] = 1
             t.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
