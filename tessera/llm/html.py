@@ -33,7 +33,9 @@ ODD = re.compile(
     r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|aside|widget\w*|footer|foot|header|masthead|topbar|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|"
     r"newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|more-?posts|comment\w*|disqus|respon[ds]\w*|repl(?:y|ies)|discussion|pagination|pager|tags?|toolbar|search\w*|complementary|contentinfo|navigation|legal|copyright|disclaimer|hidden)(?![a-z])"
 )
-#: A class of this kind is never odd, whatever else it says.
+#: Names that tell of what is around, not of what the element is.
+ABOUT = re.compile(r"(?:has|no|with|without|is|js)[-_]")
+#: Beside a name of this kind a name that is odd in part does not count.
 ARTICLE = re.compile(r"(?<![a-z])(?:article|post|entry|story|content|main|body|text)(?:[-_]?(?:body|content|text))?(?![a-z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -44,25 +46,39 @@ DIGITS = re.compile(r"\d+")
 BROADCAST_HOSTS = 200_000
 
 
-def blocks(html: str) -> list[tuple[str, str]]:
-    """The page's text blocks in order, each with the path of the container that it stands in.
+def is_odd(tag: str, names: list[str]) -> bool:
+    """Whether an element's classes, id and role say that it is no part of the article."""
+    names = [x for x in names if not ABOUT.match(x)]
+    if any(ODD.fullmatch(x) for x in names):
+        return tag != "main"
+    return tag not in ("article", "main") and any(ODD.search(x) for x in names) and not any(ARTICLE.fullmatch(x) for x in names)
+
+
+def blocks(html: str, strict: bool = True) -> list[tuple[str, str, float]]:
+    """The page's text blocks in order, each with the path of its container and its share of link text.
 
     Left out are scripts, styles, comments in the markup, and all below an element that by its
-    tag, class, id or role is not part of the article. A path is the container's tag and class,
-    digits as #, below those of the containers around it. br and block elements end a block.
+    tag, class, id or role is not part of the article (a header within an article is). Where that
+    leaves nothing of a page, only tags decide and forms count as text. A path is the container's
+    tag and class, digits as #, below those of the containers around it. br and block elements end
+    a block.
     """
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str, float]] = []
     words: list[str] = []
-    # tag, left out, path of the nearest container
-    stack: list[tuple[str, bool, str]] = [("", False, "")]
+    linked = 0
+    # tag, left out, path of the nearest container, within a link, within an article
+    stack: list[tuple[str, bool, str, bool, bool]] = [("", False, "", False, False)]
     at, n = 0, len(html)
 
     def flush() -> None:
+        nonlocal linked
         if words:
-            text = SPACE.sub(" ", unescape("".join(words))).strip()
+            raw = "".join(words)
+            text = SPACE.sub(" ", unescape(raw)).strip()
             words.clear()
             if text:
-                out.append((text, stack[-1][2]))
+                out.append((text, stack[-1][2], min(1.0, linked / len(raw))))
+        linked = 0
 
     def close(tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -79,6 +95,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
         to = m.start() if m else n
         if to > at and not stack[-1][1]:
             words.append(html[at:to])
+            linked += (to - at) * stack[-1][3]
         if not m:
             break
         at = m.end()
@@ -113,37 +130,36 @@ def blocks(html: str) -> list[tuple[str, str]]:
                         break
         if tag in VOID:
             continue
-        _, left_out, path = stack[-1]
+        _, left_out, path, link, article = stack[-1]
         attributes = m[3] or m[6] or ""
         label = ""
         if attributes and ("=" in attributes or "hidden" in attributes):
             found = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in ATTRIBUTE.finditer(attributes)}
             label = DIGITS.sub("#", ".".join(sorted(found.get("class", "").split())))
-            if not left_out and tag not in ("html", "body"):
-                # every class, id or role speaks for itself
+            if not left_out and strict and tag not in ("html", "body"):
                 names = [*found.get("class", "").split(), *found.get("id", "").split(), *found.get("role", "").split()]
-                odd = any(ODD.search(x) for x in names) and not (tag in ("article", "main") or any(ARTICLE.fullmatch(x) for x in names))
-                left_out = odd or "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
-        left_out = left_out or tag in LEFT_OUT
+                left_out = is_odd(tag, names) or "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
+        left_out = left_out or tag in LEFT_OUT and not (tag == "header" and article) and (strict or tag != "form")
+        article = article or tag == "article"
         if tag in CONTAINER:
             path = f"{path}>{tag}.{label}" if label else f"{path}>{tag}"
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        stack.append((tag, left_out, path))
+        stack.append((tag, left_out, path, link or tag == "a", article))
     flush()
-    return out
+    return blocks(html, strict=False) if strict and not out and "<" in html else out
 
 
-def scores(found: list[tuple[str, str]]) -> dict[str, float]:
-    """A score for each path of one page: words and sentence marks of its own blocks, and a part of those below.
+def scores(found: list[tuple[str, str, float]]) -> dict[str, float]:
+    """A score for each path of one page: words and sentence marks of its own blocks that are no link.
 
     An article or main element weighs more, as does a container with several blocks.
     """
-    own: dict[str, list[int]] = {}
-    for text, path in found:
+    own: dict[str, list[float]] = {}
+    for text, path, link in found:
         n = text.count(" ") + 1
         x = own.setdefault(path, [0, 0])
-        x[0] += n + 2 * (text.count(".") + text.count(","))
+        x[0] += (n + 2 * (text.count(".") + text.count(","))) * (1 - 0.95 * link)
         x[1] += 1
     out: dict[str, float] = {}
     for path, (mass, n) in own.items():
@@ -152,10 +168,10 @@ def scores(found: list[tuple[str, str]]) -> dict[str, float]:
     return out
 
 
-def text_of(found: list[tuple[str, str]], winners: list[str] | None) -> str:
+def text_of(found: list[tuple[str, str, float]], winners: list[str] | None) -> str:
     """Blocks below a winning path, joined by newlines; where no winner has text, below the page's own best path."""
     for paths in (winners or [], [max(s, key=lambda p: (s[p], -len(p), p))] if (s := scores(found)) else []):
-        kept = [t for t, p in found if any(p == w or p.startswith((f"{w}>", f"{w}.")) for w in paths)]
+        kept = [t for t, p, _ in found if any(p == w or p.startswith((f"{w}>", f"{w}.")) for w in paths)]
         if kept:
             return "\n".join(kept)
     return ""
