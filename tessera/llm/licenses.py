@@ -71,7 +71,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     empty and one-word units hold none; rows with a null id are scanned like others; repeated rows
     give rows each; an empty table gives an empty result.
     """
-    known = [(name, g) for name, texts in (templates or TEMPLATES).items() for g in map(bigrams_of, texts) if g]
+    known = [(name, g) for name, texts in (TEMPLATES if templates is None else templates).items() for g in map(bigrams_of, texts) if g]
     sizes = [len(g) for _, g in known]
     most = int(max(sizes, default=0) * (2 - threshold) / threshold)
     every = sorted({x for _, g in known for x in g})

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_dedup, html, linededup, mixing, ngram_join, quality, sharding, suffix_tree
+from tessera.llm import decontaminate, embedding_dedup, html, licenses, linededup, mixing, ngram_join, quality, sharding, suffix_tree
 from tessera.llm import queries as llm
 from tessera.llm import words as W
 from tessera.llm.common import Scratch, held_out
@@ -173,6 +173,19 @@ def test_blocks_and_text():
     assert html.text_of(html.blocks(PAGE), None) == "Head & tail\nFirst paré line.\nSecond bold € <tag>.\nx\ny"
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<article><header><h1>T</h1></header><p>A b.</p><footer>by</footer><aside>x</aside></article><article class='comment'><p>No, never, not once. Really.</p></article>", "T\nA b."),
+    ("<div class='wrap has-sidebar'><div id='content'><p>A b, c.</p></div><div class='content-sidebar'><p>Far more words than the article has, and more, and more.</p></div></div>", "A b, c."),
+    ("<div><ul><li><a href='/x'>a long link to some other page of this site, and more</a></li></ul></div><main><p>Short text.</p></main>", "Short text."),
+    ("<form><div class='post'><p>All in a form.</p></div></form>", "All in a form."),
+    ("<p>a<br>b</p>tail<div>c</div>", "a\nb\ntail\nc"),
+    ("<article><p>x &nbsp;&#x41; &amp;amp; <span>y</span>z</p></article>", "x A &amp; yz"),
+    ("<article><p hidden>no</p><p style='display: none'>no</p><p>yes</p><noscript>no</noscript></article>", "yes"),
+])
+def test_pages(page, expected):
+    assert html.text_of(html.blocks(page), None) == expected
+
+
 def test_html_edges(spark):
     rows = [(1, "http://a.x/1", PAGE), (2, "http://a.x/2", PAGE), (3, None, None), (4, "nohost", ""), (5, "http://a.x/3", "<p>unclosed <b>text"), (6, "http://b.y", "plain text only"), (7, "http://b.y", "<p>" * 3000 + "deep"), (8, "http://b.y", "<"), (2, "http://a.x/2", PAGE)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash")).withColumn("path", F.lit("clash"))
@@ -566,3 +579,35 @@ def test_pipeline_stages_on_odd_rows(spark, odd, small, tmp_path):
         assert name == "sharding" or docs.columns == odd.columns
     ids = [r["doc_id"] for r in docs.collect()]
     assert set(ids) <= {1, 4, 5, 6, 7, 9, 11, 12, None}
+
+
+# --- 2 licences -----------------------------------------------------------------------------------------------------------
+
+
+def brute_licenses(text):
+    norm = re.sub(r"[^a-z0-9\n]+", " ", (text or "").lower())
+    paragraphs = re.split(r"\n(?: *\n)+", norm)
+    units = [("line", i, x) for i, x in enumerate(norm.split("\n"))] + [("paragraph", i, x) for i, x in enumerate(paragraphs) if "\n" in x.strip(" \n")] + [("text", 0, norm)] * (len(paragraphs) > 1)
+    out = []
+    for kind, i, raw in units:
+        w = raw.split()
+        grams = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+        if not grams:
+            continue
+        best = min((-round(2 * len(grams & set(g)) / (len(grams) + len(g)), 6), name) for name, texts in licenses.TEMPLATES.items() for g in map(licenses.bigrams_of, texts))
+        if best[0] <= -0.8:
+            out.append((kind, i, best[1], -best[0]))
+    return out
+
+
+def test_licenses_against_brute_force(spark, odd, nothing):
+    mit = licenses.TEMPLATES["MIT"][-1]
+    texts = [
+        "x\nReleased under the MIT licence.\ny", "ALL RIGHTS RESERVED!!", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0", mit[:200] + "\n" + mit[200:], "head\n\n" + mit.replace("Software", "software", 1) + "\n\ntail",
+        "Licensed under the GNU General Public License, version 2", None, "", "one", "rights", "\n\n\n", mit + " " + mit, "All rights reserved.\n \n \nAll rights reserved.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("unit", F.lit("clash")).withColumn("m", F.lit("clash"))
+    got = collections.Counter(tuple(r) for r in licenses.scan(df).collect())
+    assert got == collections.Counter((i, *x) for i, t in enumerate(texts) for x in brute_licenses(t))
+    assert {x[3] for x in got} >= {"MIT", "all-rights-reserved", "CC-BY-NC-4.0", "CC-BY-4.0", "GPL-2.0"}
+    assert licenses.scan(odd).count() == 0 and licenses.scan(nothing).count() == 0 and licenses.scan(df, {}).count() == 0
