@@ -205,7 +205,7 @@ class Cube:
         for m in q.measures:
             planner.node(m, q.filter, g, q.marker)
         leaves = list({(n.measure.name, repr(n.filter)): n for n in planner.steps.values() if isinstance(n, Leaf) and not n.empty}.values())
-        needed = [*g, *(c for x in leaves for c in x.filter.columns()), *(c for x in leaves for c in (self.table.in_sql(x.column) if x.agg.opaque else [x.column] if x.column != "*" else [])), *q.filter.columns()]
+        needed = [*g, *(c for x in leaves for c in x.filter.columns()), *(c for x in leaves for c in x.inputs(self.table)), *q.filter.columns()]
         df = planner.base(list(dict.fromkeys(c for c in needed if planner.known(c))))
 
         def resolve(c: str) -> Column | None:
@@ -216,7 +216,7 @@ class Cube:
         names: dict[str, int] = {}
         out = []
         for x in leaves:
-            raw = F.lit(1).cast("long") if x.column == "*" else F.lit(None).cast("double") if x.agg.opaque else F.col(f"`{x.column}`")
+            raw = F.lit(1).cast("long") if x.column == "*" else F.lit(None).cast("double") if x.agg.opaque else x.value()
             n = names[x.measure.name] = names.get(x.measure.name, 0) + 1
             shown = x.measure.name if n == 1 else f"{x.measure.name}_{n}"
             rest = fl.without(x.filter, some)
@@ -309,7 +309,7 @@ class Composite:
                 if isinstance(x.measure, SubMeasure):
                     if c.forest.get(x.measure.name) is not None:
                         asked.append((x, inner.node(x.measure.name, f, own_g, None)))
-                elif x.empty or x.column == "*" or c.table.has(x.column):
+                elif x.empty or x.column == "*" or all(map(c.table.has, x.inputs(c.table))) and (x.inputs(c.table) or x.agg.opaque):
                     asked.append((x, inner.node(x.measure, f, own_g, None)))
             if not asked:
                 continue

@@ -10,6 +10,7 @@ operands; frames are joined only where a measure needs values of different origi
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -52,6 +53,20 @@ class Leaf(Node):
     filter: fl.Filter
     measure: ms.Measure
     empty: bool = False
+    #: SQL text of the value that is aggregated, where it is no column.
+    sql: str | None = None
+
+    def inputs(self, table: Any) -> list[str]:
+        """The columns that the value is made of."""
+        if self.agg.opaque or self.sql is not None:
+            return table.in_sql(self.column if self.sql is None else self.sql)
+        return [] if self.column == "*" else [self.column]
+
+    def value(self) -> Column:
+        """The value of a row."""
+        if self.sql is not None:
+            return F.expr(self.sql)
+        return F.lit(1) if self.column == "*" else F.col(f"`{self.column}`")
 
 
 @dataclass(eq=False)
@@ -218,7 +233,11 @@ class Planner:
 
     def leaf(self, m: ms.Aggregator, f: fl.Filter, g: tuple[str, ...]) -> Node:
         # conditions on columns that only other measures generate say nothing here
-        return Leaf(g, aggregation(m.aggregation, dict(m.options)), m.source, fl.suppress(fl.and_(f, m.filter), self.absent(f)), m, m.aggregation == "EMPTY")
+        own = fl.suppress(fl.and_(f, m.filter), self.absent(f))
+        if m.aggregation == "expression" and (call := simple_call(m.source)):
+            # one call of an aggregate that merges takes conditions and coarser groupings as a column's does
+            return Leaf(g, aggregation(call[0]), m.source, own, m, sql=call[1])
+        return Leaf(g, aggregation(m.aggregation, dict(m.options)), m.source, own, m, m.aggregation == "EMPTY")
 
     def absent(self, f: fl.Filter) -> set[str]:
         return {c for c in f.columns() if c in self.generated and not self.known(c)}
@@ -357,9 +376,9 @@ class Planner:
         needed = [c for c in g if self.known(c)]
         needed += [c for x in leaves for c in sorted(x.filter.columns())]
         for x in leaves:
-            needed += self.table.in_sql(x.column) if x.agg.opaque else [x.column] if x.column != "*" else []
+            needed += x.inputs(self.table)
         for x in leaves:
-            if not x.agg.opaque and x.column != "*" and not self.known(x.column):
+            if not x.agg.opaque and x.sql is None and x.column != "*" and not self.known(x.column):
                 raise ValueError(f"unknown column {x.column} of {x.measure.name}")
         df = self.base(list(dict.fromkeys(c for c in needed if self.known(c))))
 
@@ -384,7 +403,7 @@ class Planner:
                     raise ValueError(f"{x.measure.name} is SQL text and takes no condition of its own")
                 states = [F.expr(x.column)]
             else:
-                value = F.lit(1) if x.column == "*" else F.col(f"`{x.column}`")
+                value = x.value()
                 states = x.agg.states(value if rest == fl.ALL else F.when(rest.on(resolve), value))
             names = [f"__v{next(self.counter)}" for _ in states]
             made += [s.alias(n) for s, n in zip(states, names, strict=True)]
@@ -596,6 +615,19 @@ def _schema_for(df: DataFrame):
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
 
 
+def simple_call(sql: str) -> tuple[str, str] | None:
+    """(key, argument) of SQL text that is one call of sum, min or max and nothing more."""
+    m = re.fullmatch(r"\s*(sum|min|max)\s*\((.*)\)\s*", sql, re.I | re.S)
+    if not m or re.match(r"\s*(distinct|all)\b", m[2], re.I) or "'" in m[2]:
+        return None
+    depth = 0
+    for c in m[2]:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return None
+    return (m[1].upper(), m[2]) if depth == 0 else None
+
+
 def children(n: Node) -> list[Node]:
     if isinstance(n, Formula):
         return n.of

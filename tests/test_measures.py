@@ -220,6 +220,11 @@ def test_pruned_joins(spark):
 def test_expression_leaves_keep_conditions(spark):
     c = cube(spark, SPARSE, ms.Aggregator("e", "sum(k1) + 1", "expression"), ms.sum_("k1"), ms.Filtrator("f", "e", fl.where("a", "a1")))
     assert rows(c.query("e", "f", "k1")) == [(1036, 469, 1035)]
+    c = cube(spark, SPARSE, ms.Aggregator("e", "sum(k1 * (2 - 1))", "expression"), ms.Filtrator("f", "e", fl.where("a", "a1")), ms.Partitionor("n", ("e",), ("b",), "CONSTANT", {"constant": 1}))
+    p = c.planner(CubeQuery())
+    out, _ = p.compile(["e", "f", "n"], fl.ALL, ("a",), None)
+    assert rows(out) == [("a1", 468, 468, 1), ("a2", 567, None, 1)] and len(p.log) == 1
+    assert rows(c.query("e", group_by="a", options=["DRILLTHROUGH"])) == [("a1", 123), ("a1", 345), ("a2", 567), ("a2", None)]
 
 
 def test_drillthrough(spark):
