@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from tessera.llm import decontaminate, mixing, ngram_join, quality, sharding
 from tessera.llm.common import Scratch, table
 
+#: Ids of dropped documents that are broadcast at most (16 MB); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts (score 0.3 or more)."""
@@ -21,6 +24,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     scratch = Scratch(spark, "groups")
     found = scratch.save(ngram_join.near_duplicates(docs).where("doc_id is not null"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = scratch.save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     if not again.take(1):
