@@ -89,8 +89,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
         F.when(F.size(paragraphs) > 1, F.array(unit("text", F.lit(0), F.col("t")))).otherwise(F.array().cast("array<struct<unit:string,position:int,raw:string>>")),
     )
     rows = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.unit", "u.position", F.filter(F.split("u.raw", "[ \\n]+"), lambda w: w != "").alias("words"))
-    # a unit of n words has n - 1 bigrams at most, but may repeat some, so only its distinct ones bound it from above
-    rows = rows.where(F.size("words") >= 2).select("doc_id", "unit", "position", _bigrams(F.col("words")).alias("grams"))
+    # What must hold of the words alone: d distinct words make d - 1 distinct bigrams or more, and
+    # of a unit's bigrams threshold / (2 - threshold) are a template's, each of which begins with one of its words.
+    vocabulary = sorted({w for g in every for w in g.split(" ")})
+    least = F.size(F.array_distinct("words")) - 1
+    inside = F.size(F.filter("words", lambda w: w.isin(vocabulary)))
+    rows = rows.where(F.size("words") >= 2).where(least <= most).where((2 - threshold) * inside >= threshold * least - 1e-6)
+    rows = rows.select("doc_id", "unit", "position", _bigrams(F.col("words")).alias("grams"))
     rows = rows.where(F.size("grams") <= most).where(F.exists("grams", lambda g: g.isin(every)))
     # the index: for each number of bigrams the templates that the size bound admits
     fitting: dict[int, list[tuple[str, list[str]]]] = {}
