@@ -1,20 +1,23 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Counts come from all training documents. The tree's states are contexts of up to DEPTH words whose
-next-symbol distribution diverges from that of their longest proper suffix; their frequent next
+next-symbol distribution diverges from that of their longest proper suffix; their repeated next
 symbols are explicit, the rest of their mass is spread as their suffix spreads it, down to the
 smoothed single-word distribution, so that every state's distribution sums to one. A word is scored
 in the state of the longest suffix of what precedes it.
 
-Explicit entries and contexts have a least share of all tokens, so arithmetic bounds the model
-(MIN_ENTRY, MIN_CONTEXT) and it is broadcast. The count of every word, however rare, is kept in a
-written table; words under MIN_HEAD are looked up there by a join.
+Thresholds are absolute counts and evidence, so the tree grows with the corpus. It is kept in
+written tables. A log probability is a sum of one value for each run of 1 to DEPTH + 1 symbols that
+end at a word (what the run adds as an entry, and its state's share for the shorter suffix), so
+runs are looked up by one join. What is broadcast has a bounded size and only saves work: the
+values of the most frequent runs, and a sketch of those that the tables hold.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,15 @@ from tessera.llm.common import Scratch, by_value, held_out, small_batches, table
 
 #: Longest context.
 DEPTH = 3
-#: Shares of all training tokens: of a word that the model itself holds (2,000,000 at most), of a
-#: word that may stand in a context (100,000 at most), of an explicit entry (1,000,000 at most a depth).
-MIN_HEAD, MIN_CONTEXT, MIN_ENTRY = 5e-7, 1e-5, 1e-6
+#: Shares of all training tokens from which a word (2,000,000 at most) and a run's value (1,000,000
+#: of a length at most) are broadcast; those of rarer ones are looked up in tables.
+MIN_HEAD, MIN_CACHED = 5e-7, 1e-6
+#: An entry is explicit from this count on.
+MIN_COUNT = 2
 #: A context stays if its divergence in nats, and that times its count, reach these.
 MIN_DIVERGENCE, MIN_EVIDENCE = 0.01, 30.0
+#: 64-bit words of a sketch at most, as a power of two (64 MB).
+SKETCH_BITS = 23
 DISCOUNT = 0.75
 SMOOTH = 0.1
 END = 0x1E0D0C0B0A09A7E5
@@ -67,6 +74,32 @@ class Lookup:
         return out
 
 
+@dataclass
+class Sketch:
+    """A Bloom filter of 64-bit keys, each within one word of ``bits``."""
+
+    bits: np.ndarray
+    shift: int
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> "Sketch":
+        """The filter of the only column of ``keys``, of 10 bits a key while SKETCH_BITS allows."""
+        h = F.col(keys.columns[0])
+        power = min(SKETCH_BITS, max(4, math.ceil(math.log2(keys.count() * 10 / 64 + 1))))
+        bit = lambda k: f"shiftleft(1L, cast(shiftrightunsigned(h, {k}) & 63 AS int))"
+        at = keys.select(h.alias("h")).selectExpr(f"shiftrightunsigned(h, {64 - power}) AS at", f"{bit(0)} | {bit(6)} | {bit(12)} AS m")
+        got = at.groupBy("at").agg(F.bit_or("m").alias("m")).toArrow()
+        bits = np.zeros(1 << power, np.uint64)
+        bits[got["at"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
+        return cls(bits, 64 - power)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Whether each key may be among those of the filter; always true for those that are."""
+        one, low = np.uint64(1), np.uint64(63)
+        m = (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low))
+        return self.bits[(h >> np.uint64(self.shift)).astype(np.int64)] & m == m
+
+
 def streams(texts: pa.Array):
     """For slices of whole texts: first row, symbols with an END before and after each text, first symbol of each text's row (n + 1)."""
     for a, _, offsets, data in W.slices(texts):
@@ -93,15 +126,24 @@ def gram(s: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The tree: head words, and for each depth the retained contexts and their explicit entries."""
+    """The tree: head words, and tables of the states (context, keep) and explicit entries (g, mass) of each depth and of all values (key, v, c)."""
 
     tokens: int
     types: int
     words: Lookup
     counts: np.ndarray
-    frequent: np.ndarray
-    contexts: list[tuple[Lookup, np.ndarray]]
-    entries: list[tuple[Lookup, np.ndarray]]
+    tree: list[tuple[DataFrame, DataFrame]]
+    values: DataFrame
+
+    @cached_property
+    def contexts(self) -> list[tuple[Lookup, np.ndarray]]:
+        """The states of each depth, read to the driver (for small trees)."""
+        return [_read(states) for states, _ in self.tree]
+
+    @cached_property
+    def entries(self) -> list[tuple[Lookup, np.ndarray]]:
+        """The explicit entries of each depth, read to the driver (for small trees)."""
+        return [_read(entries) for _, entries in self.tree]
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return (c + SMOOTH) / (self.tokens + SMOOTH * (self.types + 1))
@@ -114,21 +156,27 @@ class Model:
         depth = at - starts[np.searchsorted(starts, at, "right") - 1]  # symbols before, END included
         head = self.words.find(s[at])
         explicit, factor = np.zeros(len(at)), np.ones(len(at))
-        live = np.arange(len(at))
         for n, ((contexts, keep), (entries, mass)) in enumerate(zip(self.contexts, self.entries, strict=True), 1):
-            live = live[depth[live] >= n]
+            live = np.flatnonzero(depth >= n)
             if not len(live):
                 break
             c = contexts.find(gram(s, at[live] - 1, n))
             live, c = live[c >= 0], c[c >= 0]
             explicit[live] *= keep[c]
             factor[live] *= keep[c]
-            known = live[head[live] >= 0]
-            e = entries.find(gram(s, at[known], n + 1))
-            explicit[known[e >= 0]] += mass[e[e >= 0]]
+            e = entries.find(gram(s, at[live], n + 1))
+            explicit[live[e >= 0]] += mass[e[e >= 0]]
         return at, head, explicit, factor
 
 
+def _read(rows: DataFrame) -> tuple[Lookup, np.ndarray]:
+    """A table of keys and numbers."""
+    got = rows.toArrow()
+    h, x = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(h)
+    return Lookup(h[order]), x[order]
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """h and c: how often each symbol occurs."""
 
@@ -158,10 +206,10 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def _entry_counts(docs: DataFrame, shared, n: int) -> DataFrame:
-    """Counts of n + 1 symbols whose first n and last n are entries of the depth before (frequent words at depth 1)."""
+    """Counts of n + 1 symbols of which the first n and the last n may occur repeatedly, by the sketch ``shared``."""
 
     def run(batches):
-        model = shared.value
+        sketch = shared.value
         held: list[np.ndarray] = []
 
         def merged():
@@ -181,19 +229,12 @@ def _entry_counts(docs: DataFrame, shared, n: int) -> DataFrame:
                 opening[starts[:-1]] = True
                 at = np.flatnonzero(~opening)
                 at = at[at - starts[np.searchsorted(starts, at, "right") - 1] >= n]
-                if n == 1:
-                    f = model.words.find(s)
-                    f = (f >= 0) & model.frequent[np.maximum(f, 0)] if len(model.frequent) else np.zeros(len(s), bool)
-                    at = at[f[at] & f[at - 1]]
-                    context, shorter = s[at - 1], s[at]
-                else:
-                    entries = model.entries[n - 2][0]
-                    context = gram(s, at - 1, n)
-                    ok = entries.find(context) >= 0
-                    at, context = at[ok], context[ok]
-                    shorter = gram(s, at, n)
-                    ok = entries.find(shorter) >= 0
-                    at, context, shorter = at[ok], context[ok], shorter[ok]
+                context = gram(s, at - 1, n)
+                ok = sketch.has(context)
+                at, context = at[ok], context[ok]
+                shorter = gram(s, at, n)
+                ok = sketch.has(shorter)
+                at, context, shorter = at[ok], context[ok], shorter[ok]
                 if len(at):
                     g, first, c = np.unique(gram(s, at, n + 1), return_index=True, return_counts=True)
                     held.append(np.stack([g, context[first], shorter[first], c.astype(np.uint64)]))
@@ -215,42 +256,33 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     texts = docs.select(F.col(text_col).alias("text"))
     vocabulary = scratch.save(_counts(texts))
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = vocabulary.where(F.col("c") >= F.lit(tokens * MIN_HEAD)).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    counts = rows["c"].to_numpy(np.int64)[order]
-    model = Model(tokens, types, Lookup(h[order]), counts, counts >= max(1, tokens * MIN_CONTEXT), [], [])
-    count_of, prob_of = (Lookup(h[order]), counts), model.base(counts)
+    words, counts = _read(vocabulary.where(F.col("c") >= F.lit(tokens * MIN_HEAD)))
+    less = F.log10((F.col("c") + SMOOTH) / F.lit(tokens + SMOOTH * (types + 1)))
+    before = vocabulary.where(F.col("c") >= MIN_COUNT).select(F.col("h").alias("g"), "c", F.pow(F.lit(10.0), less).alias("prob"))
+    tree, values = [], []
     for n in range(1, depth + 1):
-        found = _entry_counts(texts, spark.sparkContext.broadcast(model), n).where(F.col("c") >= max(2.0, tokens * MIN_ENTRY)).toPandas()
-        if not len(found):
-            break
-        g, context, shorter = (found[k].to_numpy(np.int64).view(np.uint64) for k in ("g", "context", "shorter"))
-        c = found["c"].to_numpy(np.float64)
-        order = np.argsort(g)
-        g, context, shorter, c = g[order], context[order], shorter[order], c[order]
-        before = count_of[1][count_of[0].find(context)].astype(np.float64)
-        if n == 1:
-            # a document's end opens as many documents as it closes
-            before = np.where(context == np.uint64(END), float(counts[count_of[0].find(np.array([END], np.uint64))[0]]) if END in count_of[0].keys else 1.0, before)
-        less = prob_of[count_of[0].find(shorter)]
-        names, at = np.unique(context, return_inverse=True)
-        p, q = c / before, less
-        rest_p = np.clip(1 - np.bincount(at, p), 1e-9, None)
-        rest_q = np.clip(1 - np.bincount(at, q), 1e-9, None)
-        divergence = np.bincount(at, p * np.log(p / q)) + rest_p * np.log(rest_p / rest_q)
-        times = np.zeros(len(names))
-        times[at] = before
-        stays = (divergence >= MIN_DIVERGENCE) & (divergence * times >= MIN_EVIDENCE)
-        mass = (c - DISCOUNT) / before
-        keep = np.clip(1 - np.bincount(at, mass), 1e-9, 1.0)
-        on = stays[at]
-        if not on.any():
-            break
-        model.contexts.append((Lookup(names[stays]), keep[stays]))
-        model.entries.append((Lookup(g[on]), mass[on]))
-        count_of, prob_of = (Lookup(g[on]), c[on]), (mass + keep[at] * less)[on]
-    return model, vocabulary
+        # a run's first and last n symbols occur at least as often as the run, so the joins lose none
+        shared = spark.sparkContext.broadcast(Sketch.of(before.select("g")))
+        found = scratch.save(_entry_counts(texts, shared, n).where(F.col("c") >= MIN_COUNT))
+        times = before.select(F.col("g").alias("context"), F.col("c").alias("times"))
+        known = before.select(F.col("g").alias("shorter"), F.col("prob").alias("q"))
+        entries = scratch.save(found.join(known, "shorter").join(times, "context").select("g", "context", "c", "times", "q"))
+        scratch.drop(found)
+        p, q = F.col("c") / F.col("times"), F.col("q")
+        sums = entries.groupBy("context").agg(F.max("times").alias("times"), F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.sum((F.col("c") - DISCOUNT) / F.col("times")).alias("mass"))
+        rest_p, rest_q = F.greatest(1 - F.col("p"), F.lit(1e-9)), F.greatest(1 - F.col("q"), F.lit(1e-9))
+        divergence = F.col("d") + rest_p * F.log(rest_p / rest_q)
+        keep = F.least(F.greatest(1 - F.col("mass"), F.lit(1e-9)), F.lit(1.0))
+        states = scratch.save(sums.where((divergence >= MIN_DIVERGENCE) & (divergence * F.col("times") >= MIN_EVIDENCE)).select("context", keep.alias("keep"), F.col("times").alias("state_times")))
+        mass = F.when(F.col("keep").isNotNull(), (F.col("c") - DISCOUNT) / F.col("times"))
+        prob = F.coalesce(mass + F.col("keep") * q, q)
+        before = scratch.save(entries.join(states, "context", "left").select("g", "c", prob.alias("prob"), mass.alias("mass"), F.log10(prob / (F.col("keep") * q)).alias("v")))
+        scratch.drop(entries)
+        explicit = before.where("mass is not null")
+        tree.append((states.select("context", "keep"), explicit.select("g", "mass")))
+        values += [states.select(F.col("context").alias("key"), F.log10("keep").alias("v"), F.col("state_times").alias("c")), explicit.select(F.col("g").alias("key"), "v", "c")]
+    one = reduce(DataFrame.unionByName, values) if values else spark.createDataFrame([], "key long, v double, c long")
+    return Model(tokens, types, words, counts, tree, scratch.save(one.groupBy("key").agg(F.sum("v").alias("v"), F.max("c").alias("c")))), vocabulary
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,43 +292,67 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"]
+    cached, cached_v = _read(model.values.where(F.col("c") >= F.lit(model.tokens * MIN_CACHED)).select("key", "v"))
+    others = model.values.where(F.col("c") < F.lit(model.tokens * MIN_CACHED)).select("key", "v")
+    shared = spark.sparkContext.broadcast((model.words, model.base(model.counts), cached, np.append(cached_v, 0.0), Sketch.of(others.select("key"))))
+    depth = len(model.tree)
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "runs"]
+
+    def lists(values, lengths):
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
     def run(batches):
-        m = shared.value
-        log_base = np.log10(m.base(m.counts)) if len(m.counts) else np.zeros(1)
+        words, base_of, cached, cached_v, sketch = shared.value
+        log_base = np.log10(base_of) if len(base_of) else np.zeros(1)
         for b in batches:
             n = b.num_rows
             tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
             base, full = np.zeros(n), np.zeros(n)
-            rare, lengths = [], np.zeros(n, np.int64)
+            rare, lengths = [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
+            runs, runs_of = [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
             for a, s, starts in streams(b.column(1)):
                 k = len(starts) - 1
-                at, head, explicit, factor = m.walk(s, starts)
+                opening = np.zeros(len(s), bool)
+                opening[starts[:-1]] = True
+                at = np.flatnonzero(~opening)
                 row = np.searchsorted(starts, at, "right") - 1
+                before = at - starts[row]
+                head = words.find(s[at])
                 is_head = head >= 0
-                here = log_base[np.maximum(head, 0)]
                 tokens[a : a + k] = np.bincount(row, minlength=k)
                 known[a : a + k] = np.bincount(row[is_head], minlength=k)
-                base[a : a + k] = np.bincount(row[is_head], here[is_head], minlength=k)
-                whole = np.where(is_head, np.log10(explicit + factor * 10.0**here), np.log10(factor))
-                full[a : a + k] = np.bincount(row, whole, minlength=k)
-                rare.append(s[at[~is_head]].view(np.int64))
+                base[a : a + k] = np.bincount(row[is_head], log_base[head[is_head]], minlength=k)
+                keys, of = [], []
+                for j in range(1, depth + 2 if depth else 1):
+                    # of one symbol, the contexts; a longer run that ends its text is no context of a state
+                    on = before >= j - 1
+                    h, r = (s[at - 1], row) if j == 1 else (gram(s, at[on], j), row[on])
+                    found = cached.find(h)
+                    full[a : a + k] += np.bincount(r, cached_v[found], minlength=k)
+                    ask = (found < 0) & sketch.has(h)
+                    keys.append(h[ask])
+                    of.append(r[ask])
+                if keys:
+                    of = np.concatenate(of)
+                    order = np.argsort(of, kind="stable")
+                    runs.append(np.concatenate(keys)[order])
+                    runs_of[a : a + k] = np.bincount(of, minlength=k)
+                full[a : a + k] += base[a : a + k]
+                rare.append(s[at[~is_head]])
                 lengths[a : a + k] = np.bincount(row[~is_head], minlength=k)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(full), lists], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(full), lists(np.concatenate(rare), lengths), lists(np.concatenate(runs), runs_of)], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, runs array<long>")
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
     asked = rows.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("times"))
     c = F.coalesce("c", F.lit(0))
     part = F.log10((c + SMOOTH) / F.lit(model.tokens + SMOOTH * (model.types + 1)))
     met = asked.join(vocabulary, "h", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(part * F.col("times")).alias("logs"))
-    out = rows.drop("rare").join(met, "row", "left")
+    more = rows.select("row", F.explode("runs").alias("key")).join(others, "key").groupBy("row").agg(F.sum("v").alias("added"))
+    out = rows.drop("rare", "runs").join(met, "row", "left").join(more, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs + F.coalesce("added", F.lit(0.0))).alias("score"))
 
 
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -535,6 +535,32 @@ def test_suffix_tree_edges(spark, odd, nothing):
     assert suffix_tree.score(nothing, model, vocabulary, scratch).count() == 0
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"rare{i}" for i in range(60))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 2500)) for _ in range(400)] + [passage] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    model, vocabulary = suffix_tree.fit(docs, scratch)
+    r = suffix_tree.score(docs.where("doc_id = 400"), model, vocabulary, scratch).first()
+    assert r["n_known"] == 61 and r["score"] > 0.5 * r["base_score"]
+
+
+def test_suffix_tree_tables_score_as_the_tree_walks(spark, small, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "MIN_CACHED", 1e-3)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    scratch = Scratch(spark, "t")
+    model, vocabulary = suffix_tree.fit(docs.where(~held_out(F.col("doc_id"), 10)), scratch)
+    v = vocabulary.toPandas()
+    count = dict(zip(v.h.to_numpy(np.int64).view(np.uint64).tolist(), v.c, strict=True))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, model, vocabulary, scratch).collect()}
+    rows = docs.collect()
+    for k, (_, s, starts) in enumerate(x for r in rows for x in suffix_tree.streams(pa.array([r["text"]], pa.string()))):
+        at, _, explicit, factor = model.walk(s, starts)
+        base = model.base(np.array([count.get(x, 0) for x in s[at].tolist()]))
+        assert got[rows[k]["doc_id"]] == pytest.approx(np.log10(explicit + factor * base).sum())
+
+
 # --- SQL and the pipeline ---------------------------------------------------------------------------------------------------
 
 
