@@ -107,6 +107,13 @@ def agg_product(spark, d):
     return Cube("c", table, Forest.of(ms.Aggregator("p", "grown", "PRODUCT"))).query("p", group_by="l_orderkey", filter=fl.compare("l_orderkey", "<=", 500))
 
 
+@query("SELECT l_orderkey, product(1 + l_discount) AS p, product(1 + l_tax) FILTER (WHERE l_returnflag = 'R') AS p_r FROM lineitem GROUP BY 1")
+def agg_product_all_orders(spark, d):
+    table = tpch_table(spark, d).with_column(tb.SqlColumn("grown", "1 + l_discount")).with_column(tb.SqlColumn("taxed", "1 + l_tax"))
+    forest = Forest.of(ms.Aggregator("p", "grown", "PRODUCT"), ms.Aggregator("p_r", "taxed", "PRODUCT", filter=fl.where("l_returnflag", "R")))
+    return Cube("c", table, forest).query("p", "p_r", group_by="l_orderkey")
+
+
 on_cube(
     "agg_rank2_by_flag",
     "SELECT l_returnflag, max(v) FILTER (WHERE r = 2) AS second, min(w) FILTER (WHERE s = 3) AS third_least FROM (SELECT l_returnflag, l_extendedprice AS v, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS r, l_extendedprice AS w, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS s FROM lineitem) GROUP BY 1",
@@ -340,6 +347,7 @@ on_shops("filters_predicate", "length(a) = 3", fl.Where("a", fl.Predicate(lambda
 # --- tables, joins, columns ------------------------------------------------------------------------------------
 
 on_cube("drillthrough_rows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity_2 FROM lineitem WHERE l_orderkey < 200", "quantity", "returned", forest=(RETURNED,), group_by=("l_orderkey", "l_linenumber"), filter=fl.compare("l_orderkey", "<", 200), options=("DRILLTHROUGH",))
+on_cube("drillthrough_all_rows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity_2 FROM lineitem", "quantity", "returned", forest=(RETURNED,), group_by=("l_orderkey", "l_linenumber"), options=("DRILLTHROUGH",))
 
 
 @query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")

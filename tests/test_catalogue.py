@@ -38,6 +38,12 @@ def test_query(spark, duck, small, name):
     assert normal(tuple(r[c] for c in columns) for r in got.collect()) == normal(tuple(r[i] for i in order) for r in expected.fetchall())
 
 
+def test_product_and_drillthrough_over_whole_tables(spark, duck, small):
+    rows, orders = duck.execute("SELECT count(*), count(DISTINCT l_orderkey) FROM lineitem").fetchone()
+    assert catalogue.QUERIES["agg_product_all_orders"](spark, small).count() == orders
+    assert catalogue.QUERIES["drillthrough_all_rows"](spark, small).count() == rows
+
+
 def test_entry_module(spark):
     spec = importlib.util.spec_from_file_location("entry", os.path.join(os.path.dirname(__file__), "..", "__spark_entry__.py"))
     m = importlib.util.module_from_spec(spec)
