@@ -2,7 +2,7 @@
 
 Each page's containers are scored by the prose that stands directly in them; per host, Spark sums
 the scores of generalised tag-class paths; the winning paths of a host then choose, in a second
-reading of each page, the containers whose text is kept.
+reading of each page, the containers whose text is kept: all below the article that a path stands in.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
-#: Hosts' winning paths are broadcast up to so many rows; beyond, they are joined by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Hosts' winning and side paths are broadcast up to so many; beyond, they are joined by shuffle.
+BROADCAST_PATHS = 200_000
 
 
 def is_odd(tag: str, names: list[str]) -> bool:
@@ -168,13 +168,48 @@ def scores(found: list[tuple[str, str, float]]) -> dict[str, float]:
     return out
 
 
-def text_of(found: list[tuple[str, str, float]], winners: list[str] | None) -> str:
-    """Blocks below a winning path, joined by newlines; where no winner has text, below the page's own best path."""
-    for paths in (winners or [], [max(s, key=lambda p: (s[p], -len(p), p))] if (s := scores(found)) else []):
-        kept = [t for t, p, _ in found if any(p == w or p.startswith((f"{w}>", f"{w}.")) for w in paths)]
-        if kept:
-            return "\n".join(kept)
-    return ""
+def roots(path: str) -> list[str]:
+    """Where the article of a path begins: its outermost article, else container that is named so, else main, else itself.
+
+    Sections that stand side by side are one article; a quotation belongs to what is around it.
+    """
+    parts = path.split(">")
+    last = [x.split(".") for x in parts]
+    for test in (lambda x: x[0] == "article", lambda x: x[0] in ("div", "section") and any(ARTICLE.fullmatch(c) for c in x[1:]), lambda x: x[0] == "main"):
+        k = next((k for k, x in enumerate(last) if test(x)), None)
+        if k is not None:
+            parts, last = parts[: k + 1], last[: k + 1]
+            break
+    else:
+        while len(parts) > 2 and last[-1][0] == "blockquote":
+            parts, last = parts[:-1], last[:-1]
+    root = ">".join(parts)
+    return [root, ">".join([*parts[:-1], "section"])] if last[-1][0] == "section" else [root]
+
+
+def best_of(s: dict[str, float]) -> str:
+    """The path of the highest score."""
+    return max(s, key=lambda p: (s[p], -len(p), p))
+
+
+def text_of(found: list[tuple[str, str, float]], winners: list[str] | None, side: list[str] | None = None) -> str:
+    """Blocks below the roots of winning paths, joined by newlines.
+
+    Where these have less than half of the page's score, and the page's own best path is not one
+    that other pages of the host score low (``side``), blocks below its root.
+    """
+    s = scores(found)
+    if not s:
+        return ""
+
+    def below(paths: list[str]) -> set[str]:
+        w = tuple({x for p in paths for r in roots(p) for x in (f"{r}>", f"{r}.")})
+        return {p for p in s if f"{p}>".startswith(w)}
+
+    kept, own = below(winners or []), best_of(s)
+    if not kept or own not in kept and own not in (side or []) and sum(s[p] for p in kept) < 0.5 * sum(s.values()):
+        kept = below([own])
+    return "\n".join(t for t, p, _ in found if p in kept)
 
 
 def host_of(url: Column) -> Column:
@@ -183,7 +218,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, votes and pages: each page splits one vote between its containers by score."""
+    """host, path, votes, pages and best (pages on which it scores most): each page splits one vote between its containers by score."""
 
     def run(batches):
         for b in batches:
@@ -191,25 +226,31 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = scores(blocks(html.as_py() or ""))
                 total = sum(s.values()) or 1.0
+                own = best_of(s) if s else None
                 for path, x in s.items():
-                    v = rows.setdefault((host, path), [0.0, 0])
+                    v = rows.setdefault((host, path), [0.0, 0, 0])
                     v[0] += x / total
                     v[1] += 1
+                    v[2] += path == own
             if rows:
                 host, path = zip(*rows, strict=True)
-                votes, n = zip(*rows.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(path), pa.array(votes), pa.array(n, pa.int64())], names=["host", "path", "votes", "pages"])
+                votes, n, best = zip(*rows.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(path), pa.array(votes), pa.array(n, pa.int64()), pa.array(best, pa.int64())], names=["host", "path", "votes", "pages", "best"])
 
-    voted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string, votes double, pages long")
+    voted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string, votes double, pages long, best long")
     # rounding makes the sums the same in any order
-    return voted.groupBy("host", "path").agg(F.sum(F.round("votes", 6).cast("decimal(28,6)")).alias("votes"), F.sum("pages").alias("pages"))
+    return voted.groupBy("host", "path").agg(F.sum(F.round("votes", 6).cast("decimal(28,6)")).alias("votes"), F.sum("pages").alias("pages"), F.sum("best").alias("best"))
+
 
+def winners(paths: DataFrame, share: float = 0.5) -> DataFrame:
+    """host, its winning paths (the best and all with ``share`` of its votes) and side paths (a page's best, but under half of the votes of the pages that have it).
 
-def winners(paths: DataFrame, share: float = 0.5, most: int = 16) -> DataFrame:
-    """host and its winning paths: the best, and others with ``share`` of its votes (``most`` at most; other pages fall back on their own best path)."""
-    ranked = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    w = paths.withColumn("no", F.row_number().over(ranked)).withColumn("top", F.first("votes").over(ranked)).where((F.col("no") <= most) & (F.col("votes") >= F.col("top") * share))
-    return w.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    A path of a single page is in neither: there its own score decides.
+    """
+    w = paths.withColumn("top", F.max("votes").over(Window.partitionBy("host"))).where("pages > 1")
+    won = F.col("votes") >= F.col("top") * share
+    side = ~won & (F.col("best") > 0) & (F.col("votes") < 0.5 * F.col("pages"))
+    return w.where(won | side).groupBy("host").agg(F.sort_array(F.collect_list(F.when(won, F.col("path")))).alias("paths"), F.sort_array(F.collect_list(F.when(side, F.col("path")))).alias("side"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -221,15 +262,16 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     small_batches(spark)
-    won = scratch.save(winners(host_paths(pages, url_col, html_col)).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")))
-    side = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
+    won = scratch.save(winners(host_paths(pages, url_col, html_col)).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"), F.col("side").alias("__side")))
+    n_paths = won.agg(F.sum(F.size("__paths") + F.size("__side"))).first()[0] or 0
+    side = F.broadcast(won) if n_paths <= BROADCAST_PATHS else won
     rows = pages.drop("text", "n_chars").withColumn("__host", host_of(F.col(url_col))).join(side, "__host", "left").drop("__host")
-    kept = [f for f in rows.schema.fields if f.name not in (html_col, "__paths")]
+    kept = [f for f in rows.schema.fields if f.name not in (html_col, "__paths", "__side")]
 
     def run(batches):
         for b in batches:
             names = b.schema.names
-            texts = [text_of(blocks(h.as_py() or ""), p.as_py()) for h, p in zip(b.column(names.index(html_col)), b.column(names.index("__paths")), strict=True)]
+            texts = [text_of(blocks(h.as_py() or ""), p.as_py(), x.as_py()) for h, p, x in zip(*(b.column(names.index(c)) for c in (html_col, "__paths", "__side")), strict=True)]
             columns = [b.column(names.index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), "text", "n_chars"])
 

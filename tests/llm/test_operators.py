@@ -205,6 +205,31 @@ def test_hosts_agree_on_a_path(spark):
     assert got[9] == "Brief." and got[0] == long.strip()
 
 
+LONG_PROSE = "<p>Some words, that make a sentence, and more of them. And another one.</p>" * 20
+
+
+@pytest.mark.parametrize("page, parts", [
+    ("<article><h1>T</h1><p>lead</p><div class='body'>{}</div></article>", ["T", "lead"]),
+    ("<body><section class='intro'><p>lead</p></section><section class='main'>{}</section></body>", ["lead"]),
+    ("<article><p>lead</p><table><tr><td>{}</td></tr></table><p>end</p></article>", ["lead", "end"]),
+])
+def test_whole_article_around_the_winning_path(spark, page, parts):
+    rows = [(i, f"http://h.z/{i}", page.format(LONG_PROSE)) for i in range(3)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        lines = r["text"].split("\n")
+        assert set(parts) < set(lines) and len(lines) == 20 + len(parts)
+
+
+def test_minority_templates_and_many_winners(spark):
+    major = f"<div class='a'>{LONG_PROSE}</div>"
+    minor = f"<div class='a'><p>scrap</p></div><div class='b'>{LONG_PROSE}</div>"
+    rows = [(i, f"http://h.z/{i}", major if i < 20 else minor) for i in range(22)]
+    rows += [(100 + i, "http://many.z", f"<div class='t{'x' * (i // 3)}'><p>Brief.</p></div><div class='promo-x'><p>no</p></div><div class='common'>{LONG_PROSE if i == 0 else '<p>c</p>'}</div>") for i in range(90)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[21] == got[0] and "scrap" not in got[20]
+    assert all("Brief." in got[100 + i] for i in range(1, 90))
+
+
 def test_pages_of_the_test_data(spark, small):
     from html import unescape
 
