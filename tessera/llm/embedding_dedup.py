@@ -2,7 +2,8 @@
 
 Equal vectors are one. The rest is dealt into shards; each shard's graph is built by itself; every
 vector queries every shard. A beam begins narrow and is widened, for all queries of a task until a
-recall audit against an exact scan of some of them passes, and for a single query while its whole
+recall audit against an exact scan of some of them passes (recall a query, without the query itself,
+for queries of few links and of many apart), and for a single query while its whole
 beam lies above the threshold, ending in an exact scan of the shard, so that no number of partners
 is a cap. Candidates are verified by cosine in double precision; links leave a task as counts and
 as edges that connect what the links connect.
@@ -28,11 +29,16 @@ BATCH = 256
 #: Neighbours of a node on the upper layers (twice as many on the lowest), beam while building.
 NEIGHBOURS = 12
 BUILD_BEAM = 48
-#: The first beam of a query, nodes that it expands at once, queries that are audited, recall that must be reached.
+#: The first beam of a query, nodes that it expands at once, recall that must be reached.
 BEAM = 16
 EXPAND = 4
-AUDITED = 48
 RECALL = 0.98
+#: The audit draws queries until those of SMALL links at most have AUDIT_LINKS together, or AUDIT_MOST
+#: are drawn; with fewer links than that it proves little, and the first beam is WIDE.
+AUDIT_LINKS = 200
+AUDIT_MOST = 2048
+SMALL = 16
+WIDE = 128
 #: Slack of single precision while searching.
 SLACK = 1e-4
 
@@ -221,13 +227,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def query_shard(graph: Graph, unit: np.ndarray, ids: np.ndarray, weights: np.ndarray, q_ids: np.ndarray, q: np.ndarray, threshold: float) -> tuple[list[tuple[int, int | None, int]], float, int]:
     """(query, a linked node or None, rows linked) for each query and edges between nodes; recall and beam of the audit."""
     single = q.astype(np.float32)
-    audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-    truth = [np.flatnonzero(unit @ q[i] >= threshold) for i in audited]
-    beam, recall = BEAM, 1.0
-    while True:
+    audited, truth, few = [], [], 0
+    drawn = np.random.default_rng(11).permutation(len(q))[:AUDIT_MOST]
+    for at in range(0, len(drawn), 64):
+        if few >= AUDIT_LINKS:
+            break
+        some = drawn[at : at + 64]
+        for i, near in zip(some.tolist(), (unit @ q[some].T >= threshold).T, strict=True):
+            t = np.flatnonzero(near & (ids != q_ids[i]))
+            if len(t):
+                audited.append(i)
+                truth.append(t)
+                few += len(t) * (len(t) <= SMALL)
+    small = np.array([len(t) <= SMALL for t in truth], bool)
+    # where all queries were drawn, the audit is complete however few the links
+    beam, recall = BEAM if few >= AUDIT_LINKS or len(drawn) == len(q) else WIDE, 1.0
+    while audited:
         got = graph.within(single[audited], threshold - SLACK, beam)
-        total = sum(map(len, truth))
-        recall = sum(len(np.intersect1d(t, g)) for t, g in zip(truth, got, strict=True)) / total if total else 1.0
+        each = np.array([len(np.intersect1d(t, g)) / len(t) for t, g in zip(truth, got, strict=True)])
+        recall = min(float(each[x].mean()) for x in (small, ~small) if x.any())
         if recall >= RECALL or beam > 512:
             break
         beam *= 2
@@ -295,6 +313,9 @@ def link(vectors: DataFrame, threshold: float = 0.95, shards: int | None = None,
         return out.assign(a=out["a"].astype("Int64"), b=out["b"].astype("Int64"), recall=recall, beam=beam)
 
     found = scratch.save(asked.groupBy("dim", "shard", "block").cogroup(served.groupBy("dim", "shard", "block")).applyInPandas(ask, "a long, b long, n long, recall double, beam int"))
+    recall = found.agg(F.min("recall")).first()[0]
+    if recall is not None and recall < RECALL:
+        raise RuntimeError(f"an audit found a recall of {recall:.4f} at the widest beam; {RECALL} is asked for")
     counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     parts = scratch.save(components(found, scratch))
     known = classes.join(counts, "id", "left").join(parts, F.col("id") == F.col("node"), "left")

@@ -363,6 +363,28 @@ def test_embedding_links_against_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_audit_sees_links_of_small_groups():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 16))
+    x[:400] = x[0] + 0.001 * rng.normal(size=(400, 16))  # a hot group
+    x[1000:] = x[800:1000] + 0.01 * rng.normal(size=(200, 16))  # pairs
+    unit = embedding_dedup._unit(x)
+
+    class Narrow:
+        """Finds large groups and the query itself always, a single partner at beams of 64 or more."""
+
+        def within(self, q, bound, beam):
+            near = [np.flatnonzero(unit @ v >= bound) for v in q]
+            return [t if beam >= 64 or len(t) > 2 else t[[np.argmax(unit[t] @ v)]] for t, v in zip(near, q, strict=True)]
+
+    ids = np.arange(len(x))
+    found, recall, beam = embedding_dedup.query_shard(Narrow(), unit, ids, np.ones(len(x), np.int64), ids, unit, 0.95)
+    n = collections.Counter()
+    for a, _, k in found:
+        n[a] += k
+    assert beam >= 64 and recall == 1.0 and all(n[i] == 1 for i in range(800, 1200)) and n[0] == 399
+
+
 def test_embedding_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, []), (9, [1.0]), (None, [1.0, 0.0]), (10, [0.0, 1.0]), (10, [0.0, 1.0])]
