@@ -123,12 +123,12 @@ class Items:
             yield i, s, start
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[str | None]]]:
-    """The items in blocks of bounded size, in order of their ids."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool = False) -> Iterator[tuple[list[int], list[str | None]]]:
+    """The items in blocks of bounded size, in order of their ids; those without an id if ``nameless``."""
     block_ids: list[int] = []
     block: list[str | None] = []
     size = 0
-    for r in benchmark.select(F.col(id_col).cast("long"), text_col).where(F.col(id_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
+    for r in benchmark.select(F.col(id_col).cast("long"), text_col).where(F.lit(nameless) | F.col(id_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         block_ids.append(r[0])
         block.append(r[1])
         size += len((r[1] or "").split())
@@ -177,11 +177,11 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text holds no item; null ids are kept rows like others."""
+    """The rows of ``docs``, all columns as they are, whose text holds no item, whether the item has an id or not; null ids are kept rows like others."""
     spark = docs.sparkSession
     small_batches(spark)
     out = docs
-    for _, texts in item_blocks(benchmark, item_id_col, item_text_col):
+    for _, texts in item_blocks(benchmark, item_id_col, item_text_col, nameless=True):
         shared = spark.sparkContext.broadcast(Items(texts))
 
         def run(batches, shared=shared):

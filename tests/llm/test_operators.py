@@ -150,6 +150,13 @@ def test_decontamination_edges(spark, odd, nothing, monkeypatch):
     assert collections.Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find(odd, items).collect()) == got
 
 
+def test_items_without_an_id_are_cleaned_too(spark, odd):
+    items = spark.createDataFrame([(None, BASE), (2, "absent words that nobody wrote anywhere")], "item_id long, text string")
+    kept = [r["doc_id"] for r in decontaminate.clean(odd, items).collect()]
+    assert sorted(map(str, kept)) == sorted(str(r[0]) for r in ODD if r[1] is None or BASE not in r[1])
+    assert decontaminate.find(odd, items).count() == 0
+
+
 def test_multi_index_guarantee():
     rng = np.random.default_rng(0)
     items = decontaminate.Items([" ".join(f"t{rng.integers(1000)}" for _ in range(30)) for _ in range(50)])
