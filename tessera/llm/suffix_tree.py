@@ -1,26 +1,30 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Counts come from all training documents. The tree's states are contexts of up to DEPTH words whose
-next-symbol distribution diverges from that of their longest proper suffix; their repeated next
-symbols are explicit, the rest of their mass is spread as their suffix spreads it, down to the
-smoothed single-word distribution, so that every state's distribution sums to one. A word is scored
-in the state of the longest suffix of what precedes it.
+next-symbol distribution diverges from that of their longest proper suffix; next symbols that tell
+enough by themselves are explicit, the rest of their mass is spread as their suffix spreads it, down
+to the smoothed single-word distribution, so that every state's distribution sums to one. A word is
+scored in the state of the longest suffix of what precedes it.
 
 Thresholds are absolute counts and evidence, so the tree grows with the corpus. It is kept in
 written tables. A log probability is a sum of one value for each run of 1 to DEPTH + 1 symbols that
 end at a word (what the run adds as an entry, and its state's share for the shorter suffix), so
-runs are looked up by one join. What is broadcast has a bounded size and only saves work: the
-values of the most frequent runs, and a sketch of those that the tables hold.
+runs are looked up by their hash. Counts and lookups travel as sorted arrays, dealt into buckets by
+the leading bits of a hash; a task holds one bucket at a time, and no key's rows are more than one
+for each batch. What is broadcast has a bounded size and only saves work: the values of the most
+frequent runs, and a sketch of those that the tables hold.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +36,19 @@ DEPTH = 3
 #: Shares of all training tokens from which a word (2,000,000 at most) and a run's value (1,000,000
 #: of a length at most) are broadcast; those of rarer ones are looked up in tables.
 MIN_HEAD, MIN_CACHED = 5e-7, 1e-6
-#: An entry is explicit from this count on.
-MIN_COUNT = 2
+#: An entry is explicit from this count on, and if its count times its own log ratio in nats reaches this.
+MIN_COUNT, MIN_GAIN = 2, 4.0
 #: A context stays if its divergence in nats, and that times its count, reach these.
-MIN_DIVERGENCE, MIN_EVIDENCE = 0.01, 30.0
+MIN_DIVERGENCE, MIN_EVIDENCE = 0.01, 6.0
 #: 64-bit words of a sketch at most, as a power of two (64 MB).
 SKETCH_BITS = 23
+#: Keys of a bucket, about; more keys take more buckets.
+BUCKET_KEYS = 2_000_000
 DISCOUNT = 0.75
 SMOOTH = 0.1
 END = 0x1E0D0C0B0A09A7E5
+#: Leading bits of a word's hash that make its bucket while words are counted.
+WORD_BITS = 10
 #: Distinct entries that a counting task holds before it passes them on.
 HELD = 1_500_000
 
@@ -79,11 +87,13 @@ class Sketch:
     """A Bloom filter of 64-bit keys, each within one word of ``bits``."""
 
     bits: np.ndarray
-    shift: int
 
-    @classmethod
-    def of(cls, keys: DataFrame) -> "Sketch":
-        """The filter of the only column of ``keys``, of 10 bits a key while SKETCH_BITS allows."""
+    def __post_init__(self):
+        self.shift = np.uint64(64 - (len(self.bits).bit_length() - 1))
+
+    @staticmethod
+    def of(keys: DataFrame) -> np.ndarray:
+        """The words of the filter of the only column of ``keys``, of 10 bits a key while SKETCH_BITS allows."""
         h = F.col(keys.columns[0])
         power = min(SKETCH_BITS, max(4, math.ceil(math.log2(keys.count() * 10 / 64 + 1))))
         bit = lambda k: f"shiftleft(1L, cast(shiftrightunsigned(h, {k}) & 63 AS int))"
@@ -91,13 +101,13 @@ class Sketch:
         got = at.groupBy("at").agg(F.bit_or("m").alias("m")).toArrow()
         bits = np.zeros(1 << power, np.uint64)
         bits[got["at"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
-        return cls(bits, 64 - power)
+        return bits
 
     def has(self, h: np.ndarray) -> np.ndarray:
         """Whether each key may be among those of the filter; always true for those that are."""
         one, low = np.uint64(1), np.uint64(63)
         m = (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low))
-        return self.bits[(h >> np.uint64(self.shift)).astype(np.int64)] & m == m
+        return self.bits[(h >> self.shift).astype(np.int64)] & m == m
 
 
 def streams(texts: pa.Array):
@@ -124,13 +134,34 @@ def gram(s: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def places(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of scored symbols (all but the END before each text), their rows, and the symbols before each in its row."""
+    scored = np.ones(n, bool)
+    scored[starts[:-1]] = False
+    at = np.flatnonzero(scored)
+    row = np.searchsorted(starts, at, "right") - 1
+    return at, row, at - starts[row]
+
+
+def bits_for(n: int) -> int:
+    """How many leading bits of a hash make its bucket, for ``n`` keys."""
+    return max(4, math.ceil(math.log2(n / BUCKET_KEYS + 1)))
+
+
+def dealt(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """bucket, first and past the last of each bucket's keys, which are sorted."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+    yield from zip(bucket[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(keys)][: len(edge)], strict=True)
+
+
 @dataclass
 class Model:
     """The tree: head words, and tables of the states (context, keep) and explicit entries (g, mass) of each depth and of all values (key, v, c)."""
 
     tokens: int
     types: int
-    words: Lookup
+    words: np.ndarray
     counts: np.ndarray
     tree: list[tuple[DataFrame, DataFrame]]
     values: DataFrame
@@ -138,23 +169,19 @@ class Model:
     @cached_property
     def contexts(self) -> list[tuple[Lookup, np.ndarray]]:
         """The states of each depth, read to the driver (for small trees)."""
-        return [_read(states) for states, _ in self.tree]
+        return [(Lookup(h), x) for h, x in (_read(states) for states, _ in self.tree)]
 
     @cached_property
     def entries(self) -> list[tuple[Lookup, np.ndarray]]:
         """The explicit entries of each depth, read to the driver (for small trees)."""
-        return [_read(entries) for _, entries in self.tree]
+        return [(Lookup(h), x) for h, x in (_read(entries) for _, entries in self.tree)]
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return (c + SMOOTH) / (self.tokens + SMOOTH * (self.types + 1))
 
-    def walk(self, s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of scored symbols; index of each in the head (-1: rare); its probability as explicit parts and as the factor of the base."""
-        opening = np.zeros(len(s), bool)
-        opening[starts[:-1]] = True
-        at = np.flatnonzero(~opening)
-        depth = at - starts[np.searchsorted(starts, at, "right") - 1]  # symbols before, END included
-        head = self.words.find(s[at])
+    def walk(self, s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of scored symbols; the probability of each as explicit parts and as the factor of the base (for small trees)."""
+        at, _, depth = places(starts, len(s))
         explicit, factor = np.zeros(len(at)), np.ones(len(at))
         for n, ((contexts, keep), (entries, mass)) in enumerate(zip(self.contexts, self.entries, strict=True), 1):
             live = np.flatnonzero(depth >= n)
@@ -166,95 +193,100 @@ class Model:
             factor[live] *= keep[c]
             e = entries.find(gram(s, at[live], n + 1))
             explicit[live[e >= 0]] += mass[e[e >= 0]]
-        return at, head, explicit, factor
+        return at, explicit, factor
 
 
-def _read(rows: DataFrame) -> tuple[Lookup, np.ndarray]:
-    """A table of keys and numbers."""
+def _read(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys and the numbers of a table."""
     got = rows.toArrow()
     h, x = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     order = np.argsort(h)
-    return Lookup(h[order]), x[order]
-
+    return h[order], x[order]
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """h and c: how often each symbol occurs."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged():
-            k = np.concatenate([x for x, _ in held])
-            keys, at = np.unique(k, return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
-
-        def out(keys, c):
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(c[a : a + 100_000])], names=["h", "c"])
-
-        for b in batches:
-            for _, s, starts in streams(b.column(0)):
-                held.append(np.unique(np.delete(s, starts[:-1]), return_counts=True))
-                if sum(len(k) for k, _ in held) > HELD:
-                    held = [merged()]
-                    if len(held[0][0]) > HELD // 2:
-                        yield from out(*held.pop())
-        if held:
-            yield from out(*merged())
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Columns with equal first rows as one, their last rows added up."""
+    _, first, at = np.unique(x[0], return_index=True, return_inverse=True)
+    out = x[:, first]
+    out[-1] = np.bincount(at, x[-1].astype(np.float64), len(first)).astype(np.uint64)
+    return out
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
+    """g, c and, of runs of several symbols, context (all but the last) and shorter (all but the first).
 
-def _entry_counts(docs: DataFrame, shared, n: int) -> DataFrame:
-    """Counts of n + 1 symbols of which the first n and the last n may occur repeatedly, by the sketch ``shared``."""
+    Single symbols are all counted. Of longer runs those are that occur MIN_COUNT times or more; by
+    the sketch ``shared`` of runs one shorter that do, most others are not even gathered.
+    """
+    names = ["g", "c", "context", "shorter"][: 2 if n == 1 else 4]
 
-    def run(batches):
-        sketch = shared.value
+    def gather(batches):
+        sketch = Sketch(shared.value) if shared else None
         held: list[np.ndarray] = []
 
-        def merged():
-            x = np.concatenate(held, 1)
-            _, first, at = np.unique(x[0], return_index=True, return_inverse=True)
-            out = x[:, first]
-            out[3] = np.bincount(at, x[3].astype(np.float64), len(first)).astype(np.uint64)
-            return out
-
         def out(x):
-            for a in range(0, x.shape[1], 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000].view(np.int64)) for c in x], names=["g", "context", "shorter", "c"])
+            # the hash of two symbols is made of the other columns again
+            rows = [(bucket, x[1 if n == 2 else 0 :, a:b].tobytes()) for bucket, a, b in dealt(x[0], bits)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "x"])
 
         for b in batches:
             for _, s, starts in streams(b.column(0)):
-                opening = np.zeros(len(s), bool)
-                opening[starts[:-1]] = True
-                at = np.flatnonzero(~opening)
-                at = at[at - starts[np.searchsorted(starts, at, "right") - 1] >= n]
-                context = gram(s, at - 1, n)
-                ok = sketch.has(context)
-                at, context = at[ok], context[ok]
-                shorter = gram(s, at, n)
-                ok = sketch.has(shorter)
-                at, context, shorter = at[ok], context[ok], shorter[ok]
-                if len(at):
-                    g, first, c = np.unique(gram(s, at, n + 1), return_index=True, return_counts=True)
+                at, _, before = places(starts, len(s))
+                at = at[before >= n - 1]
+                if n == 1:
+                    g, c = np.unique(s[at], return_counts=True)
+                    held.append(np.stack([g, c.astype(np.uint64)]))
+                else:
+                    context = gram(s, at - 1, n - 1)
+                    ok = sketch.has(context)
+                    at, context = at[ok], context[ok]
+                    shorter = gram(s, at, n - 1)
+                    ok = sketch.has(shorter)
+                    context, shorter = context[ok], shorter[ok]
+                    g, first, c = np.unique(joined(context, s[at[ok]]), return_index=True, return_counts=True)
                     held.append(np.stack([g, context[first], shorter[first], c.astype(np.uint64)]))
                 if sum(x.shape[1] for x in held) > HELD:
-                    held = [merged()]
+                    held = [_summed(np.concatenate(held, 1))]
                     if held[0].shape[1] > HELD // 2:
-                        yield from out(held.pop())
+                        yield out(held.pop())
         if held:
-            yield from out(merged())
+            yield out(_summed(np.concatenate(held, 1)))
+
+    def merge(batches):
+        bucket, held = None, []
 
-    counted = docs.mapInArrow(run, "g long, context long, shorter long, c long")
-    return counted.groupBy("g").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("c").alias("c"))
+        def out():
+            x = np.concatenate(held, 1)
+            x = _summed(np.concatenate([joined(x[0], x[1])[None], x]) if n == 2 else x)
+            x = x[:, x[-1] >= MIN_COUNT] if n > 1 else x
+            for a in range(0, x.shape[1], 100_000):
+                columns = [x[i, a : a + 100_000].view(np.int64) for i in (0, -1, *range(1, len(x) - 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != bucket and held:
+                    yield from out()
+                    held = []
+                bucket = k
+                held.append(np.frombuffer(x.as_buffer(), np.uint64).reshape(2 if n == 1 else 3 if n == 2 else 4, -1))
+        if held:
+            yield from out()
+
+    packed = texts.mapInArrow(gather, "bucket int, x binary").repartition("bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(merge, ", ".join(f"{x} long" for x in names))
 
 
 def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int = DEPTH) -> tuple[Model, DataFrame]:
-    """The model of all texts of ``docs``, and the counts of all words (h, c)."""
+    """The model of all texts of ``docs``, and the counts of all words (h, c).
+
+    Null and empty texts count as an end alone; no texts give a model without words. Other columns
+    are not read. A long text is a stream like others, never cut.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(text_col).alias("text"))
-    vocabulary = scratch.save(_counts(texts))
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    vocabulary = scratch.save(_counts(texts, 1, WORD_BITS).withColumnRenamed("g", "h"))
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words, counts = _read(vocabulary.where(F.col("c") >= F.lit(tokens * MIN_HEAD)))
     less = F.log10((F.col("c") + SMOOTH) / F.lit(tokens + SMOOTH * (types + 1)))
@@ -263,21 +295,26 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     for n in range(1, depth + 1):
         # a run's first and last n symbols occur at least as often as the run, so the joins lose none
         shared = spark.sparkContext.broadcast(Sketch.of(before.select("g")))
-        found = scratch.save(_entry_counts(texts, shared, n).where(F.col("c") >= MIN_COUNT))
+        found = _counts(texts, n + 1, bits_for(tokens), shared)
         times = before.select(F.col("g").alias("context"), F.col("c").alias("times"))
         known = before.select(F.col("g").alias("shorter"), F.col("prob").alias("q"))
         entries = scratch.save(found.join(known, "shorter").join(times, "context").select("g", "context", "c", "times", "q"))
-        scratch.drop(found)
         p, q = F.col("c") / F.col("times"), F.col("q")
-        sums = entries.groupBy("context").agg(F.max("times").alias("times"), F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.sum((F.col("c") - DISCOUNT) / F.col("times")).alias("mass"))
+        tells = F.abs(F.col("c") * F.log(p / q)) >= MIN_GAIN
+        mass = F.when(tells, (F.col("c") - DISCOUNT) / F.col("times"))
+        sums = entries.groupBy("context").agg(F.max("times").alias("times"), F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.coalesce(F.sum(mass), F.lit(0.0)).alias("mass"))
         rest_p, rest_q = F.greatest(1 - F.col("p"), F.lit(1e-9)), F.greatest(1 - F.col("q"), F.lit(1e-9))
         divergence = F.col("d") + rest_p * F.log(rest_p / rest_q)
         keep = F.least(F.greatest(1 - F.col("mass"), F.lit(1e-9)), F.lit(1.0))
-        states = scratch.save(sums.where((divergence >= MIN_DIVERGENCE) & (divergence * F.col("times") >= MIN_EVIDENCE)).select("context", keep.alias("keep"), F.col("times").alias("state_times")))
-        mass = F.when(F.col("keep").isNotNull(), (F.col("c") - DISCOUNT) / F.col("times"))
-        prob = F.coalesce(mass + F.col("keep") * q, q)
-        before = scratch.save(entries.join(states, "context", "left").select("g", "c", prob.alias("prob"), mass.alias("mass"), F.log10(prob / (F.col("keep") * q)).alias("v")))
+        stays = (divergence >= MIN_DIVERGENCE) & (divergence * F.col("times") >= MIN_EVIDENCE) & (F.col("mass") > 0)
+        states = scratch.save(sums.where(stays).select("context", keep.alias("keep"), F.col("times").alias("state_times")))
+        own = F.when(F.col("keep").isNotNull(), mass)
+        prob = F.coalesce(F.col("keep") * q, q) + F.coalesce(own, F.lit(0.0))
+        gain = F.when(own.isNotNull(), F.log10(prob / (F.col("keep") * q)))
+        grown = scratch.save(entries.join(states, "context", "left").select("g", "c", prob.alias("prob"), own.alias("mass"), gain.alias("v")))
         scratch.drop(entries)
+        shared.destroy()
+        before = grown
         explicit = before.where("mass is not null")
         tree.append((states.select("context", "keep"), explicit.select("g", "mass")))
         values += [states.select(F.col("context").alias("key"), F.log10("keep").alias("v"), F.col("state_times").alias("c")), explicit.select(F.col("g").alias("key"), "v", "c")]
@@ -285,74 +322,145 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     return Model(tokens, types, words, counts, tree, scratch.save(one.groupBy("key").agg(F.sum("v").alias("v"), F.max("c").alias("c")))), vocabulary
 
 
+#: Kinds of rows that meet in a bucket, in this order: what a batch of texts knows already, the
+#: values of words, words asked for, the values of runs, runs asked for.
+HEADER, WORDS, WORDS_ASKED, RUNS, RUNS_ASKED = range(5)
+ROWS = "bucket int, kind int, uid long, x binary, y binary"
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "uid", "x", "y"])
+
+
+def _values(keyed: DataFrame, kind: int, bits: int) -> DataFrame:
+    """A table of keys and numbers in ROWS."""
+
+    def run(batches):
+        held: list[np.ndarray] = []
+
+        def out():
+            x = np.concatenate(held, 1)
+            x = x[:, np.argsort(x[0])]
+            return _rows([(bucket, kind, 0, x[0, a:b].tobytes(), x[1, a:b].tobytes()) for bucket, a, b in dealt(x[0], bits)])
+
+        for b in batches:
+            held.append(np.stack([b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)]))
+            if sum(x.shape[1] for x in held) > HELD:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    return keyed.mapInArrow(run, ROWS)
+
+
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    Null and empty texts are the end alone; null and repeated ids are rows like others.
+    Null and empty texts are the end alone; null and repeated ids are rows like others; an empty
+    table gives an empty result. Other columns are not read. A long text is scored whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
     cached, cached_v = _read(model.values.where(F.col("c") >= F.lit(model.tokens * MIN_CACHED)).select("key", "v"))
     others = model.values.where(F.col("c") < F.lit(model.tokens * MIN_CACHED)).select("key", "v")
-    shared = spark.sparkContext.broadcast((model.words, model.base(model.counts), cached, np.append(cached_v, 0.0), Sketch.of(others.select("key"))))
-    depth = len(model.tree)
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "runs"]
-
-    def lists(values, lengths):
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
-
-    def run(batches):
-        words, base_of, cached, cached_v, sketch = shared.value
-        log_base = np.log10(base_of) if len(base_of) else np.zeros(1)
-        for b in batches:
-            n = b.num_rows
+    size = model.tokens + SMOOTH * (model.types + 1)
+    rarer = vocabulary.where(F.col("c") < F.lit(model.tokens * MIN_HEAD)).select("h", F.log10((F.col("c") + SMOOTH) / F.lit(size)).alias("v"))
+    log_base, log_none = np.log10(model.base(model.counts)), math.log10(SMOOTH / size)
+    shared = spark.sparkContext.broadcast((model.words, log_base, cached, cached_v, Sketch.of(others.select("key"))))
+    depth, bits = len(model.tree), bits_for(max(others.count(), model.types))
+
+    def ask(batches):
+        words, log_base, cached, cached_v, bloom = shared.value
+        words, cached, sketch = Lookup(words), Lookup(cached), Sketch(bloom)
+        log_base, cached_v = np.append(log_base, 0.0), np.append(cached_v, 0.0)
+        task = TaskContext.get().partitionId()
+        for no, b in enumerate(batches):
+            uid, n = (task << 32) | no, b.num_rows
             tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
             base, full = np.zeros(n), np.zeros(n)
-            rare, lengths = [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
-            runs, runs_of = [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
+            asked: dict[int, list] = {WORDS_ASKED: [], RUNS_ASKED: []}
             for a, s, starts in streams(b.column(1)):
                 k = len(starts) - 1
-                opening = np.zeros(len(s), bool)
-                opening[starts[:-1]] = True
-                at = np.flatnonzero(~opening)
-                row = np.searchsorted(starts, at, "right") - 1
-                before = at - starts[row]
+                at, row, before = places(starts, len(s))
                 head = words.find(s[at])
                 is_head = head >= 0
                 tokens[a : a + k] = np.bincount(row, minlength=k)
                 known[a : a + k] = np.bincount(row[is_head], minlength=k)
-                base[a : a + k] = np.bincount(row[is_head], log_base[head[is_head]], minlength=k)
-                keys, of = [], []
+                base[a : a + k] = np.bincount(row, np.where(is_head, log_base[head], log_none), minlength=k)
+                asked[WORDS_ASKED].append((s[at[~is_head]], a + row[~is_head]))
                 for j in range(1, depth + 2 if depth else 1):
                     # of one symbol, the contexts; a longer run that ends its text is no context of a state
                     on = before >= j - 1
                     h, r = (s[at - 1], row) if j == 1 else (gram(s, at[on], j), row[on])
                     found = cached.find(h)
                     full[a : a + k] += np.bincount(r, cached_v[found], minlength=k)
-                    ask = (found < 0) & sketch.has(h)
-                    keys.append(h[ask])
-                    of.append(r[ask])
-                if keys:
-                    of = np.concatenate(of)
-                    order = np.argsort(of, kind="stable")
-                    runs.append(np.concatenate(keys)[order])
-                    runs_of[a : a + k] = np.bincount(of, minlength=k)
-                full[a : a + k] += base[a : a + k]
-                rare.append(s[at[~is_head]])
-                lengths[a : a + k] = np.bincount(row[~is_head], minlength=k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(full), lists(np.concatenate(rare), lengths), lists(np.concatenate(runs), runs_of)], names=names)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, runs array<long>")
-    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
-    asked = rows.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    part = F.log10((c + SMOOTH) / F.lit(model.tokens + SMOOTH * (model.types + 1)))
-    met = asked.join(vocabulary, "h", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(part * F.col("times")).alias("logs"))
-    more = rows.select("row", F.explode("runs").alias("key")).join(others, "key").groupBy("row").agg(F.sum("v").alias("added"))
-    out = rows.drop("rare", "runs").join(met, "row", "left").join(more, "row", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs + F.coalesce("added", F.lit(0.0))).alias("score"))
+                    left = (found < 0) & sketch.has(h)
+                    asked[RUNS_ASKED].append((h[left], a + r[left]))
+            out = []
+            for kind, parts in asked.items():
+                h, r = (np.concatenate(c) if c else np.zeros(0, np.uint64) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                order = np.argsort(h)
+                h, r = h[order], r[order].astype(np.uint32)
+                out += [(bucket, kind, uid, h[i:j].tobytes(), r[i:j].tobytes()) for bucket, i, j in dealt(h, bits)] if len(h) else []
+            ids, lost = b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False)
+            out.append((uid % (1 << bits), HEADER, uid, np.stack([ids.view(np.uint64), lost.astype(np.uint64), tokens.view(np.uint64), known.view(np.uint64), base.view(np.uint64), full.view(np.uint64)]).tobytes(), b""))
+            yield _rows(out)
+
+    def answer(batches):
+        bucket, tables = None, {}
+        for b in batches:
+            out = []
+            for k, kind, uid, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+                if k != bucket:
+                    bucket, tables = k, {}
+                if kind == HEADER:
+                    out.append((0, kind, uid, x.as_py(), b""))
+                elif kind in (WORDS, RUNS):
+                    tables.setdefault(kind, []).append((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.float64)))
+                elif kind - 1 in tables:
+                    if isinstance(tables[kind - 1], list):
+                        keys, v = (np.concatenate(c) for c in zip(*tables[kind - 1], strict=True))
+                        order = np.argsort(keys)
+                        tables[kind - 1] = Lookup(keys[order]), v[order]
+                    lookup, v = tables[kind - 1]
+                    found = lookup.find(np.frombuffer(x.as_buffer(), np.uint64))
+                    row, of = np.unique(np.frombuffer(y.as_buffer(), np.uint32)[found >= 0], return_inverse=True)
+                    if len(row):
+                        sums = np.bincount(of, v[found[found >= 0]], len(row))
+                        out.append((0, kind, uid, row.astype(np.uint32).tobytes(), np.stack([np.bincount(of, minlength=len(row)).astype(np.float64), sums]).tobytes()))
+            if out:
+                yield _rows(out)
+
+    def add_up(batches):
+        now = None
+
+        def out():
+            ids, lost, tokens, known, base, full = now
+            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64), mask=lost > 0), *(pa.array(c) for c in (tokens.view(np.int64), known.view(np.int64), base.view(np.float64), base.view(np.float64) + full.view(np.float64)))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        for b in batches:
+            for kind, x, y in zip(b.column(1).to_pylist(), b.column(3), b.column(4), strict=True):
+                if kind == HEADER:
+                    if now is not None:
+                        yield out()
+                    now = np.frombuffer(x.as_buffer(), np.uint64).reshape(6, -1).copy()
+                    continue
+                row, (times, sums) = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.float64).reshape(2, -1)
+                if kind == WORDS_ASKED:
+                    now[3][row] += times.astype(np.uint64)
+                    now[4].view(np.float64)[row] += sums - times * log_none
+                else:
+                    now[5].view(np.float64)[row] += sums
+        if now is not None:
+            yield out()
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(ask, ROWS)
+    met = rows.unionByName(_values(rarer, WORDS, bits)).unionByName(_values(others, RUNS, bits)).repartition("bucket").sortWithinPartitions("bucket", "kind", "uid")
+    known = met.mapInArrow(answer, ROWS).repartition("uid").sortWithinPartitions("uid", "kind")
+    out = known.mapInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

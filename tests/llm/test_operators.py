@@ -574,7 +574,7 @@ def test_suffix_tree_sums_to_one(spark, small):
     for context in ([suffix_tree.END], [suffix_tree.END, int(known[0])], [suffix_tree.END, int(known[1]), int(known[2])], [suffix_tree.END, 12345]):
         s = np.concatenate([np.array([*context, x], np.uint64) for x in h])
         k = len(context) + 1
-        at, _, explicit, factor = model.walk(s, np.arange(0, len(s) + 1, k))
+        at, explicit, factor = model.walk(s, np.arange(0, len(s) + 1, k))
         last = at % k == k - 1
         assert (explicit[last] + factor[last] * base).sum() + factor[last][0] * model.base(np.array([0]))[0] == pytest.approx(1)
 
@@ -610,7 +610,7 @@ def test_suffix_tree_tables_score_as_the_tree_walks(spark, small, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, model, vocabulary, scratch).collect()}
     rows = docs.collect()
     for k, (_, s, starts) in enumerate(x for r in rows for x in suffix_tree.streams(pa.array([r["text"]], pa.string()))):
-        at, _, explicit, factor = model.walk(s, starts)
+        at, explicit, factor = model.walk(s, starts)
         base = model.base(np.array([count.get(x, 0) for x in s[at].tolist()]))
         assert got[rows[k]["doc_id"]] == pytest.approx(np.log10(explicit + factor * base).sum())
 
