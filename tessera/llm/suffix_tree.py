@@ -50,7 +50,9 @@ END = 0x1E0D0C0B0A09A7E5
 #: Leading bits of a word's hash that make its bucket while words are counted.
 WORD_BITS = 10
 #: Distinct entries that a counting task holds before it passes them on.
-HELD = 1_500_000
+HELD = 1_000_000
+#: Entries of a batch that a task passes on.
+BATCH_KEYS = 100_000
 
 
 @dataclass
@@ -121,17 +123,22 @@ def streams(texts: pa.Array):
         yield a, out, starts
 
 
-def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The hash of a context followed by one more symbol."""
-    return W.mix(context * np.uint64(0x9E3779B97F4A7C15) + (symbol ^ (symbol >> np.uint64(29))))
+def joined(context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """The hash of a run, out of those of all but its last symbol and of all but its first."""
+    return W.mix(context * np.uint64(0x9E3779B97F4A7C15) + (shorter ^ (shorter >> np.uint64(29))))
+
+
+def levels(s: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hashes of all runs of 1 to n symbols, by their first symbol."""
+    out = [s]
+    for _ in range(1, n):
+        out.append(joined(out[-1][:-1], out[-1][1:]))
+    return out
 
 
 def gram(s: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n symbols up to and including each end."""
-    out = s[ends - n + 1]
-    for k in range(n - 2, -1, -1):
-        out = joined(out, s[ends - k])
-    return out
+    return levels(s, n)[-1][ends - n + 1]
 
 
 def places(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,10 +164,11 @@ def dealt(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 @dataclass
 class Model:
-    """The tree: head words, and tables of the states (context, keep) and explicit entries (g, mass) of each depth and of all values (key, v, c)."""
+    """The tree: head words, and tables of all values (key, v, c) and, if kept, of the states (context, keep) and explicit entries (g, mass) of each depth."""
 
     tokens: int
     types: int
+    depth: int
     words: np.ndarray
     counts: np.ndarray
     tree: list[tuple[DataFrame, DataFrame]]
@@ -225,9 +233,14 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
         held: list[np.ndarray] = []
 
         def out(x):
-            # the hash of two symbols is made of the other columns again
-            rows = [(bucket, x[1 if n == 2 else 0 :, a:b].tobytes()) for bucket, a, b in dealt(x[0], bits)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "x"])
+            # the hash of several symbols is made of the other columns again
+            rows, size = [], 0
+            for bucket, a, b in dealt(x[0], bits):
+                rows.append((bucket, x[0 if n == 1 else 1 :, a:b].tobytes()))
+                size += b - a
+                if size > BATCH_KEYS or b == x.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "x"])
+                    rows, size = [], 0
 
         for b in batches:
             for _, s, starts in streams(b.column(0)):
@@ -237,27 +250,25 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
                     g, c = np.unique(s[at], return_counts=True)
                     held.append(np.stack([g, c.astype(np.uint64)]))
                 else:
-                    context = gram(s, at - 1, n - 1)
-                    ok = sketch.has(context)
-                    at, context = at[ok], context[ok]
-                    shorter = gram(s, at, n - 1)
-                    ok = sketch.has(shorter)
-                    context, shorter = context[ok], shorter[ok]
-                    g, first, c = np.unique(joined(context, s[at[ok]]), return_index=True, return_counts=True)
+                    runs = levels(s, n - 1)[-1]
+                    often = sketch.has(runs)
+                    at = at[often[at - n + 1] & often[at - n + 2]]
+                    context, shorter = runs[at - n + 1], runs[at - n + 2]
+                    g, first, c = np.unique(joined(context, shorter), return_index=True, return_counts=True)
                     held.append(np.stack([g, context[first], shorter[first], c.astype(np.uint64)]))
                 if sum(x.shape[1] for x in held) > HELD:
                     held = [_summed(np.concatenate(held, 1))]
                     if held[0].shape[1] > HELD // 2:
-                        yield out(held.pop())
+                        yield from out(held.pop())
         if held:
-            yield out(_summed(np.concatenate(held, 1)))
+            yield from out(_summed(np.concatenate(held, 1)))
 
     def merge(batches):
         bucket, held = None, []
 
         def out():
             x = np.concatenate(held, 1)
-            x = _summed(np.concatenate([joined(x[0], x[1])[None], x]) if n == 2 else x)
+            x = _summed(np.concatenate([joined(x[0], x[1])[None], x]) if n > 1 else x)
             x = x[:, x[-1] >= MIN_COUNT] if n > 1 else x
             for a in range(0, x.shape[1], 100_000):
                 columns = [x[i, a : a + 100_000].view(np.int64) for i in (0, -1, *range(1, len(x) - 1))]
@@ -269,7 +280,7 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
                     yield from out()
                     held = []
                 bucket = k
-                held.append(np.frombuffer(x.as_buffer(), np.uint64).reshape(2 if n == 1 else 3 if n == 2 else 4, -1))
+                held.append(np.frombuffer(x.as_buffer(), np.uint64).reshape(2 if n == 1 else 3, -1))
         if held:
             yield from out()
 
@@ -277,11 +288,12 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
     return packed.mapInArrow(merge, ", ".join(f"{x} long" for x in names))
 
 
-def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int = DEPTH) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int = DEPTH, keep_tree: bool = False) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs``, and the counts of all words (h, c).
 
     Null and empty texts count as an end alone; no texts give a model without words. Other columns
-    are not read. A long text is a stream like others, never cut.
+    are not read. A long text is a stream like others, never cut. Only with ``keep_tree`` the tree
+    stays beside the values that scoring needs.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -291,7 +303,7 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     words, counts = _read(vocabulary.where(F.col("c") >= F.lit(tokens * MIN_HEAD)))
     less = F.log10((F.col("c") + SMOOTH) / F.lit(tokens + SMOOTH * (types + 1)))
     before = vocabulary.where(F.col("c") >= MIN_COUNT).select(F.col("h").alias("g"), "c", F.pow(F.lit(10.0), less).alias("prob"))
-    tree, values = [], []
+    levels_of: list[tuple[DataFrame, DataFrame]] = []
     for n in range(1, depth + 1):
         # a run's first and last n symbols occur at least as often as the run, so the joins lose none
         shared = spark.sparkContext.broadcast(Sketch.of(before.select("g")))
@@ -299,6 +311,7 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
         times = before.select(F.col("g").alias("context"), F.col("c").alias("times"))
         known = before.select(F.col("g").alias("shorter"), F.col("prob").alias("q"))
         entries = scratch.save(found.join(known, "shorter").join(times, "context").select("g", "context", "c", "times", "q"))
+        shared.destroy()
         p, q = F.col("c") / F.col("times"), F.col("q")
         tells = F.abs(F.col("c") * F.log(p / q)) >= MIN_GAIN
         mass = F.when(tells, (F.col("c") - DISCOUNT) / F.col("times"))
@@ -309,17 +322,20 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
         stays = (divergence >= MIN_DIVERGENCE) & (divergence * F.col("times") >= MIN_EVIDENCE) & (F.col("mass") > 0)
         states = scratch.save(sums.where(stays).select("context", keep.alias("keep"), F.col("times").alias("state_times")))
         own = F.when(F.col("keep").isNotNull(), mass)
-        prob = F.coalesce(F.col("keep") * q, q) + F.coalesce(own, F.lit(0.0))
-        gain = F.when(own.isNotNull(), F.log10(prob / (F.col("keep") * q)))
-        grown = scratch.save(entries.join(states, "context", "left").select("g", "c", prob.alias("prob"), own.alias("mass"), gain.alias("v")))
+        spread = F.coalesce(F.col("keep") * q, q)
+        grown = entries.join(states, "context", "left").select("g", "c", (spread + F.coalesce(own, F.lit(0.0))).alias("prob"), F.log10(1 + own / spread).alias("v"))
+        before = scratch.save(grown)
         scratch.drop(entries)
-        shared.destroy()
-        before = grown
-        explicit = before.where("mass is not null")
-        tree.append((states.select("context", "keep"), explicit.select("g", "mass")))
-        values += [states.select(F.col("context").alias("key"), F.log10("keep").alias("v"), F.col("state_times").alias("c")), explicit.select(F.col("g").alias("key"), "v", "c")]
-    one = reduce(DataFrame.unionByName, values) if values else spark.createDataFrame([], "key long, v double, c long")
-    return Model(tokens, types, words, counts, tree, scratch.save(one.groupBy("key").agg(F.sum("v").alias("v"), F.max("c").alias("c")))), vocabulary
+        levels_of.append((states, before))
+    parts = [x for states, grams in levels_of for x in (states.select(F.col("context").alias("key"), F.log10("keep").alias("v"), F.col("state_times").alias("c")), grams.where("v is not null").select(F.col("g").alias("key"), "v", "c"))]
+    one = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "key long, v double, c long")
+    values = scratch.save(one.groupBy("key").agg(F.sum("v").alias("v"), F.max("c").alias("c")))
+    tree = [(states.select("context", "keep"), grams.where("v is not null").select("g", (F.col("prob") * (1 - F.pow(F.lit(10.0), -F.col("v")))).alias("mass"))) for states, grams in levels_of]
+    if not keep_tree:
+        for pair in levels_of:
+            for x in pair:
+                scratch.drop(x)
+    return Model(tokens, types, depth, words, counts, tree if keep_tree else [], values), vocabulary
 
 
 #: Kinds of rows that meet in a bucket, in this order: what a batch of texts knows already, the
@@ -369,7 +385,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
     rarer = vocabulary.where(F.col("c") < F.lit(model.tokens * MIN_HEAD)).select("h", F.log10((F.col("c") + SMOOTH) / F.lit(size)).alias("v"))
     log_base, log_none = np.log10(model.base(model.counts)), math.log10(SMOOTH / size)
     shared = spark.sparkContext.broadcast((model.words, log_base, cached, cached_v, Sketch.of(others.select("key"))))
-    depth, bits = len(model.tree), bits_for(max(others.count(), model.types))
+    depth, bits = model.depth, bits_for(max(others.count(), model.types))
 
     def ask(batches):
         words, log_base, cached, cached_v, bloom = shared.value
@@ -390,10 +406,10 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
                 known[a : a + k] = np.bincount(row[is_head], minlength=k)
                 base[a : a + k] = np.bincount(row, np.where(is_head, log_base[head], log_none), minlength=k)
                 asked[WORDS_ASKED].append((s[at[~is_head]], a + row[~is_head]))
-                for j in range(1, depth + 2 if depth else 1):
+                for j, runs in enumerate(levels(s, depth + 1) if depth else [], 1):
                     # of one symbol, the contexts; a longer run that ends its text is no context of a state
                     on = before >= j - 1
-                    h, r = (s[at - 1], row) if j == 1 else (gram(s, at[on], j), row[on])
+                    h, r = (s[at - 1], row) if j == 1 else (runs[at[on] - j + 1], row[on])
                     found = cached.find(h)
                     full[a : a + k] += np.bincount(r, cached_v[found], minlength=k)
                     left = (found < 0) & sketch.has(h)

@@ -566,7 +566,7 @@ def test_suffix_tree_scores(spark, small):
 
 def test_suffix_tree_sums_to_one(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    model, vocabulary = suffix_tree.fit(docs.where(~held_out(F.col("doc_id"), 10)), Scratch(spark, "t"))
+    model, vocabulary = suffix_tree.fit(docs.where(~held_out(F.col("doc_id"), 10)), Scratch(spark, "t"), keep_tree=True)
     all_ = vocabulary.toPandas()
     h, base = all_.h.to_numpy(np.int64).view(np.uint64), model.base(all_.c.to_numpy())
     assert model.contexts
@@ -604,7 +604,7 @@ def test_suffix_tree_tables_score_as_the_tree_walks(spark, small, monkeypatch):
     monkeypatch.setattr(suffix_tree, "MIN_CACHED", 1e-3)
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     scratch = Scratch(spark, "t")
-    model, vocabulary = suffix_tree.fit(docs.where(~held_out(F.col("doc_id"), 10)), scratch)
+    model, vocabulary = suffix_tree.fit(docs.where(~held_out(F.col("doc_id"), 10)), scratch, keep_tree=True)
     v = vocabulary.toPandas()
     count = dict(zip(v.h.to_numpy(np.int64).view(np.uint64).tolist(), v.c, strict=True))
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, model, vocabulary, scratch).collect()}
@@ -615,6 +615,57 @@ def test_suffix_tree_tables_score_as_the_tree_walks(spark, small, monkeypatch):
         assert got[rows[k]["doc_id"]] == pytest.approx(np.log10(explicit + factor * base).sum())
 
 
+def test_suffix_tree_against_brute_force(spark, monkeypatch):
+    """The whole tree by dictionaries of words, on a corpus with repeated texts; looked up by tables alone."""
+    import math
+
+    monkeypatch.setattr(suffix_tree, "MIN_CACHED", 1.0)
+    monkeypatch.setattr(suffix_tree, "MIN_HEAD", 1.0)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in (rng.zipf(1.4, 80) % 60)) for _ in range(60)]
+    texts += [" ".join(f"rare{i}" for i in range(40))] * 2 + [None, "", "w1", "w1 w2 w1 w2 w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    streams = [["<end>", *tokens(t), "<end>"] for t in texts]
+    c = [collections.Counter(tuple(s[i - n + 1 : i + 1]) for s in streams for i in range(max(1, n - 1), len(s))) for n in range(1, 5)]
+    total, types = sum(c[0].values()), len(c[0])
+    prob = {g: (x + 0.1) / (total + 0.1 * (types + 1)) for g, x in c[0].items()}
+    states, mass = {}, {}
+    for n in range(1, 4):
+        last, before, prob = prob, c[n - 1], {}
+        below = collections.defaultdict(list)
+        for g, x in c[n].items():
+            if x >= 2:
+                below[g[:-1]].append((g, x, before[g[:-1]], last[g[1:]]))
+        for context, found in below.items():
+            t = found[0][2]
+            rest_p, rest_q = max(1 - sum(x / t for _, x, _, _ in found), 1e-9), max(1 - sum(q for *_, q in found), 1e-9)
+            d = sum(x / t * math.log(x / t / q) for _, x, _, q in found) + rest_p * math.log(rest_p / rest_q)
+            own = {g: (x - 0.75) / t for g, x, _, q in found if abs(x * math.log(x / t / q)) >= suffix_tree.MIN_GAIN}
+            if d >= suffix_tree.MIN_DIVERGENCE and d * t >= suffix_tree.MIN_EVIDENCE and own:
+                states[context] = min(max(1 - sum(own.values()), 1e-9), 1.0)
+                mass |= own
+                prob |= {g: states[context] * q + own.get(g, 0) for g, *_, q in found}
+            else:
+                prob |= {g: q for g, *_, q in found}
+    assert {len(s) for s in states} >= {1, 2}
+    scratch = Scratch(spark, "t")
+    model, vocabulary = suffix_tree.fit(docs, scratch)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, model, vocabulary, scratch).collect()}
+    for i, s in enumerate(streams):
+        expected = 0.0
+        for k in range(1, len(s)):
+            p = (c[0][(s[k],)] + 0.1) / (total + 0.1 * (types + 1))
+            for n in range(1, min(3, k) + 1):
+                context = tuple(s[k - n : k])
+                if context in states:
+                    p = states[context] * p + mass.get((*context, s[k]), 0)
+            expected += math.log10(p)
+        assert got[i] == pytest.approx(expected), texts[i]
+    # a text that occurs twice stands out from one that occurs once
+    once = suffix_tree.score(spark.createDataFrame([(1, " ".join(f"rare{i}" for i in range(39, -1, -1)))], "doc_id long, text string"), model, vocabulary, scratch).first()
+    assert got[60] > 0.5 * once["score"]
+
+
 # --- SQL and the pipeline ---------------------------------------------------------------------------------------------------
 
 
