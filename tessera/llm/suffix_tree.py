@@ -307,11 +307,12 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     for n in range(1, depth + 1):
         # a run's first and last n symbols occur at least as often as the run, so the joins lose none
         shared = spark.sparkContext.broadcast(Sketch.of(before.select("g")))
-        found = _counts(texts, n + 1, bits_for(tokens), shared)
+        found = scratch.save(_counts(texts, n + 1, bits_for(tokens), shared))
+        shared.destroy()
         times = before.select(F.col("g").alias("context"), F.col("c").alias("times"))
         known = before.select(F.col("g").alias("shorter"), F.col("prob").alias("q"))
         entries = scratch.save(found.join(known, "shorter").join(times, "context").select("g", "context", "c", "times", "q"))
-        shared.destroy()
+        scratch.drop(found)
         p, q = F.col("c") / F.col("times"), F.col("q")
         tells = F.abs(F.col("c") * F.log(p / q)) >= MIN_GAIN
         mass = F.when(tells, (F.col("c") - DISCOUNT) / F.col("times"))
@@ -358,7 +359,8 @@ def _values(keyed: DataFrame, kind: int, bits: int) -> DataFrame:
         def out():
             x = np.concatenate(held, 1)
             x = x[:, np.argsort(x[0])]
-            return _rows([(bucket, kind, 0, x[0, a:b].tobytes(), x[1, a:b].tobytes()) for bucket, a, b in dealt(x[0], bits)])
+            v = x[1].view(np.float64)
+            return _rows([(bucket, kind, 0, x[0, a:b].tobytes(), v[a:b].tobytes()) for bucket, a, b in dealt(x[0], bits)])
 
         for b in batches:
             held.append(np.stack([b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)]))
@@ -418,7 +420,8 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
             for kind, parts in asked.items():
                 h, r = (np.concatenate(c) if c else np.zeros(0, np.uint64) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 order = np.argsort(h)
-                h, r = h[order], r[order].astype(np.uint32)
+                # a batch has far fewer rows than 65,536 unless the session asks for larger ones
+                h, r = h[order], r[order].astype(np.uint16 if n <= 1 << 16 else np.uint32)
                 out += [(bucket, kind, uid, h[i:j].tobytes(), r[i:j].tobytes()) for bucket, i, j in dealt(h, bits)] if len(h) else []
             ids, lost = b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False)
             out.append((uid % (1 << bits), HEADER, uid, np.stack([ids.view(np.uint64), lost.astype(np.uint64), tokens.view(np.uint64), known.view(np.uint64), base.view(np.uint64), full.view(np.uint64)]).tobytes(), b""))
@@ -442,7 +445,8 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
                         tables[kind - 1] = Lookup(keys[order]), v[order]
                     lookup, v = tables[kind - 1]
                     found = lookup.find(np.frombuffer(x.as_buffer(), np.uint64))
-                    row, of = np.unique(np.frombuffer(y.as_buffer(), np.uint32)[found >= 0], return_inverse=True)
+                    of_key = np.frombuffer(y.as_buffer(), np.uint16 if 2 * len(found) == len(y.as_buffer()) else np.uint32)
+                    row, of = np.unique(of_key[found >= 0], return_inverse=True)
                     if len(row):
                         sums = np.bincount(of, v[found[found >= 0]], len(row))
                         out.append((0, kind, uid, row.astype(np.uint32).tobytes(), np.stack([np.bincount(of, minlength=len(row)).astype(np.float64), sums]).tobytes()))
