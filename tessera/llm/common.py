@@ -58,12 +58,12 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as Parquet and read it again; ``drop`` deletes it by its path."""
+    def save(self, df: DataFrame, hashes: bool = False) -> DataFrame:
+        """Write ``df`` as Parquet and read it again; ``drop`` deletes it by its path. Tables of ``hashes`` get no dictionaries."""
         self.count += 1
         path = f"{self.root}/{self.count}"
         with shuffles_dropped(self.spark):
-            df.write.parquet(path)
+            df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out

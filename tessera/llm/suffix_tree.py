@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import Scratch, by_value, held_out, small_batches, table
+from tessera.llm.common import Scratch, by_value, held_out, shuffles_dropped, small_batches, table
 
 #: Longest context.
-DEPTH = 3
+DEPTH = 2
 #: Shares of all training tokens from which a word (2,000,000 at most) and a run's value (1,000,000
 #: of a length at most) are broadcast; those of rarer ones are looked up in tables.
 MIN_HEAD, MIN_CACHED = 5e-7, 1e-6
@@ -96,22 +96,62 @@ class Sketch:
     @staticmethod
     def of(keys: DataFrame) -> np.ndarray:
         """The words of the filter of the only column of ``keys``, of 10 bits a key while SKETCH_BITS allows."""
-        h = F.col(keys.columns[0])
         power = min(SKETCH_BITS, max(4, math.ceil(math.log2(keys.count() * 10 / 64 + 1))))
-        bit = lambda k: f"shiftleft(1L, cast(shiftrightunsigned(h, {k}) & 63 AS int))"
-        at = keys.select(h.alias("h")).selectExpr(f"shiftrightunsigned(h, {64 - power}) AS at", f"{bit(0)} | {bit(6)} | {bit(12)} AS m")
-        got = at.groupBy("at").agg(F.bit_or("m").alias("m")).toArrow()
+        part = min(power, 16)
+
+        def gather(batches):
+            held: list[np.ndarray] = []
+
+            def out():
+                h = np.concatenate(held)
+                at, m = h >> np.uint64(64 - power), masks(h)
+                order = np.argsort(at)
+                at, m = at[order], m[order]
+                first = np.flatnonzero(np.diff(at, prepend=at[:1] + np.uint64(1)))
+                at, m = at[first], np.bitwise_or.reduceat(m, first)
+                low = np.uint64((1 << part) - 1)
+                segment = (at >> np.uint64(part)).astype(np.int64)
+                edge = np.flatnonzero(np.diff(segment, prepend=-1))
+                rows = [(int(segment[a]), (at[a:b] & low).astype(np.uint16).tobytes(), m[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(at)], strict=True)]
+                columns = zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["segment", "at", "m"])
+
+            for b in batches:
+                held.append(b.column(0).to_numpy().view(np.uint64))
+                if sum(map(len, held)) > HELD:
+                    yield out()
+                    held = []
+            if sum(map(len, held)):
+                yield out()
+
+        def unite(batches):
+            now: dict[int, np.ndarray] = {}
+            for b in batches:
+                for segment, at, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                    words = now.setdefault(segment, np.zeros(1 << part, np.uint64))
+                    words[np.frombuffer(at.as_buffer(), np.uint16)] |= np.frombuffer(m.as_buffer(), np.uint64)
+            for segment, words in now.items():
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["segment", "words"])
+
         bits = np.zeros(1 << power, np.uint64)
-        bits[got["at"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
+        with shuffles_dropped(keys.sparkSession):
+            made = keys.mapInArrow(gather, "segment int, at binary, m binary").repartition("segment").mapInArrow(unite, "segment int, words binary").collect()
+        for r in made:
+            bits[r["segment"] << part : (r["segment"] + 1) << part] = np.frombuffer(r["words"], np.uint64)
         return bits
 
     def has(self, h: np.ndarray) -> np.ndarray:
         """Whether each key may be among those of the filter; always true for those that are."""
-        one, low = np.uint64(1), np.uint64(63)
-        m = (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low))
+        m = masks(h)
         return self.bits[(h >> self.shift).astype(np.int64)] & m == m
 
 
+def masks(h: np.ndarray) -> np.ndarray:
+    """The three bits of each key in its word of a sketch."""
+    one, low = np.uint64(1), np.uint64(63)
+    return (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low))
+
+
 def streams(texts: pa.Array):
     """For slices of whole texts: first row, symbols with an END before and after each text, first symbol of each text's row (n + 1)."""
     for a, _, offsets, data in W.slices(texts):
@@ -205,11 +245,14 @@ class Model:
 
 
 def _read(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted keys and the numbers of a table."""
+    """The sorted keys and the numbers of a table, those of equal keys added up."""
     got = rows.toArrow()
-    h, x = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(h)
-    return h[order], x[order]
+    return _added(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
+
+
+def _added(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(h, return_inverse=True)
+    return (h[order := np.argsort(h)], x[order]) if len(keys) == len(h) else (keys, np.bincount(at, x, len(keys)))
 
 
 def _summed(x: np.ndarray) -> np.ndarray:
@@ -298,7 +341,7 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    vocabulary = scratch.save(_counts(texts, 1, WORD_BITS).withColumnRenamed("g", "h"))
+    vocabulary = scratch.save(_counts(texts, 1, WORD_BITS).withColumnRenamed("g", "h"), hashes=True)
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words, counts = _read(vocabulary.where(F.col("c") >= F.lit(tokens * MIN_HEAD)))
     less = F.log10((F.col("c") + SMOOTH) / F.lit(tokens + SMOOTH * (types + 1)))
@@ -307,11 +350,11 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     for n in range(1, depth + 1):
         # a run's first and last n symbols occur at least as often as the run, so the joins lose none
         shared = spark.sparkContext.broadcast(Sketch.of(before.select("g")))
-        found = scratch.save(_counts(texts, n + 1, bits_for(tokens), shared))
+        found = scratch.save(_counts(texts, n + 1, bits_for(tokens), shared), hashes=True)
         shared.destroy()
         times = before.select(F.col("g").alias("context"), F.col("c").alias("times"))
         known = before.select(F.col("g").alias("shorter"), F.col("prob").alias("q"))
-        entries = scratch.save(found.join(known, "shorter").join(times, "context").select("g", "context", "c", "times", "q"))
+        entries = scratch.save(found.join(known, "shorter").join(times, "context").select("g", "context", "c", "times", "q"), hashes=True)
         scratch.drop(found)
         p, q = F.col("c") / F.col("times"), F.col("q")
         tells = F.abs(F.col("c") * F.log(p / q)) >= MIN_GAIN
@@ -321,16 +364,17 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
         divergence = F.col("d") + rest_p * F.log(rest_p / rest_q)
         keep = F.least(F.greatest(1 - F.col("mass"), F.lit(1e-9)), F.lit(1.0))
         stays = (divergence >= MIN_DIVERGENCE) & (divergence * F.col("times") >= MIN_EVIDENCE) & (F.col("mass") > 0)
-        states = scratch.save(sums.where(stays).select("context", keep.alias("keep"), F.col("times").alias("state_times")))
+        states = scratch.save(sums.where(stays).select("context", keep.alias("keep"), F.col("times").alias("state_times")), hashes=True)
         own = F.when(F.col("keep").isNotNull(), mass)
         spread = F.coalesce(F.col("keep") * q, q)
         grown = entries.join(states, "context", "left").select("g", "c", (spread + F.coalesce(own, F.lit(0.0))).alias("prob"), F.log10(1 + own / spread).alias("v"))
-        before = scratch.save(grown)
+        before = scratch.save(grown, hashes=True)
         scratch.drop(entries)
         levels_of.append((states, before))
     parts = [x for states, grams in levels_of for x in (states.select(F.col("context").alias("key"), F.log10("keep").alias("v"), F.col("state_times").alias("c")), grams.where("v is not null").select(F.col("g").alias("key"), "v", "c"))]
+    # a run may be an entry and a state, with the same count; their values are added where they are read
     one = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "key long, v double, c long")
-    values = scratch.save(one.groupBy("key").agg(F.sum("v").alias("v"), F.max("c").alias("c")))
+    values = scratch.save(one, hashes=True)
     tree = [(states.select("context", "keep"), grams.where("v is not null").select("g", (F.col("prob") * (1 - F.pow(F.lit(10.0), -F.col("v")))).alias("mass"))) for states, grams in levels_of]
     if not keep_tree:
         for pair in levels_of:
@@ -440,9 +484,8 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
                     tables.setdefault(kind, []).append((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.float64)))
                 elif kind - 1 in tables:
                     if isinstance(tables[kind - 1], list):
-                        keys, v = (np.concatenate(c) for c in zip(*tables[kind - 1], strict=True))
-                        order = np.argsort(keys)
-                        tables[kind - 1] = Lookup(keys[order]), v[order]
+                        keys, v = _added(*(np.concatenate(c) for c in zip(*tables[kind - 1], strict=True)))
+                        tables[kind - 1] = Lookup(keys), v
                     lookup, v = tables[kind - 1]
                     found = lookup.find(np.frombuffer(x.as_buffer(), np.uint64))
                     of_key = np.frombuffer(y.as_buffer(), np.uint16 if 2 * len(found) == len(y.as_buffer()) else np.uint32)

@@ -649,7 +649,7 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
                 prob |= {g: q for g, *_, q in found}
     assert {len(s) for s in states} >= {1, 2}
     scratch = Scratch(spark, "t")
-    model, vocabulary = suffix_tree.fit(docs, scratch)
+    model, vocabulary = suffix_tree.fit(docs, scratch, depth=3)
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, model, vocabulary, scratch).collect()}
     for i, s in enumerate(streams):
         expected = 0.0
