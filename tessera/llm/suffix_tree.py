@@ -37,20 +37,20 @@ DEPTH = 2
 #: of a length at most) are broadcast; those of rarer ones are looked up in tables.
 MIN_HEAD, MIN_CACHED = 5e-7, 1e-6
 #: An entry is explicit from this count on, and if its count times its own log ratio in nats reaches this.
-MIN_COUNT, MIN_GAIN = 2, 4.0
+MIN_COUNT, MIN_GAIN = 2, 6.0
 #: A context stays if its divergence in nats, and that times its count, reach these.
-MIN_DIVERGENCE, MIN_EVIDENCE = 0.01, 6.0
+MIN_DIVERGENCE, MIN_EVIDENCE = 0.01, 10.0
 #: 64-bit words of a sketch at most, as a power of two (64 MB).
 SKETCH_BITS = 23
 #: Keys of a bucket, about; more keys take more buckets.
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 DISCOUNT = 0.75
 SMOOTH = 0.1
 END = 0x1E0D0C0B0A09A7E5
 #: Leading bits of a word's hash that make its bucket while words are counted.
 WORD_BITS = 10
 #: Distinct entries that a counting task holds before it passes them on.
-HELD = 1_000_000
+HELD = 700_000
 #: Entries of a batch that a task passes on.
 BATCH_KEYS = 100_000
 
@@ -430,7 +430,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
     size = model.tokens + SMOOTH * (model.types + 1)
     rarer = vocabulary.where(F.col("c") < F.lit(model.tokens * MIN_HEAD)).select("h", F.log10((F.col("c") + SMOOTH) / F.lit(size)).alias("v"))
     log_base, log_none = np.log10(model.base(model.counts)), math.log10(SMOOTH / size)
-    shared = spark.sparkContext.broadcast((model.words, log_base, cached, cached_v, Sketch.of(others.select("key"))))
+    shared = spark.sparkContext.broadcast((model.words, log_base, cached, cached_v, Sketch.of(model.values.select("key"))))
     depth, bits = model.depth, bits_for(max(others.count(), model.types))
 
     def ask(batches):
@@ -456,9 +456,11 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
                     # of one symbol, the contexts; a longer run that ends its text is no context of a state
                     on = before >= j - 1
                     h, r = (s[at - 1], row) if j == 1 else (runs[at[on] - j + 1], row[on])
+                    some = sketch.has(h)
+                    h, r = h[some], r[some]
                     found = cached.find(h)
                     full[a : a + k] += np.bincount(r, cached_v[found], minlength=k)
-                    left = (found < 0) & sketch.has(h)
+                    left = found < 0
                     asked[RUNS_ASKED].append((h[left], a + r[left]))
             out = []
             for kind, parts in asked.items():
