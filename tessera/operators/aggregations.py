@@ -28,6 +28,11 @@ class Aggregation:
     opaque: bool = False
     ranked: tuple[int, bool] | None = None
     size: int = 1
+    #: The aggregation for inputs of a type, where that decides.
+    by_type: Callable[[str], Aggregation] | None = None
+
+    def typed(self, kind: str) -> Aggregation:
+        return self if self.by_type is None else self.by_type(kind)
 
 
 def _one(make: Callable[[Column], Column], merge: Callable[[Column], Column] | None = None, final: Callable[[Column], Column] = lambda c: c) -> Aggregation:
@@ -43,9 +48,12 @@ def _not_nan(c: Column) -> Column:
 
 
 def _coalesce(options):
-    """Any non-null value; with failIfDifferent an error where there are several."""
+    """One non-null value, the same on every run; with failIfDifferent an error where there are several.
+
+    Values in Spark have no identity, so matchReferences compares them like others.
+    """
     if not options.get("failIfDifferent"):
-        return _one(lambda c: F.any_value(c, F.lit(True)))
+        return _one(lambda c: F.min_by(c, c.cast("string")))
 
     def final(s):
         return F.when(s[0].eqNullSafe(s[1]), s[0]).otherwise(F.raise_error(F.lit("values differ")))
@@ -68,8 +76,23 @@ def _sum_map(c: Column) -> Column:
 
 def _merged_map(c: Column) -> Column:
     """Maps united; of equal keys the last entry in order of keys and values."""
-    entries = F.array_sort(F.flatten(F.transform(F.collect_list(c), F.map_entries)))
-    return F.map_from_entries(F.aggregate(entries, F.slice(entries, 1, 0), lambda a, e: F.concat(F.filter(a, lambda x: x["key"] != e["key"]), F.array(e))))
+    entries = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list(c), F.map_entries))))
+    last = F.filter(entries, lambda e, i: F.coalesce(F.get(entries, i + 1)["key"] != e["key"], F.lit(True)))
+    return F.when(F.size(last) > 0, F.map_from_entries(last))
+
+
+def _union(options):
+    """The union of sets or of maps, as the inputs are; of plain values, the set of them."""
+
+    def by_type(kind: str) -> Aggregation:
+        if kind.startswith("map<"):
+            return KEYS["UNION_MAP"](options)
+        if kind.startswith("array<"):
+            return KEYS["UNION_SET"](options)
+        return Aggregation(lambda c: [_nonempty(F.array_sort(F.collect_set(c)))], lambda s: [_nonempty(F.array_sort(F.array_distinct(_flat(s[0]))))], lambda s: s[0])
+
+    sets = KEYS["UNION_SET"](options)
+    return Aggregation(sets.states, sets.merge, sets.final, by_type=by_type)
 
 
 def _sum_else(gather: Callable[[Column], Column]) -> Callable[[dict], Aggregation]:
@@ -114,7 +137,7 @@ KEYS: dict[str, Callable[[dict], Aggregation]] = {
     "RANK": _rank,
     "COALESCE": _coalesce,
     "EMPTY": lambda o: _one(lambda c: F.max(F.lit(None)), F.max),
-    "UNION": lambda o: _one(lambda c: _nonempty(F.array_sort(F.array_distinct(_flat(c))))),
+    "UNION": _union,
     "UNION_SET": lambda o: _one(lambda c: _nonempty(F.array_sort(F.array_distinct(_flat(c))))),
     "UNION_LIST": lambda o: _one(lambda c: _nonempty(_flat(c))),
     "UNION_MAP": lambda o: _one(_merged_map),
@@ -163,8 +186,24 @@ def across(key: str, values: Sequence[Column], options: dict | None = None) -> C
     if key == "RANK":
         down = str(options.get("order", "DESC")).upper() == "DESC"
         return F.get(F.sort_array(F.array_distinct(known), not down), F.lit(int(options["rank"]) - 1))
-    if key == "UNION_SET":
+    if key in ("UNION_SET", "UNION"):
         return F.array_sort(F.array_distinct(F.flatten(known)))
+    if key == "SUM_NOT_NAN":
+        return F.when(F.size(known) > 0, reduce(lambda a, b: a + b, [F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)) for v in values]))
+    if key in ("UNION_MAP", "ATOMIC_LONG_MAP"):
+        if key == "UNION_MAP":
+            both = lambda _, x, y: F.coalesce(y, x)
+        else:
+            both = lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
+        return reduce(lambda a, b: F.coalesce(F.map_zip_with(a, b, both), a, b), values)
+    if key in ("SUM_ELSE_SET", "SUM_ELSE_STRING"):
+        texts = F.array_compact(F.array(*(v.cast("string") for v in values)))
+        odd = F.array_sort(F.array_distinct(F.filter(texts, lambda t: t.try_cast("double").isNull())))
+        shown = F.concat(F.lit("{"), F.array_join(odd, ", "), F.lit("}")) if key == "SUM_ELSE_SET" else F.array_join(odd, ",")
+        added = F.aggregate(texts, F.lit(0.0), lambda a, t: a + F.coalesce(t.try_cast("double"), F.lit(0.0))).cast("string")
+        return F.when(F.size(odd) > 0, shown).when(F.size(texts) > 0, added)
+    if key == "EMPTY":
+        return F.lit(None)
     if key == "UNION_LIST":
         return F.flatten(known)
     raise ValueError(f"{key} does not apply across measures")

@@ -84,7 +84,10 @@ def constant(values, options, ctx):
 
 
 def throwing(values, options, ctx):
-    return F.when(present(values), F.raise_error(F.lit(options.get("message", "this measure always fails"))))
+    """Fails wherever it has an input; under EXCEPTIONS_AS_MEASURE_VALUE the error is the value."""
+    text = options.get("message", "this measure always fails")
+    failed = F.lit(f"RuntimeError: {text}") if "EXCEPTIONS_AS_MEASURE_VALUE" in ctx.options else F.raise_error(F.lit(text))
+    return F.when(present(values), failed)
 
 
 def expression(values, options, ctx):

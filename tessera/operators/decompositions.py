@@ -7,7 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +81,8 @@ class ManyToMany(Decomposition):
     group: str
     bridge: DataFrame = field(hash=False, compare=False)
     scale: str | None = None
+    #: The bridge as (element, groups) pairs, where it was given so.
+    members: tuple = ()
 
     def outputs(self):
         return (self.group,)
@@ -107,7 +109,7 @@ class ManyToMany(Decomposition):
 def many_to_many(spark: SparkSession, element: str, group: str, members: Mapping[Any, list]) -> ManyToMany:
     """A bridge out of element -> groups."""
     rows = [(e, g) for e, groups in members.items() for g in groups]
-    return ManyToMany((element,), group, spark.createDataFrame(rows, [element, group]))
+    return ManyToMany((element,), group, spark.createDataFrame(rows, [element, group]), members=tuple((e, tuple(g)) for e, g in members.items()))
 
 
 @dataclass(frozen=True)
@@ -177,17 +179,16 @@ class Cumulating(Decomposition):
         from pyspark.sql.window import Window
 
         others = [g for g in group_by if g != self.column]
-        axis = frame.select(F.col(f"`{self.column}`").alias("__at")).distinct()
-        slices = frame.select(*(F.col(f"`{g}`") for g in others)).distinct() if others else None
+        by_axis = Window.partitionBy(*(F.col(f"`{g}`") for g in others)).orderBy(F.col(f"`{self.column}`"))
+        out = frame.withColumn("value", F.sum("value").over(by_axis.rowsBetween(Window.unboundedPreceding, 0)))
         if others:
-            # every coordinate that occurs, for each of the other slices
-            points = slices.withColumn("__k", F.lit(0)).join(axis.withColumn("__k", F.lit(0)), "__k").drop("__k")
-            on = [F.col(f"__p.`{g}`").eqNullSafe(F.col(f"__f.`{g}`")) for g in others] + [F.col("__p.__at").eqNullSafe(F.col(f"__f.`{self.column}`"))]
-            full = points.alias("__p").join(frame.alias("__f"), on, "left").select(*(F.col(f"__p.`{g}`").alias(g) for g in others), F.col("__p.__at").alias(self.column), F.col("__f.value").alias("value"))
-        else:
-            full = frame
-        w = Window.partitionBy(*(F.col(f"`{g}`") for g in others)).orderBy(F.col(f"`{self.column}`")).rowsBetween(Window.unboundedPreceding, 0)
-        out = full.withColumn("value", F.sum("value").over(w))
+            # a total holds from its coordinate to before the slice's next one: at each coordinate there that any slice has
+            own_at = F.col(f"`{self.column}`")
+            axis = frame.agg(F.sort_array(F.collect_set(own_at))).scalar()
+            spans = out.withColumn("__next", F.lead(own_at).over(by_axis)).withColumn("__axis", axis)
+            within = F.filter("__axis", lambda x: (own_at.isNull() | (x >= own_at)) & (F.col("__next").isNull() | (x < F.col("__next"))))
+            shown = F.when(own_at.isNull(), F.concat(F.array(own_at), within)).otherwise(within)
+            out = spans.withColumn(self.column, F.explode(shown)).drop("__next", "__axis")
         own = fl.suppress(f, f.columns() - {self.column})
         out = out.where(own.on(lambda c: F.col(f"`{c}`"))) if own != fl.ALL else out
         if self.column in group_by:
@@ -217,6 +218,35 @@ class Exploding(Decomposition):
         return out.where(own.on(lambda c: F.col(f"`{c}`"))) if own != fl.ALL else out
 
 
+#: Decompositions by the key that plain text gives them; their fields are the options.
+KEYS: dict[str, Any] = {"linear": Linear, "duplicating": Duplicating, "cumulating": Cumulating, "exploding": Exploding}
+
+
+def register(key: str, make: Any) -> None:
+    """Add a decomposition under a key; ``make`` gets the options by name."""
+    KEYS[key] = make
+
+
+def from_plain(x: Mapping[str, Any]) -> Decomposition:
+    """The decomposition of a key and its options."""
+    options = {k: v for k, v in x.items() if k != "key"}
+    if x["key"] == "many_to_many_1d":
+        return many_to_many(SparkSession.active(), options["element"], options["group"], options["members"])
+    if x["key"] not in KEYS:
+        raise ValueError(f"unknown decomposition {x['key']}")
+    return KEYS[x["key"]](**{k: {c: tuple(v) for c, v in o.items()} if k == "coordinates" else o for k, o in options.items()})
+
+
+def to_plain(d: Decomposition) -> dict:
+    """The key and options of a decomposition that plain text can hold."""
+    if isinstance(d, ManyToMany) and d.members:
+        return {"key": "many_to_many_1d", "element": d.elements[0], "group": d.group, "members": {k: list(v) for k, v in d.members}}
+    for key, make in KEYS.items():
+        if type(d) is make:
+            return {"key": key, **{k.name: {c: list(v) for c, v in getattr(d, k.name).items()} if k.name == "coordinates" else getattr(d, k.name) for k in fields(d)}}
+    raise ValueError(f"{type(d).__name__} has no plain form")
+
+
 @dataclass(frozen=True)
 class Lambda(Decomposition):
     """A function of the underlying's frame; ``inputs`` are grouped by besides, ``made`` are its columns."""

@@ -203,22 +203,27 @@ def with_tags(m: Measure, *tags: str) -> Measure:
     return replace(m, tags=frozenset(tags) | m.tags)  # type: ignore[attr-defined]
 
 
-def ratio_over_value(column: str, value: Any, underlying: str) -> list[Measure]:
-    """The underlying of a slice over that where the column has the value."""
-    base = f"{underlying}_{column}={value}"
-    return [
-        Filtrator(f"{base}_slice", underlying, fl.where(column, value)),
-        Unfiltrator(f"{base}_whole", f"{base}_slice", (column,), retain=True),
-        Combinator(f"{base}_ratio", (f"{base}_slice", f"{base}_whole"), "DIVIDE"),
-    ]
-
-
-def ratio_over_current(column: str, underlying: str) -> list[Measure]:
-    """The underlying of a slice over that of its own value of the column under no other filter; hidden without one."""
-    base = f"{underlying}_{column}=current"
-    return [
-        Partitionor(f"{base}_slice", (underlying,), (column,)),
-        Unfiltrator(f"{base}_whole", f"{base}_slice", (column,), retain=True),
-        Combinator(f"{base}_ratio_postcheck", (f"{base}_slice", f"{base}_whole"), "DIVIDE"),
-        Columnator(f"{base}_ratio", (f"{base}_ratio_postcheck",), (column,)),
-    ]
+#: Filter editors of shifts by name, as forests in plain text speak of them.
+EDITORS: dict[str, Callable[[fl.Filter, Any], fl.Filter]] = {}
+
+
+def register_editor(key: str, editor: Callable[[fl.Filter, Any], fl.Filter]) -> None:
+    EDITORS[key] = editor
+
+
+def bare(underlying: str, column: str) -> Unfiltrator:
+    """The underlying under no other condition than the query's on one column."""
+    return Unfiltrator(f"{underlying} by {column} alone", underlying, (column,), retain=True)
+
+
+def share_at(column: str, value: Any, underlying: str) -> list[Measure]:
+    """``<underlying> share at <value>``: of all that has the value in the column, what the query's conditions leave."""
+    base, at = bare(underlying, column), fl.where(column, value)
+    some, all_ = (Filtrator(f"{m} at {value}", m, at) for m in (underlying, base.name))
+    return [base, some, all_, Combinator(f"{underlying} share at {value}", (some.name, all_.name), "DIVIDE")]
+
+
+def share_of_own(column: str, underlying: str) -> list[Measure]:
+    """``<underlying> share of own <column>``: the underlying over that of the slice's own value of the column; no value without one."""
+    base = bare(underlying, column)
+    return [base, Columnator(f"{underlying} share of own {column}", (underlying, base.name), (column,), combination="DIVIDE")]

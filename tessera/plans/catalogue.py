@@ -101,14 +101,8 @@ on_cube("tpch_grand_total", f"SELECT count(*) AS count, {REVENUE} AS revenue FRO
 on_cube("agg_min_max", "SELECT l_returnflag, min(l_quantity) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1", "lo", "hi", forest=(ms.Aggregator("lo", "l_quantity", "MIN"), ms.Aggregator("hi", "l_extendedprice", "MAX")), group_by=("l_returnflag",))
 
 
-@query("SELECT l_orderkey, product(1 + l_discount) AS p FROM lineitem WHERE l_orderkey <= 500 GROUP BY 1")
-def agg_product(spark, d):
-    table = tpch_table(spark, d).with_column(tb.SqlColumn("grown", "1 + l_discount"))
-    return Cube("c", table, Forest.of(ms.Aggregator("p", "grown", "PRODUCT"))).query("p", group_by="l_orderkey", filter=fl.compare("l_orderkey", "<=", 500))
-
-
 @query("SELECT l_orderkey, product(1 + l_discount) AS p, product(1 + l_tax) FILTER (WHERE l_returnflag = 'R') AS p_r FROM lineitem GROUP BY 1")
-def agg_product_all_orders(spark, d):
+def agg_product(spark, d):
     table = tpch_table(spark, d).with_column(tb.SqlColumn("grown", "1 + l_discount")).with_column(tb.SqlColumn("taxed", "1 + l_tax"))
     forest = Forest.of(ms.Aggregator("p", "grown", "PRODUCT"), ms.Aggregator("p_r", "taxed", "PRODUCT", filter=fl.where("l_returnflag", "R")))
     return Cube("c", table, forest).query("p", "p_r", group_by="l_orderkey")
@@ -239,13 +233,13 @@ on_cube("routing_by_group", "SELECT l_linestatus, count(*) AS x FROM lineitem GR
 
 @query("SELECT l_linestatus, sum(l_quantity) FILTER (WHERE l_discount > 0.05) / sum(l_quantity) AS x FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1")
 def ratio_over_value(spark, d):
-    c = tpch(spark, d, ms.ratio_over_value("l_returnflag", "A", "quantity"), ms.alias("x", "quantity_l_returnflag=A_ratio"))
+    c = tpch(spark, d, ms.share_at("l_returnflag", "A", "quantity"), ms.alias("x", "quantity share at A"))
     return c.query("x", group_by="l_linestatus", filter=fl.compare("l_discount", ">", 0.05))
 
 
 @query("SELECT l_returnflag, sum(l_quantity) FILTER (WHERE l_discount > 0.05) / sum(l_quantity) AS x FROM lineitem GROUP BY 1")
 def ratio_over_current(spark, d):
-    c = tpch(spark, d, ms.ratio_over_current("l_returnflag", "quantity"), ms.alias("x", "quantity_l_returnflag=current_ratio"))
+    c = tpch(spark, d, ms.share_of_own("l_returnflag", "quantity"), ms.alias("x", "quantity share of own l_returnflag"))
     return c.query("x", group_by="l_returnflag", filter=fl.compare("l_discount", ">", 0.05))
 
 
@@ -314,40 +308,45 @@ def dispatch_map_entries(spark, d):
 # --- filters -----------------------------------------------------------------------------------------------
 
 
-def shops(spark: SparkSession) -> tb.Table:
-    """A few rows with nulls."""
-    return tb.in_memory(spark, [{"a": "a1", "v": 1}, {"a": "b_2", "v": 2}, {"v": 4}, {"a": "A1", "v": 8}, {"a": "ab", "v": 16}, {"a": "a1", "w": 5}])
+def shops(spark: SparkSession, d: str) -> tb.Table:
+    """Customers by segment and nation, both null for some, under an alias and as stored."""
+    t = tb.parquet(spark, f"{d}/customer.parquet").with_alias("stored", "c_mktsegment")
+    return t.with_column(tb.SqlColumn("a", "nullif(c_mktsegment, 'MACHINERY')")).with_column(tb.SqlColumn("v", "if(c_acctbal >= 0, bigint(c_nationkey), null)"))
 
 
-ROWS = "(VALUES ('a1', 1, NULL), ('b_2', 2, NULL), (NULL, 4, NULL), ('A1', 8, NULL), ('ab', 16, NULL), ('a1', NULL, 5)) t(a, v, w)"
+ROWS = "(SELECT nullif(c_mktsegment, 'MACHINERY') AS a, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS v, c_mktsegment AS stored FROM customer)"
 
 
 def on_shops(name: str, condition: str, f: fl.Filter) -> None:
     sql = f"SELECT a, sum(v)::BIGINT AS v, count(*) AS n FROM {ROWS} WHERE {condition} GROUP BY 1"
-    query(sql, name)(lambda spark, d: Cube("shops", shops(spark), Forest.of(ms.sum_("v"), ms.count_rows("n"))).query("v", "n", group_by="a", filter=f))
+    query(sql, name)(lambda spark, d: Cube("shops", shops(spark, d), Forest.of(ms.sum_("v"), ms.count_rows("n"))).query("v", "n", group_by="a", filter=f))
 
 
-on_shops("filters_equals", "a = 'a1'", fl.where("a", "a1"))
-on_shops("filters_not_equals_keeps_null", "a IS NULL OR a <> 'a1'", ~fl.where("a", "a1"))
-on_shops("filters_in_with_null", "a IN ('a1', 'ab') OR a IS NULL", fl.where("a", ["a1", ["ab", None]]))
-on_shops("filters_not_in", "a IS NULL OR a NOT IN ('a1', 'ab')", ~fl.where("a", ["a1", "ab"]))
+on_shops("filters_equals", "a = 'BUILDING'", fl.where("a", "BUILDING"))
+on_shops("filters_pushed_down", "stored IN ('BUILDING', 'FURNITURE')", fl.where("stored", ["BUILDING", "FURNITURE"]))
+on_shops("filters_not_equals_keeps_null", "a IS NULL OR a <> 'BUILDING'", ~fl.where("a", "BUILDING"))
+on_shops("filters_in_with_null", "a IN ('BUILDING', 'FURNITURE') OR a IS NULL", fl.where("a", ["BUILDING", ["FURNITURE", None]]))
+on_shops("filters_not_in", "a IS NULL OR a NOT IN ('BUILDING', 'FURNITURE')", ~fl.where("a", ["BUILDING", "FURNITURE"]))
 on_shops("filters_is_null", "a IS NULL", fl.where("a", None))
-on_shops("filters_like", "a LIKE 'a_'", fl.like("a", "a_"))
-on_shops("filters_ilike", "a ILIKE 'a_'", fl.like("a", "a_", ignore_case=True))
-on_shops("filters_regex", "regexp_full_match(a, '(?is)a[0-9]')", fl.where("a", re.compile("a[0-9]")))
-on_shops("filters_comparing_drops_null", "v > 2", fl.compare("v", ">", 2, match_if_null=True))
-on_shops("filters_not_comparing", "v <= 2", ~fl.compare("v", ">", 2))
-on_shops("filters_and_or_not", "(a = 'a1' OR v >= 4) AND NOT coalesce(a = 'ab', false)", (fl.where("a", "a1") | fl.compare("v", ">=", 4)) & ~fl.where("a", "ab"))
-on_shops("filters_text_ignore_case", "lower(a) = 'a1'", fl.Where("a", fl.Text("a1", True)))
+on_shops("filters_like", "a LIKE 'F%NITUR_'", fl.like("a", "F%NITUR_"))
+on_shops("filters_ilike", "a ILIKE 'f%nitur_'", fl.like("a", "f%nitur_", ignore_case=True))
+on_shops("filters_regex", "regexp_full_match(a, '(?is)[a-h].*[gd]')", fl.where("a", re.compile("[a-h].*[gd]")))
+on_shops("filters_comparing_drops_null", "v > 12", fl.compare("v", ">", 12, match_if_null=True))
+on_shops("filters_not_comparing", "v <= 12", ~fl.compare("v", ">", 12))
+on_shops("filters_and_or_not", "(a = 'BUILDING' OR v >= 12) AND NOT coalesce(a = 'HOUSEHOLD', false)", (fl.where("a", "BUILDING") | fl.compare("v", ">=", 12)) & ~fl.where("a", "HOUSEHOLD"))
+on_shops("filters_text_ignore_case", "lower(a) = 'building'", fl.Where("a", fl.Text("Building", True)))
 on_shops("filters_missing_column_is_null", "true", fl.where("nowhere", None))
 on_shops("filters_missing_column_fails", "false", fl.Where("nowhere", fl.IsNull(), null_if_absent=False))
-on_shops("filters_rsql", "(a = 'a1' AND v > 0) OR a IN ('ab', 'b_2')", fl.parse("a==a1;v>0,a=in=(ab,b_2)"))
-on_shops("filters_predicate", "length(a) = 3", fl.Where("a", fl.Predicate(lambda c: F.length(c) == 3)))
+on_shops("filters_rsql", "(a = 'BUILDING' AND v > 3) OR a IN ('FURNITURE', 'HOUSEHOLD')", fl.parse("a==BUILDING;v>3,a=in=(FURNITURE,HOUSEHOLD)"))
+on_shops("filters_predicate", "length(a) = 9", fl.Where("a", fl.Predicate(lambda c: F.length(c) == 9)))
+on_shops("filters_matchers", "v > 3 AND (v < 9 OR v = 20) AND NOT v = 5", fl.Where("v", fl.AllOf((fl.compare("v", ">", 3).matcher, fl.AnyOf((fl.compare("v", "<", 9).matcher, fl.Equals(20))), fl.NotMatcher(fl.Equals(5))))))
+on_shops("filters_from_json", "(a = 'BUILDING' OR a IS NULL) AND v >= 2", fl.from_json(fl.to_json((fl.where("a", "BUILDING") | fl.where("a", None)) & fl.compare("v", ">=", 2))))
+
 
 # --- tables, joins, columns ------------------------------------------------------------------------------------
 
-on_cube("drillthrough_rows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity_2 FROM lineitem WHERE l_orderkey < 200", "quantity", "returned", forest=(RETURNED,), group_by=("l_orderkey", "l_linenumber"), filter=fl.compare("l_orderkey", "<", 200), options=("DRILLTHROUGH",))
-on_cube("drillthrough_all_rows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity_2 FROM lineitem", "quantity", "returned", forest=(RETURNED,), group_by=("l_orderkey", "l_linenumber"), options=("DRILLTHROUGH",))
+on_cube("drillthrough_rows", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity_2 FROM lineitem", "quantity", "returned", forest=(RETURNED,), group_by=("l_orderkey", "l_linenumber"), options=("DRILLTHROUGH",))
+on_cube("drillthrough_filtered", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity_2 FROM lineitem WHERE l_discount > 0.05", "quantity", "returned", forest=(RETURNED,), group_by=("l_orderkey", "l_linenumber"), filter=fl.compare("l_discount", ">", 0.05), options=("DRILLTHROUGH",))
 
 
 @query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
@@ -496,3 +495,266 @@ def tpch_filtered_two_dimensions(spark, d):
 
     f = fl.like("p_brand", "Brand#1%") & fl.compare("o_orderdate", ">=", datetime(1996, 1, 1))
     return tpch(spark, d, ms.count_rows("n")).query("revenue", "n", group_by=("r_name", "l_returnflag"), filter=f)
+
+
+# --- security: what a cube hides stays hidden on every path ------------------------------------------------------------
+
+
+def _hiding(spark: SparkSession, d: str) -> Cube:
+    return Cube("seen", tb.parquet(spark, f"{d}/lineitem.parquet"), Forest.of(ms.count_rows("n"), ms.sum_("l_quantity", "quantity")), implicit_filter=lambda q: fl.where("l_linestatus", "F"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+def rls_sql(spark, d):
+    return _hiding(spark, d).sql("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM seen GROUP BY l_returnflag")
+
+
+@query("SELECT l_returnflag, sum(l_quantity) / count(*) AS per_row, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'F' AND l_discount > 0.02 GROUP BY 1 HAVING count(*) > 0")
+def sql_of_measures(spark, d):
+    return _hiding(spark, d).sql("SELECT l_returnflag, MEASURE(quantity) / MEASURE(n) AS per_row, MEASURE(`quantity`) AS q FROM seen WHERE l_discount > 0.02 GROUP BY l_returnflag HAVING MEASURE(n) > 0 ORDER BY l_returnflag LIMIT 100")
+
+
+@query("SELECT l_linestatus AS value, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+def rls_statistics(spark, d):
+    top = _hiding(spark, d).statistics("l_linestatus").select(F.explode("top").alias("t"))
+    return top.select(F.col("t.item").alias("value"), F.col("t.count").alias("n"))
+
+
+@query("SELECT DISTINCT l_linestatus AS value FROM lineitem WHERE l_linestatus = 'F'")
+def rls_coordinates(spark, d):
+    _, found = _hiding(spark, d).coordinates("l_linestatus")
+    return spark.createDataFrame([(x,) for x in found], "value string")
+
+
+def _hiding_both(spark: SparkSession, d: str) -> Cube:
+    orders = Cube("orders", tb.parquet(spark, f"{d}/orders.parquet").with_alias("status", "o_orderstatus"), Forest.of(ms.count_rows("n"), ms.Aggregator("price", "o_totalprice")), implicit_filter=lambda q: fl.where("o_orderpriority", "1-URGENT"))
+    lines = Cube("lines", tb.parquet(spark, f"{d}/lineitem.parquet").with_alias("status", "l_linestatus"), Forest.of(ms.count_rows("n"), ms.Aggregator("price", "l_extendedprice")), implicit_filter=lambda q: fl.where("l_returnflag", "R"))
+    return composite("both", [orders, lines])
+
+
+SEEN = "(SELECT o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT l_linestatus, l_extendedprice FROM lineitem WHERE l_returnflag = 'R')"
+
+
+@query(f"SELECT status, price FROM {SEEN} WHERE status = 'F'")
+def rls_composite_drillthrough(spark, d):
+    return _hiding_both(spark, d).query("price", group_by="status", filter=fl.where("status", "F"), options=("DRILLTHROUGH",))
+
+
+@query(f"SELECT status, count(*) AS n, sum(price) AS p FROM {SEEN} GROUP BY 1")
+def rls_composite_sql(spark, d):
+    seen = _hiding_both(spark, d).visible(["status", "o_totalprice", "l_extendedprice"])
+    # a column that a cube lacks has the cube's name there
+    price = F.coalesce(F.col("o_totalprice").try_cast("double"), F.col("l_extendedprice").try_cast("double"))
+    return seen.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(price).alias("p"))
+
+
+@query(f"SELECT status, sum(p) * 3 AS priced FROM {UNION} GROUP BY 1")
+def composite_marker(spark, d):
+    def cube(name: str, status: str, price: str) -> Cube:
+        forest = Forest.of(ms.Aggregator("price", price), ms.Combinator("rate", ("price",), "CUSTOM_MARKER", {"path": "fx.rate", "default": 1.0}), ms.Combinator("priced", ("price", "rate"), "PRODUCT"))
+        return Cube(name, tb.parquet(spark, f"{d}/{name}.parquet").with_alias("status", status), forest)
+
+    both = composite("both", [cube("orders", "o_orderstatus", "o_totalprice"), cube("lineitem", "l_linestatus", "l_extendedprice")])
+    return both.query("priced", group_by="status", marker={"fx": {"rate": 3.0}})
+
+
+# --- collections, text and states ------------------------------------------------------------------------------------------
+
+
+@query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def agg_union_of_values(spark, d):
+    t = tb.parquet(spark, f"{d}/nation.parquet").left_join(spark.read.parquet(f"{d}/region.parquet"), "region", [("n_regionkey", "r_regionkey")])
+    return Cube("n", t, Forest.of(ms.Aggregator("set", "n_name", "UNION"), ms.Combinator("names", ("set",), lambda v, o, c: F.array_join(v[0], ",")))).query("names", group_by="r_name")
+
+
+@query("SELECT r_name, max(n_nationkey)::BIGINT AS last, count(*) AS size FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def agg_union_map(spark, d):
+    t = tb.parquet(spark, f"{d}/nation.parquet").left_join(spark.read.parquet(f"{d}/region.parquet"), "region", [("n_regionkey", "r_regionkey")])
+    t = t.with_column(tb.SqlColumn("m", "map(n_name, bigint(n_nationkey))"))
+    last, size = ms.Combinator("last", ("map",), lambda v, o, c: F.array_max(F.map_values(v[0]))), ms.Combinator("size", ("map",), lambda v, o, c: F.size(v[0]).cast("long"))
+    return Cube("n", t, Forest.of(ms.Aggregator("map", "m", "UNION_MAP"), last, size)).query("last", "size", group_by="r_name")
+
+
+@query("SELECT r_name, count(*) AS size FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def agg_union_of_maps(spark, d):
+    t = tb.parquet(spark, f"{d}/nation.parquet").left_join(spark.read.parquet(f"{d}/region.parquet"), "region", [("n_regionkey", "r_regionkey")])
+    t = t.with_column(tb.SqlColumn("m", "map(n_name, bigint(n_nationkey))"))
+    return Cube("n", t, Forest.of(ms.Aggregator("map", "m", "UNION"), ms.Combinator("size", ("map",), lambda v, o, c: F.size(v[0]).cast("long")))).query("size", group_by="r_name")
+
+
+@query("SELECT l_returnflag, 2 * count(*) AS size FROM lineitem GROUP BY 1")
+def agg_union_list(spark, d):
+    t = tpch_table(spark, d).with_column(tb.SqlColumn("pair", "array(l_linestatus, 'x')"))
+    return Cube("c", t, Forest.of(ms.Aggregator("list", "pair", "UNION_LIST"), ms.Combinator("size", ("list",), lambda v, o, c: F.size(v[0]).cast("long")))).query("size", group_by="l_returnflag")
+
+
+@query("SELECT o_orderstatus, '{' || string_agg(DISTINCT upper(o_orderpriority), ', ' ORDER BY upper(o_orderpriority)) || '}' AS s, string_agg(DISTINCT upper(o_orderpriority), ',' ORDER BY upper(o_orderpriority)) AS t FROM orders GROUP BY 1")
+def agg_sum_else_text(spark, d):
+    t = tb.parquet(spark, f"{d}/orders.parquet").with_column(tb.SqlColumn("p", "upper(o_orderpriority)"))
+    return Cube("o", t, Forest.of(ms.Aggregator("s", "p", "SUM_ELSE_SET"), ms.Aggregator("t", "p", "SUM_ELSE_STRING"))).query("s", "t", group_by="o_orderstatus")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def agg_sum_else_number(spark, d):
+    t = tb.parquet(spark, f"{d}/orders.parquet").with_column(tb.SqlColumn("one", "'1'"))
+    number = ms.Combinator("n", ("s",), lambda v, o, c: v[0].cast("double").cast("long"))
+    return Cube("o", t, Forest.of(ms.Aggregator("s", "one", "SUM_ELSE_SET"), number)).query("n", group_by="o_orderstatus")
+
+
+@query("SELECT o_orderstatus, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS exact FROM orders GROUP BY 1")
+def agg_sum_of_decimals(spark, d):
+    t = tb.parquet(spark, f"{d}/orders.parquet").with_column(tb.SqlColumn("p", "cast(o_totalprice AS decimal(18, 2))"))
+    return Cube("o", t, Forest.of(ms.sum_("p"), ms.Combinator("exact", ("p",), lambda v, o, c: v[0].cast("double")))).query("exact", group_by="o_orderstatus")
+
+
+@query("SELECT l_returnflag, sum(l_quantity) AS sum_state, sum(l_discount) AS mean_sum, count(l_discount) AS mean_count FROM lineitem GROUP BY 1")
+def carriers_stay_wrapped(spark, d):
+    out = tpch(spark, d).query("quantity", "avg_discount", group_by="l_returnflag", options=("AGGREGATION_CARRIERS_STAY_WRAPPED",))
+    return out.select("l_returnflag", F.col("`quantity#0`").alias("sum_state"), F.col("`avg_discount#0`").alias("mean_sum"), F.col("`avg_discount#1`").alias("mean_count"))
+
+
+@query("SELECT l_linestatus, sqrt(sum(l_quantity * l_quantity)) AS x FROM lineitem GROUP BY 1")
+def agg_own_function(spark, d):
+    from tessera.operators.aggregations import Aggregation
+
+    length = Aggregation(lambda c: [F.sum(c * c)], lambda s: [F.sum(s[0])], lambda s: F.sqrt(s[0]))
+    return tpch(spark, d, ms.Aggregator("x", "l_quantity", length)).query("x", group_by="l_linestatus")
+
+
+@query("SELECT l_linestatus, max(l_quantity) - min(l_quantity) AS x FROM lineitem GROUP BY 1")
+def agg_registered(spark, d):
+    from tessera.operators import aggregations as ag
+
+    ag.register("SPREAD", lambda o: ag.Aggregation(lambda c: [F.min(c), F.max(c)], lambda s: [F.min(s[0]), F.max(s[1])], lambda s: s[1] - s[0], size=2))
+    return tpch(spark, d, ms.Aggregator("x", "l_quantity", "SPREAD")).query("x", group_by="l_linestatus")
+
+
+@query("SELECT l_linestatus, max(l_quantity) AS x FROM lineitem GROUP BY 1")
+def agg_lambda(spark, d):
+    return tpch(spark, d, ms.Aggregator("x", "l_quantity", F.max)).query("x", group_by="l_linestatus")
+
+
+ACROSS = f"SELECT l_returnflag, coalesce(r, 0) + coalesce(o, 0) + q AS added, coalesce(r, 0) + coalesce(o, 0) + q AS not_nan, greatest(r, o, q) AS hi, list_count([r, o, q]) AS n FROM ({BY_SHIP})"
+
+
+@query(ACROSS)
+def comb_aggregations_across(spark, d):
+    names = {"added": "SUM", "not_nan": "SUM_NOT_NAN", "hi": "MAX", "n": "COUNT"}
+    return tpch(spark, d, RETURNED, OPEN, *(ms.Combinator(n, ("returned", "open", "quantity"), "AGGREGATION", {"aggregationKey": k}) for n, k in names.items())).query(*names, group_by="l_returnflag")
+
+
+@query("SELECT l_returnflag, (sum(l_quantity) + count(*)) * 2 AS x FROM lineitem GROUP BY 1")
+def comb_composed(spark, d):
+    both = ms.Combinator("both", ("quantity", "n"), "SUM")
+    return tpch(spark, d, ms.count_rows("n"), both, ms.Combinator("x", ("both",), lambda v, o, c: v[0] * 2)).query("x", group_by="l_returnflag")
+
+
+on_cube("exceptions_at_run_time", "SELECT l_linestatus, 'RuntimeError: out of order' AS broken, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1", "broken", "quantity", forest=(ms.Combinator("broken", ("quantity",), "THROWING", {"message": "out of order"}),), group_by=("l_linestatus",), options=("EXCEPTIONS_AS_MEASURE_VALUE",))
+on_cube("shiftor_always", "SELECT l_linestatus, (SELECT sum(l_quantity) FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = a.l_linestatus) AS at_r FROM lineitem a GROUP BY 1", "at_r", forest=(ms.Shiftor("at_r", "quantity", "l_returnflag", "R", only_if_present=False),), group_by=("l_linestatus",))
+on_cube("shiftor_editor", "SELECT l_linestatus, sum(l_quantity) AS x FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1", "x", forest=(ms.Shiftor("x", "quantity", editor=lambda f, marker: fl.and_(fl.suppress(f, ["l_returnflag"]), fl.where("l_returnflag", marker))),), group_by=("l_linestatus",), filter=fl.where("l_returnflag", ["A", "N"]), marker="N")
+on_cube("decomposition_identity", "SELECT l_linestatus, sum(l_quantity) AS x FROM lineitem GROUP BY 1", "x", forest=(ms.Dispatchor("x", "quantity", dc.Decomposition()),), group_by=("l_linestatus",))
+on_cube(
+    "decomposition_by_function",
+    "SELECT half, sum(q) / 2 AS x FROM (SELECT l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY 1), (VALUES ('first'), ('second')) h(half) GROUP BY 1",
+    "x", forest=(ms.Dispatchor("x", "quantity", dc.Lambda(lambda df: df.withColumn("half", F.explode(F.array(F.lit("first"), F.lit("second")))).withColumn("value", F.col("value") / 2), ("l_linestatus",), ("half",))),), group_by=("half",),
+)
+
+
+class Doubled(ms.Measure):
+    """A measure of a kind of its own: what it plans is a formula over another step."""
+
+    def build(self, planner, step):
+        from tessera.plans.planner import Formula
+
+        return Formula(step.group_by, lambda v: v[0] * 2, [planner.node("quantity", step.filter, step.group_by, step.marker)])
+
+
+on_cube("measure_of_own_kind", "SELECT l_linestatus, 2 * sum(l_quantity) AS x FROM lineitem GROUP BY 1", "x", forest=(Doubled("x"),), group_by=("l_linestatus",))
+
+
+@query("SELECT l_linestatus, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1")
+def measures_by_tag(spark, d):
+    forest = Forest.of(ms.with_tags(ms.sum_("l_quantity", "q"), "shown"), ms.with_tags(ms.count_rows("n"), "shown"), ms.sum_("l_tax", "hidden"))
+    return Cube("c", tpch_table(spark, d), forest).query(*(m.name for m in forest.all().values() if "shown" in m.tags), group_by="l_linestatus")
+
+
+@query(ORACLE_SQL["dispatchor_linear"])
+def dispatchor_from_json(spark, d):
+    forest = Forest.of(ms.sum_("l_extendedprice", "price"), ms.Dispatchor("x", "price", dc.Linear("l_quantity", "bound", 1, 50)))
+    return Cube("c", tpch_table(spark, d), Forest.from_json(forest.to_json())).query("x", group_by="bound")
+
+
+@query(ORACLE_SQL["m2m_1d"])
+def m2m_from_yaml(spark, d):
+    forest = Forest.of(ms.sum_("l_quantity", "quantity"), ms.Dispatchor("x", "quantity", dc.many_to_many(spark, "r_name", "grp", GROUPS)))
+    return Cube("c", tpch_table(spark, d), Forest.from_yaml(forest.to_yaml())).query("x", group_by="grp")
+
+
+@query("SELECT l_linestatus, count(*) AS n FROM lineitem GROUP BY 1")
+def concealed_forest(spark, d):
+    forest = Forest.of(ms.count_rows("n")).concealed("salt")
+    name = next(iter(forest.all()))
+    return Cube("c", tpch_table(spark, d), forest).query(name, group_by="l_linestatus").withColumnRenamed(name, "n")
+
+
+# --- names, sources, schemas, streams ------------------------------------------------------------------------------------------
+
+
+@query("SELECT r_name, n_name, count(*) AS n FROM (SELECT n_regionkey AS regionkey, n_name FROM nation) JOIN (SELECT r_regionkey AS regionkey, r_name FROM region) USING (regionkey) GROUP BY 1, 2")
+def join_on_same_name(spark, d):
+    nation, region = (spark.read.parquet(f"{d}/{t}.parquet").withColumnRenamed(f"{t[0]}_regionkey", "regionkey") for t in ("nation", "region"))
+    return Cube("n", tb.Table(nation).left_join(region, "region", "regionkey"), Forest.of(ms.count_rows("n"))).query("n", group_by=("r_name", "n_name"))
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1")
+def aliases_by_function(spark, d):
+    t = tb.parquet(spark, f"{d}/lineitem.parquet")
+    names = tb.chained({"flag": "x_flag"}, tb.prefixed("x_", ["flag"]) | {"x_flag": "l_returnflag"}, tb.by_function(str.upper, ["l_tax"]))
+    return Cube("c", t.with_aliases({"flag": names["flag"]}), Forest.of(ms.count_rows("n"))).query("n", group_by="flag")
+
+
+@query("SELECT 'none' AS a, 0::BIGINT AS v WHERE false")
+def empty_table(spark, d):
+    return Cube("e", tb.empty(spark, "a string, v long"), Forest.of(ms.sum_("v"))).query("v", group_by="a")
+
+
+@query("SELECT a, sum(v)::BIGINT AS v FROM (VALUES ('x', 1), ('x', 2), (NULL, 4)) t(a, v) GROUP BY 1")
+def rows_in_memory(spark, d):
+    return Cube("m", tb.in_memory(spark, [{"a": "x", "v": 1}, {"a": "x", "v": 2}, {"v": 4}]), Forest.of(ms.sum_("v"))).query("v", group_by="a")
+
+
+@query("SELECT r_name, n_name, count(*) AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def schema_with_levels(spark, d):
+    from tessera.plans.cube import CubeQuery, Schema, levels
+
+    schema = Schema()
+    schema.register("places", tb.parquet(spark, f"{d}/nation.parquet").left_join(spark.read.parquet(f"{d}/region.parquet"), "region", [("n_regionkey", "r_regionkey")]))
+    schema.register("counts", Forest.of(ms.count_rows("n")))
+    schema.open_cube("nations", "places", "counts", tags=frozenset(["geo"]))
+    return schema.execute(schema.tagged("geo")[0], CubeQuery(("n",), levels({"geo": ("r_name", "n_name", "n_nationkey")}, "geo", 2)))
+
+
+@query("SELECT n_name, count(*) AS n FROM nation GROUP BY 1")
+def explained_query(spark, d):
+    return Cube("n", tb.parquet(spark, f"{d}/nation.parquet"), Forest.of(ms.count_rows("n"))).query("n", group_by="n_name", options=("EXPLAIN", "CONCURRENT", "PARTITIONED", "INDUCE_BY_ENGINE"))
+
+
+@query("SELECT n_regionkey::BIGINT AS n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def cached_query(spark, d):
+    c = Cube("n", tb.parquet(spark, f"{d}/nation.parquet"), Forest.of(ms.count_rows("n")), cache=True)
+    c.query("n", group_by="n_regionkey")
+    return c.query("n", group_by="n_regionkey", options=("NO_CACHE",))
+
+
+@query("SELECT event_type, sum(value) AS value, count(*) FILTER (WHERE value > 100) AS high, avg(value) AS mean FROM events GROUP BY 1")
+def states_by_window(spark, d):
+    from tessera.streaming.incremental import states, values
+
+    kept = [ms.sum_("value"), ms.Aggregator("high", "*", "COUNT", filter=fl.compare("value", ">", 100)), ms.Aggregator("mean", "value", "AVG")]
+    return values(states(spark.read.parquet(f"{d}/events.parquet"), kept, ["event_type"], "ts", "1 day"), kept, ["event_type"])
+
+
+@query("SELECT l_linestatus, l_returnflag, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2 UNION ALL SELECT l_linestatus, 'all but R', sum(l_quantity) FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1")
+def calc_coordinate_by_status(spark, d):
+    members = tb.CalculatedMembers("l_returnflag", (("all but R", ~fl.where("l_returnflag", "R")),))
+    return tpch(spark, d).query("quantity", group_by=("l_linestatus", members))

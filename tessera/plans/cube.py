@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
@@ -15,7 +16,7 @@ from tessera.operators import measures as ms
 from tessera.operators.aggregations import aggregation
 from tessera.plans.forest import Forest
 from tessera.plans.planner import Leaf, Planner
-from tessera.sources.tables import Table
+from tessera.sources.tables import SqlColumn, Table
 
 #: The virtual column of a composite that has the name of the cube a row comes from.
 SLICER = "~CompositeSlicer"
@@ -50,7 +51,8 @@ class Cube:
 
     ``implicit_filter`` (a function of the query) is added to every query, as row-level security
     is; ``implicit_options`` likewise; ``case_insensitive`` lets names of columns differ in case.
-    With ``cache`` (``persist`` of what a query returns, by query) repeated queries read memory.
+    With ``cache`` (``persist`` of what a query returns, by query) repeated queries read memory, the
+    last ``cache_size`` of them.
     """
 
     name: str
@@ -60,6 +62,7 @@ class Cube:
     implicit_options: frozenset[str] = frozenset()
     case_insensitive: bool = False
     cache: bool = False
+    cache_size: int = 64
     tags: frozenset[str] = frozenset()
     explained: list[str] = field(default_factory=list)
     _cached: dict = field(default_factory=dict)
@@ -79,8 +82,8 @@ class Cube:
         """
         q, names = self.prepared(q)
         if "DRILLTHROUGH" in q.options:
-            return self.drillthrough(q)
-        key = repr(q) if self.cache and "NO_CACHE" not in q.options else None
+            return self._rows_behind(q)
+        key = q if self.cache and "NO_CACHE" not in q.options and self._hashable(q) else None
         if key in self._cached:
             return self._cached[key]
         planner = self.planner(q)
@@ -99,25 +102,74 @@ class Cube:
             out.explain("formatted" if "DEBUG" in q.options else "simple")
         if key is not None:
             out = self._cached[key] = out.persist()
+            while len(self._cached) > self.cache_size:
+                self._cached.pop(next(iter(self._cached))).unpersist()
         return out
 
+    @staticmethod
+    def _hashable(q: CubeQuery) -> bool:
+        try:
+            hash(q)
+        except TypeError:
+            return False
+        return True
+
     def carriers(self, planner: Planner, q: CubeQuery, g: tuple[str, ...]) -> DataFrame:
         """The states of aggregators in place of their values, as ``name#0``, ``name#1``, ...; others as values."""
         nodes = {(m if isinstance(m, str) else m.name): planner.node(m, q.filter, g, q.marker) for m in q.measures}
         wrapped = {m: n for m, n in nodes.items() if isinstance(n, Leaf) and not n.agg.opaque and not n.empty}
         if len(wrapped) < len(nodes):
             raise ValueError(f"no state to give for {sorted(set(nodes) - set(wrapped))}")
-        df, columns = (self.table if hasattr(self.table, "states") else planner).states(*([planner] if hasattr(self.table, "states") else []), g, list(wrapped.values()))
+        own = hasattr(planner.table, "states")
+        df, columns = (planner.table if own else planner).states(*([planner] if own else []), g, list(wrapped.values()))
         return df.select(*(F.col(f"`{c}`") for c in g), *(F.col(c).alias(f"{m}#{i}") for m, n in wrapped.items() for i, c in enumerate(columns[id(n)])))
 
     def sql(self, text: str) -> DataFrame:
-        """Spark SQL over the cube's table under the cube's name; only the joins of the columns that it speaks of are made."""
-        self.table.frame(self.table.in_sql(text)).createOrReplaceTempView(self.name)
+        """Spark SQL over the cube under its name.
+
+        Without measures the cube is its table's visible rows, with only the joins of the columns that
+        the text speaks of. With ``MEASURE(name)`` the text is one SELECT of measures and columns, with
+        WHERE on rows, GROUP BY columns, and HAVING, ORDER BY and LIMIT on the result.
+        """
+        if re.search(r"\bmeasure\s*\(", text, re.I):
+            return self._sql_of_measures(text)
+        known = [c for c in self.table.columns()] if re.search(r"(?:select|,|\.)\s*\*", text, re.I) else self.table.in_sql(text)
+        self.visible(known).createOrReplaceTempView(self.name)
         return self.spark.sql(text)
 
+    def _sql_of_measures(self, text: str) -> DataFrame:
+        form = r"\s*select\s+(?P<items>.+?)\s+from\s+`?(?P<cube>[\w.]+)`?(?:\s+where\s+(?P<where>.+?))?(?:\s+group\s+by\s+(?P<group>.+?))?(?P<rest>\s+(?:having|order\s+by|limit)\b.*)?\s*;?\s*"
+        m = re.fullmatch(form, text, re.I | re.S)
+        if m is None or m["cube"] != self.name:
+            raise ValueError(f"no SELECT of measures FROM {self.name}: {text}")
+        call = re.compile(r"\bmeasure\s*\(\s*(?:`([^`]+)`|([^()`]+?))\s*\)", re.I)
+        names = tuple(dict.fromkeys(a or b for a, b in call.findall(m["items"] + (m["rest"] or ""))))
+        group = tuple(c.strip().strip("`") for c in m["group"].split(",")) if m["group"] else ()
+        cube, condition = self, fl.ALL
+        if m["where"]:
+            if not isinstance(self.table, Table):
+                raise ValueError("WHERE needs a cube over a table")
+            cube = replace(self, table=self.table.with_column(SqlColumn("__where", m["where"])), cache=False)
+            condition = fl.where("__where", True)
+        view = f"{self.name}_{uuid.uuid4().hex}"
+        cube.query(*names, group_by=group, filter=condition).createOrReplaceTempView(view)
+        shown = call.sub(lambda c: f"`{c[1] or c[2]}`", m["items"])
+        rest = re.sub(r"^\s*having\b", " WHERE", call.sub(lambda c: f"`{c[1] or c[2]}`", m["rest"] or ""), flags=re.I)
+        return self.spark.sql(f"SELECT {shown} FROM {view} {rest}")
+
+    def visible(self, names: Iterable[str], q: CubeQuery | None = None) -> DataFrame:
+        """Columns of the table's rows that the cube's implicit filter lets pass."""
+        names, q = list(dict.fromkeys(names)), q or CubeQuery()
+        f = fl.ALL if self.implicit_filter is None else self.implicit_filter(q)
+        t = replace(self.table, query=q) if isinstance(self.table, Composite) else self.table
+        if f == fl.ALL:
+            return t.frame(names)
+        df = t.frame([*names, *(c for c in sorted(f.columns()) if t.has(c) and c not in names)])
+        return df.where(f.on(lambda c: F.col(f"`{c}`") if t.has(c) else None)).select(*(F.col(f"`{c}`") for c in names))
+
     def statistics(self, column: str, top: int = 100) -> DataFrame:
         """About how many values a column has, and its most frequent ones with their counts, in one pass."""
-        df = self.table.frame([column]).select(F.col(f"`{column}`").alias("c"))
+        df = self.visible([column]).select(F.col(f"`{column}`").alias("c"))
         return df.agg(F.approx_count_distinct("c").alias("cardinality"), F.expr(f"approx_top_k(c, {int(top)})").alias("top"))
 
     def execute_async(self, q: CubeQuery, consume: Callable[[DataFrame], Any] = lambda df: df.toPandas()) -> tuple[str, Any]:
@@ -157,7 +209,8 @@ class Cube:
         return self.table.spark if hasattr(self.table, "spark") else self.table.base.sparkSession
 
     def planner(self, q: CubeQuery) -> Planner:
-        return Planner(self.table, self.forest.all(), self.generated(), {}, "UNKNOWN_MEASURES_ARE_EMPTY" in q.options, q.options, "EXCEPTIONS_AS_MEASURE_VALUE" in q.options)
+        table = replace(self.table, query=q) if isinstance(self.table, Composite) else self.table
+        return Planner(table, self.forest.all(), self.generated(), {}, "UNKNOWN_MEASURES_ARE_EMPTY" in q.options, q.options, "EXCEPTIONS_AS_MEASURE_VALUE" in q.options)
 
     def prepared(self, q: CubeQuery) -> tuple[CubeQuery, dict[str, str]]:
         """The query with what the cube implies, in the table's names; how to show the names asked for."""
@@ -191,7 +244,7 @@ class Cube:
 
     def coordinates(self, column: str, matcher: Any = None, limit: int = 100) -> tuple[int, list]:
         """About how many values a column has, and up to ``limit`` of the most frequent that pass a matcher."""
-        df = self.table.frame([column]).select(F.col(f"`{column}`").alias("c"))
+        df = self.visible([column]).select(F.col(f"`{column}`").alias("c"))
         if matcher is not None:
             df = df.where(fl.matcher(matcher).on(F.col("c")))
         counts = df.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
@@ -200,6 +253,11 @@ class Cube:
 
     def drillthrough(self, q: CubeQuery) -> DataFrame:
         """The rows behind a query: its grouping columns, and for each leaf the raw value where the leaf's condition holds (1 for rows)."""
+        return self.execute(replace(q, options=q.options | {"DRILLTHROUGH"}))
+
+    def _rows_behind(self, q: CubeQuery) -> DataFrame:
+        if isinstance(self.table, Composite):
+            return self.table.rows_behind(self, q)
         planner = self.planner(q)
         g = tuple(planner.name_of(c) for c in q.group_by)
         for m in q.measures:
@@ -244,7 +302,7 @@ class SubMeasure(ms.Measure):
 
     def build(self, planner: Planner, s: Any):
         own = planner.table.carrier(self.name) if isinstance(planner.table, Composite) else None
-        return Leaf(s.group_by, own if own is not None else aggregation(self.aggregation), self.name, s.filter, self)
+        return Leaf(s.group_by, own if own is not None else aggregation(self.aggregation), self.name, s.filter, self, marker=s.marker)
 
 
 @dataclass
@@ -252,6 +310,8 @@ class Composite:
     """Cubes as one table: their rows together. A column that a cube lacks has the cube's name there."""
 
     cubes: tuple[Cube, ...]
+    #: The query that is planned, which the implicit filters of the cubes may ask about.
+    query: CubeQuery | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -270,10 +330,10 @@ class Composite:
         return []
 
     def frame(self, names: list[str]) -> DataFrame:
-        parts = [c.table.frame([n for n in names if c.table.has(n)]) for c in self.cubes]
+        parts = [c.visible([n for n in names if c.table.has(n)], self.query) for c in self.cubes]
         out = None
         for c, part in zip(self.cubes, parts, strict=True):
-            part = part.select(*(F.col(f"`{n}`") if c.table.has(n) else F.lit(c.name).alias(n) for n in names))
+            part = part.select(*(F.lit(c.name).alias(n) if not c.table.has(n) else F.col(f"`{n}`").cast("string").alias(n) if self._mixed(n) else F.col(f"`{n}`") for n in names))
             out = part if out is None else out.unionByName(part)
         return out
 
@@ -300,7 +360,8 @@ class Composite:
         for c in self.cubes:
             inner = Planner(c.table, c.forest.all(), c.generated(), {}, options=planner.options)
             own_g = tuple(n for n in g if c.table.has(n) or n in c.generated())
-            base_filter = c.implicit_filter(CubeQuery(group_by=own_g)) if c.implicit_filter else fl.ALL
+            base_filter = c.implicit_filter(replace(self.query or CubeQuery(), group_by=own_g)) if c.implicit_filter else fl.ALL
+            inner.table = replace(c.table, query=self.query) if isinstance(c.table, Composite) else c.table
             asked: list[tuple[Leaf, Any]] = []
             for x in leaves:
                 f = fl.and_(self.filter_for(x.filter, c), base_filter)
@@ -308,7 +369,7 @@ class Composite:
                     continue
                 if isinstance(x.measure, SubMeasure):
                     if c.forest.get(x.measure.name) is not None:
-                        asked.append((x, inner.node(x.measure.name, f, own_g, None)))
+                        asked.append((x, inner.node(x.measure.name, f, own_g, x.marker)))
                 elif x.empty or x.column == "*" or all(map(c.table.has, x.inputs(c.table))) and (x.inputs(c.table) or x.agg.opaque):
                     asked.append((x, inner.node(x.measure, f, own_g, None)))
             if not asked:
@@ -345,6 +406,22 @@ class Composite:
             merged += [m.alias(t) for m, t in zip(made, ts, strict=True)]
         return out.groupBy(*(F.col(f"`{k}`") for k in g)).agg(*merged), columns
 
+    def rows_behind(self, cube: Cube, q: CubeQuery) -> DataFrame:
+        """The rows behind a query in each cube, as its own drill-through shows them."""
+        asked = cube.forest.reachable([m if isinstance(m, str) else m.name for m in q.measures]).all()
+        g, out = [c for c in q.group_by if isinstance(c, str)], None
+        for c in self.cubes:
+            f = self.filter_for(q.filter, c)
+            names = [m.name if isinstance(m, SubMeasure) else m for m in asked.values() if (c.forest.get(m.name) is not None if isinstance(m, SubMeasure) else isinstance(m, ms.Aggregator) and (m.source == "*" or c.table.has(m.source)))]
+            if f == fl.NONE or not names:
+                continue
+            own_g = tuple(n for n in g if c.table.has(n) or n in c.generated())
+            part = c.execute(CubeQuery(tuple(names), own_g, f, q.marker, frozenset(["DRILLTHROUGH"])))
+            keys = [F.lit(c.name).alias(n) if n not in own_g else F.col(f"`{n}`").cast("string").alias(n) if self._mixed(n) else F.col(f"`{n}`") for n in g]
+            part = part.select(*keys, *(F.col(f"`{n}`") for n in part.columns if n not in own_g))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out if out is not None else self.spark.createDataFrame([], ", ".join([*(f"`{n}` string" for n in g), *(f"`{n}` double" for n in asked)]) or "none int")
+
     def _mixed(self, column: str) -> bool:
         """Whether some cube lacks the column, so that its values are texts everywhere."""
         return not all(c.table.has(column) for c in self.cubes)

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from tessera.functions import filters as fl
+from tessera.operators import decompositions as dc
 from tessera.operators import measures as ms
 
 
@@ -201,7 +202,7 @@ class Forest:
         return Forest.of(*out, name=hide(self.name))
 
 
-TYPES = {t.__name__: t for t in (ms.Aggregator, ms.Combinator, ms.Filtrator, ms.Unfiltrator, ms.Shiftor, ms.Partitionor, ms.Columnator, ms.EmptyMeasure)}
+TYPES = {t.__name__: t for t in (ms.Aggregator, ms.Combinator, ms.Filtrator, ms.Unfiltrator, ms.Shiftor, ms.Partitionor, ms.Dispatchor, ms.Columnator, ms.EmptyMeasure)}
 
 
 def _plain(x: Any) -> Any:
@@ -218,6 +219,12 @@ def _to_dict(m: ms.Measure) -> dict:
         v = getattr(m, k.name)
         if k.name == "name" or v == _default(k):
             continue
+        if k.name == "decomposition":
+            out[k.name] = dc.to_plain(v)
+            continue
+        if k.name == "editor" and (key := next((e for e, f in ms.EDITORS.items() if f is v), None)):
+            out[k.name] = key
+            continue
         if callable(v):
             raise ValueError(f"{k.name} of {m.name} is a function")
         out[k.name] = fl.to_json(v) if isinstance(v, fl.Filter) else sorted(v) if isinstance(v, frozenset) else list(v) if isinstance(v, tuple) else dict(v) if isinstance(v, Mapping) else v
@@ -248,5 +255,8 @@ def _from_dict(x: Mapping[str, Any], counter: Iterator[int]) -> list[ms.Measure]
         if k.name in ("name",) or k.name not in x:
             continue
         v = x[k.name]
+        if k.name in ("decomposition", "editor") and v is not None:
+            values[k.name] = dc.from_plain(v) if k.name == "decomposition" else ms.EDITORS[v]
+            continue
         values[k.name] = named(v) if k.name == "underlying" else tuple(map(named, v)) if k.name == "underlyings" else fl.from_json(v) if k.name == "filter" else frozenset(v) if k.name == "tags" else tuple(v) if isinstance(v, list) else v
     return [kind(**values), *nested]

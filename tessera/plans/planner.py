@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +55,8 @@ class Leaf(Node):
     empty: bool = False
     #: SQL text of the value that is aggregated, where it is no column.
     sql: str | None = None
+    #: The marker of the step, for measures of sub-cubes.
+    marker: Any = None
 
     def inputs(self, table: Any) -> list[str]:
         """The columns that the value is made of."""
@@ -164,7 +166,7 @@ class Planner:
         self.path.append(m)
         try:
             made = self.expand(Step(m, f, g, marker))
-        except ValueError as e:
+        except Exception as e:
             if not self.errors_as_values or len(self.path) > 1:
                 raise
             text = f"{type(e).__name__}: {e}"
@@ -237,7 +239,10 @@ class Planner:
         if m.aggregation == "expression" and (call := simple_call(m.source)):
             # one call of an aggregate that merges takes conditions and coarser groupings as a column's does
             return Leaf(g, aggregation(call[0]), m.source, own, m, sql=call[1])
-        return Leaf(g, aggregation(m.aggregation, dict(m.options)), m.source, own, m, m.aggregation == "EMPTY")
+        agg = aggregation(m.aggregation, dict(m.options))
+        if agg.by_type is not None and self.known(m.source):
+            agg = agg.typed(self.base([m.source]).schema[m.source].dataType.simpleString())
+        return Leaf(g, agg, m.source, own, m, m.aggregation == "EMPTY")
 
     def absent(self, f: fl.Filter) -> set[str]:
         return {c for c in f.columns() if c in self.generated and not self.known(c)}
@@ -344,26 +349,31 @@ class Planner:
         for leaves in by_target.values():
             self.pending.setdefault((id(frame), frozenset(leaves[0].group_by)), (frame, leaves[0].group_by, []))[2].extend((leaf, leaf.agg, columns[id(leaf)]) for leaf in leaves)
 
-    def base(self, names: list[str]) -> DataFrame:
-        """The table's columns of these names, also those that the query itself defines."""
-        stored = [n for n in names if n not in self.extra]
+    def base(self, names: list[str], as_stored: frozenset[str] = frozenset()) -> DataFrame:
+        """The table's columns of these names, also those that the query itself defines (but for ``as_stored``)."""
+        own = [n for n in names if n in self.extra and n not in as_stored]
+        stored = [n for n in names if n not in own]
         for n in names:
-            if n in self.extra:
+            if n in own:
                 stored += self.inputs_of(self.extra[n])
         df = self.table.frame(list(dict.fromkeys(stored)))
-        for n in names:
-            c = self.extra.get(n)
+        for n in own:
+            c = self.extra[n]
             if isinstance(c, CalculatedMembers):
-                own = F.col(f"`{c.column}`").cast("string")
-                labels = [F.when(m.on(lambda x: F.col(f"`{x}`")), F.lit(label)) for label, m in c.members]
-                # the row's own value may be null, so members go in structs and only theirs are dropped
-                entries = F.concat(F.array(F.struct(own.alias("v"))), F.transform(F.array_compact(F.array(*labels)), lambda x: F.struct(x.alias("v"))))
-                df = df.withColumn("__member", F.explode(entries)).withColumn(n, F.col("__member.v")).drop("__member")
-            elif c is not None:
+                df = self.with_members(df, n, c)
+            else:
                 one = Table(df, derived={c.name: c})
                 df = df.withColumn(n, one._derive(c))
         return df
 
+    def with_members(self, df: DataFrame, name: str, c: CalculatedMembers) -> DataFrame:
+        """Each row once for its own value of the column and once for each member that it passes."""
+        own = F.col(f"`{c.column}`").cast("string")
+        labels = [F.when(m.on(lambda x: F.col(f"`{x}`")), F.lit(label)) for label, m in c.members]
+        # the row's own value may be null, so members go in structs and only theirs are dropped
+        entries = F.concat(F.array(F.struct(own.alias("v"))), F.transform(F.array_compact(F.array(*labels)), lambda x: F.struct(x.alias("v"))))
+        return df.withColumn("__member", F.explode(entries)).withColumn(name, F.col("__member.v")).drop("__member")
+
     def inputs_of(self, c: Any) -> list[str]:
         if isinstance(c, CalculatedMembers):
             return list(dict.fromkeys([c.column, *(x for _, m in c.members for x in m.columns())]))
@@ -373,6 +383,11 @@ class Planner:
 
     def states(self, g: tuple[str, ...], leaves: list[Leaf]) -> tuple[DataFrame, dict[int, list[str]]]:
         shared = fl.common([x.filter for x in leaves])
+        # rows are grouped by what decides their members first; the few groups are then spread over these
+        members = {c: self.extra[c] for c in g if isinstance(self.extra.get(c), CalculatedMembers)}
+        if any(x.agg.opaque for x in leaves) or any(members.keys() & x.filter.columns() for x in leaves):
+            members = {}
+        asked, g = g, tuple(dict.fromkeys([*(c for c in g if c not in members), *(i for c in members.values() for i in self.inputs_of(c))]))
         needed = [c for c in g if self.known(c)]
         needed += [c for x in leaves for c in sorted(x.filter.columns())]
         for x in leaves:
@@ -380,7 +395,7 @@ class Planner:
         for x in leaves:
             if not x.agg.opaque and x.sql is None and x.column != "*" and not self.known(x.column):
                 raise ValueError(f"unknown column {x.column} of {x.measure.name}")
-        df = self.base(list(dict.fromkeys(c for c in needed if self.known(c))))
+        df = self.base(list(dict.fromkeys(c for c in needed if self.known(c))), frozenset(i for c in members.values() for i in self.inputs_of(c)))
 
         def resolve(c: str) -> Column | None:
             return F.col(f"`{c}`") if self.known(c) else None
@@ -411,6 +426,17 @@ class Planner:
         self.log.append(f"scan: group by {list(g)}, where {shared!r}, {len(made)} aggregates")
         known = [c for c in g if self.known(c)]
         out = df.groupBy(*(F.col(f"`{c}`") for c in known)).agg(*made)
+        if members:
+            # a member takes the name of the column that it extends
+            out = out.select(*(F.col(f"`{c}`").alias(f"__of_{c}") for c in known), *(n for n in out.columns if n.startswith("__v")))
+            for name, c in members.items():
+                inner = CalculatedMembers(f"__of_{c.column}", tuple((label, _renamed(m, lambda x: f"__of_{x}")) for label, m in c.members))
+                out = self.with_members(out, f"__to_{name}", inner)
+            keys = [F.col(f"`__to_{c}`" if c in members else f"`__of_{c}`").alias(c) for c in asked if self.known(c)]
+            seen: dict[tuple, Leaf] = {tuple(columns[id(x)]): x for x in leaves}
+            merged = [m.alias(t) for names, x in seen.items() for m, t in zip([F.max(F.col(names[0]))] if x.empty else x.agg.merge([F.col(t) for t in names]), names, strict=True)]
+            out = out.groupBy(*keys).agg(*merged)
+        g = asked
         for c in g:
             if not self.known(c):
                 if c not in self.generated:
@@ -419,7 +445,11 @@ class Planner:
         return out, columns
 
     def ranked(self, leaf: Leaf) -> Value:
-        """The n-th distinct value by a window that keeps n rows of a group before it shuffles."""
+        """The n-th distinct value by a window that keeps n rows of a group before it shuffles.
+
+        Values are made distinct first, so that the ties of a top value meet on the map side; a window
+        straight over the rows would send all of them to one task.
+        """
         from pyspark.sql.window import Window
 
         if hasattr(self.table, "states"):
@@ -453,7 +483,12 @@ class Planner:
         if isinstance(n, Formula):
             of = [self.value(c) for c in n.of]
             frame = self.join([v.frame for v in of if v.frame is not None], n.group_by)
-            made = n.make([v.column for v in of])
+            try:
+                made = n.make([v.column for v in of])
+            except Exception as e:
+                if not self.errors_as_values:
+                    raise
+                made = F.when(present([v.column for v in of]), F.lit(f"{type(e).__name__}: {e}"))
             if frame is None:
                 return Value(None, F.lit(None))
             if self.uses.get(id(n), 1) > 1:
@@ -479,7 +514,8 @@ class Planner:
             return
         name = f"__v{next(self.counter)}"
         v.frame.df, v.frame.version = v.frame.df.withColumn(name, v.column), v.frame.version + 1
-        self.pending.setdefault((id(v.frame), frozenset(n.group_by)), (v.frame, n.group_by, []))[2].append((n, n.agg, name))
+        agg = n.agg.typed(v.frame.df.schema[name].dataType.simpleString()) if n.agg.by_type is not None else n.agg
+        self.pending.setdefault((id(v.frame), frozenset(n.group_by)), (v.frame, n.group_by, []))[2].append((n, agg, name))
 
     def ready(self, n: Node) -> bool:
         """Whether a node is made of leaves and formulas alone, so that evaluating it now settles nothing else."""
@@ -511,10 +547,11 @@ class Planner:
         below = n.of.group_by
         df = child.frame.df.select(*(F.col(f"`{c}`") for c in below), child.column.alias("value")).where("value is not null")
         df = n.decomposition.spread(df, n.group_by, n.filter)
-        names = [f"__v{next(self.counter)}" for _ in range(n.agg.size)]
-        states = [s.alias(k) for s, k in zip(n.agg.states(F.col("value")), names, strict=True)]
+        agg = n.agg.typed(df.schema["value"].dataType.simpleString()) if n.agg.by_type is not None else n.agg
+        names = [f"__v{next(self.counter)}" for _ in range(agg.size)]
+        states = [s.alias(k) for s, k in zip(agg.states(F.col("value")), names, strict=True)]
         out = df.groupBy(*(F.col(f"`{c}`") for c in n.group_by)).agg(*states)
-        return Value(Frame(out, n.group_by), n.agg.final([F.col(k) for k in names]))
+        return Value(Frame(out, n.group_by), agg.final([F.col(k) for k in names]))
 
     def shifted(self, n: Shifted) -> Value:
         read, write, g = self.value(n.read), self.value(n.write), n.group_by
@@ -615,6 +652,15 @@ def _schema_for(df: DataFrame):
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
 
 
+def _renamed(f: fl.Filter, name: Callable[[str], str]) -> fl.Filter:
+    """The filter on other names of its columns."""
+    if isinstance(f, fl.Where):
+        return replace(f, column=name(f.column))
+    if isinstance(f, (fl.And, fl.Or)):
+        return (fl.and_ if isinstance(f, fl.And) else fl.or_)(*(_renamed(x, name) for x in f.of))
+    return fl.not_(_renamed(f.of, name)) if isinstance(f, fl.Not) else f
+
+
 def simple_call(sql: str) -> tuple[str, str] | None:
     """(key, argument) of SQL text that is one call of sum, min or max and nothing more."""
     m = re.fullmatch(r"\s*(sum|min|max)\s*\((.*)\)\s*", sql, re.I | re.S)

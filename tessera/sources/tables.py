@@ -75,8 +75,8 @@ class Arm:
 
 
 def normal(frame: DataFrame) -> DataFrame:
-    """Whole numbers as bigint, other numbers as double."""
-    whole, other = (T.ByteType, T.ShortType, T.IntegerType), (T.FloatType, T.DecimalType)
+    """Whole numbers as bigint, floats as double; decimals stay, so that their sums are exact."""
+    whole, other = (T.ByteType, T.ShortType, T.IntegerType), (T.FloatType,)
     casts = {f.name: "bigint" if isinstance(f.dataType, whole) else "double" for f in frame.schema.fields if isinstance(f.dataType, whole + other)}
     return frame.select(*(F.col(f"`{c}`").cast(casts[c]).alias(c) if c in casts else F.col(f"`{c}`") for c in frame.columns)) if casts else frame
 
@@ -328,6 +328,7 @@ def jdbc_modulo(spark: SparkSession, url: str, dbtable: str, key: str, partition
 
 def to_arrow(result: DataFrame):
     """A result as an Arrow table with long, double, boolean, date and text columns."""
+    result = result.select(*(F.col(f"`{c}`").cast("double").alias(c) if t.startswith("decimal") else F.col(f"`{c}`") for c, t in result.dtypes))
     plain = ("bigint", "double", "boolean", "date", "string")
     return normal(result).select(*(F.col(f"`{c}`") if t in plain else F.col(f"`{c}`").cast("string").alias(c) for c, t in normal(result).dtypes)).toArrow()
 

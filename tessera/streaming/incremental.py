@@ -12,6 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import filters as fl
 from tessera.operators.aggregations import aggregation
 from tessera.operators.measures import Aggregator
 
@@ -27,6 +28,8 @@ def states(rows: DataFrame, measures: Sequence[Aggregator], group_by: Iterable[s
         if agg.opaque or agg.ranked:
             raise ValueError(f"{m.name} has no state that merges in a stream")
         c = F.lit(1) if m.source == "*" else F.col(f"`{m.source}`")
+        if m.filter != fl.ALL:
+            c = F.when(m.filter.on(lambda x: F.col(f"`{x}`") if x in rows.columns else None), c)
         made += [s.alias(f"{m.name}#{i}") for i, s in enumerate(agg.states(c))]
     out = rows.groupBy(F.window(time, window).alias("__window"), *(F.col(f"`{g}`") for g in group_by)).agg(*made)
     return out.select(F.col("__window.start").alias("window_start"), *(F.col(f"`{c}`") for c in out.columns if c != "__window"))

@@ -40,8 +40,8 @@ def test_query(spark, duck, small, name):
 
 def test_product_and_drillthrough_over_whole_tables(spark, duck, small):
     rows, orders = duck.execute("SELECT count(*), count(DISTINCT l_orderkey) FROM lineitem").fetchone()
-    assert catalogue.QUERIES["agg_product_all_orders"](spark, small).count() == orders
-    assert catalogue.QUERIES["drillthrough_all_rows"](spark, small).count() == rows
+    assert catalogue.QUERIES["agg_product"](spark, small).count() == orders
+    assert catalogue.QUERIES["drillthrough_rows"](spark, small).count() == rows
 
 
 def test_entry_module(spark):
