@@ -7,13 +7,13 @@ reading of each page, the containers whose text is kept: all below the article t
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import Scratch, by_value, small_batches, table
 
@@ -42,34 +42,57 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
-#: Hosts' winning and side paths are broadcast up to so many; beyond, they are joined by shuffle.
-BROADCAST_PATHS = 200_000
+#: Of the marks above, names that an article's own container may have: there the vote decides, not the name.
+WEAK = re.compile(r"(?<![a-z])(?:legal|disclaimer|copyright|notice\w*|tags?|social|share|sharing|discussion|related|promo\w*|alert|hidden|side|widget\w*|search\w*|header|masthead)(?![a-z])")
+#: What a container of such a name must have of prose, against others, to be taken for the article.
+DOUBT = 0.25
+#: Containers nested deeper than this have the path of the one at this depth; longer classes are hashed.
+MOST_DEEP, MOST_LABEL = 64, 80
+#: Hosts' winning and side paths are broadcast up to so many bytes; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Shares of a host's pages that a winning path's votes, and the pages of a side path, reach at least.
+WINNER_SHARE, SIDE_SHARE = 0.02, 0.01
 
 
 def is_odd(tag: str, names: list[str]) -> bool:
     """Whether an element's classes, id and role say that it is no part of the article."""
     names = [x for x in names if not ABOUT.match(x)]
+    if not names:
+        return False
     if any(ODD.fullmatch(x) for x in names):
         return tag != "main"
     return tag not in ("article", "main") and any(ODD.search(x) for x in names) and not any(ARTICLE.fullmatch(x) for x in names)
 
 
+def is_weak(names: list[str]) -> bool:
+    """Whether all odd ones of an element's names are such as an article's container may have."""
+    return all(WEAK.search(x) for x in names if not ABOUT.match(x) and ODD.search(x))
+
+
 def blocks(html: str, strict: bool = True) -> list[tuple[str, str, float]]:
     """The page's text blocks in order, each with the path of its container and its share of link text.
 
     Left out are scripts, styles, comments in the markup, and all below an element that by its
     tag, class, id or role is not part of the article (a header within an article is). Where that
     leaves nothing of a page, only tags decide and forms count as text. A path is the container's
-    tag and class, digits as #, below those of the containers around it. br and block elements end
-    a block.
+    tag and class, digits as #, below those of the containers around it; a container whose name is
+    in doubt has a ! behind its tag, and what is below it is text only where that path is chosen.
+    br and block elements end a block.
     """
     out: list[tuple[str, str, float]] = []
     words: list[str] = []
     linked = 0
-    # tag, left out, path of the nearest container, within a link, within an article
-    stack: list[tuple[str, bool, str, bool, bool]] = [("", False, "", False, False)]
+    # tag, left out, path of the nearest container, within a link, within an article, containers around
+    stack: list[tuple[str, bool, str, bool, bool, int]] = [("", False, "", False, False, 0)]
+    paragraphs = 0
+    unclosed: set[str] = set()
     at, n = 0, len(html)
 
+    def cut(k: int) -> None:
+        nonlocal paragraphs
+        paragraphs -= sum(s[0] == "p" for s in stack[k:])
+        del stack[k:]
+
     def flush() -> None:
         nonlocal linked
         if words:
@@ -85,7 +108,7 @@ def blocks(html: str, strict: bool = True) -> list[tuple[str, str, float]]:
             if stack[k][0] == tag:
                 if tag in BLOCK or any(s[0] in BLOCK for s in stack[k:]):
                     flush()
-                del stack[k:]
+                cut(k)
                 return
             if tag not in BLOCK and stack[k][0] in BLOCK:
                 return
@@ -104,14 +127,17 @@ def blocks(html: str, strict: bool = True) -> list[tuple[str, str, float]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if tag == "p" and not any(s[0] == "p" for s in stack):
+            if tag == "p" and not paragraphs:
                 flush()
             close(tag)
             continue
         if tag in RAW:
             attributes = m[3] or m[6] or ""
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                # where one such element has no end, no later one has
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                if end is None:
+                    unclosed.add(tag)
                 at = end.end() if end else n if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag == "br":
@@ -124,28 +150,36 @@ def blocks(html: str, strict: bool = True) -> list[tuple[str, str, float]]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == inner:
                         flush()
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in CONTAINER or stack[k][0] in ("table", "ul", "ol", "dl") or stack[k][0] in LEFT_OUT:
                         break
         if tag in VOID:
             continue
-        _, left_out, path, link, article = stack[-1]
+        _, left_out, path, link, article, deep = stack[-1]
+        doubt = False
         attributes = m[3] or m[6] or ""
         label = ""
         if attributes and ("=" in attributes or "hidden" in attributes):
             found = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in ATTRIBUTE.finditer(attributes)}
             label = DIGITS.sub("#", ".".join(sorted(found.get("class", "").split())))
+            if len(label) > MOST_LABEL:
+                label = hashlib.md5(label.encode()).hexdigest()
             if not left_out and strict and tag not in ("html", "body"):
                 names = [*found.get("class", "").split(), *found.get("id", "").split(), *found.get("role", "").split()]
-                left_out = is_odd(tag, names) or "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
+                odd = is_odd(tag, names)
+                doubt = odd and tag in CONTAINER and is_weak(names)
+                left_out = odd and not doubt or "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
         left_out = left_out or tag in LEFT_OUT and not (tag == "header" and article) and (strict or tag != "form")
         article = article or tag == "article"
-        if tag in CONTAINER:
-            path = f"{path}>{tag}.{label}" if label else f"{path}>{tag}"
+        if tag in CONTAINER and deep < MOST_DEEP:
+            path, deep = f"{path}>{tag}{'!' * doubt}{'.' * bool(label)}{label}", deep + 1
+        else:
+            left_out = left_out or doubt
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        stack.append((tag, left_out, path, link or tag == "a", article))
+        stack.append((tag, left_out, path, link or tag == "a", article, deep))
+        paragraphs += tag == "p"
     flush()
     return blocks(html, strict=False) if strict and not out and "<" in html else out
 
@@ -163,8 +197,8 @@ def scores(found: list[tuple[str, str, float]]) -> dict[str, float]:
         x[1] += 1
     out: dict[str, float] = {}
     for path, (mass, n) in own.items():
-        last = path.rsplit(">", 1)[-1].split(".")[0]
-        out[path] = mass * (2.0 if last in ("article", "main") else 1.0) * (1 + min(n, 10) / 10)
+        last = path.rsplit(">", 1)[-1].split(".")[0].rstrip("!")
+        out[path] = mass * (2.0 if last in ("article", "main") else 1.0) * (1 + min(n, 10) / 10) * (DOUBT if "!" in path else 1.0)
     return out
 
 
@@ -174,7 +208,7 @@ def roots(path: str) -> list[str]:
     Sections that stand side by side are one article; a quotation belongs to what is around it.
     """
     parts = path.split(">")
-    last = [x.split(".") for x in parts]
+    last = [x.replace("!", "", 1).split(".") for x in parts]
     for test in (lambda x: x[0] == "article", lambda x: x[0] in ("div", "section") and any(ARTICLE.fullmatch(c) for c in x[1:]), lambda x: x[0] == "main"):
         k = next((k for k, x in enumerate(last) if test(x)), None)
         if k is not None:
@@ -184,7 +218,13 @@ def roots(path: str) -> list[str]:
         while len(parts) > 2 and last[-1][0] == "blockquote":
             parts, last = parts[:-1], last[:-1]
     root = ">".join(parts)
-    return [root, ">".join([*parts[:-1], "section"])] if last[-1][0] == "section" else [root]
+    return [root, any_class(root)] if last[-1][0] == "section" else [root]
+
+
+def any_class(path: str) -> str:
+    """The path with its last container of any class."""
+    around, _, last = path.rpartition(">")
+    return f"{around}>{last.split('.')[0]}.*"
 
 
 def best_of(s: dict[str, float]) -> str:
@@ -203,8 +243,15 @@ def text_of(found: list[tuple[str, str, float]], winners: list[str] | None, side
         return ""
 
     def below(paths: list[str]) -> set[str]:
-        w = tuple({x for p in paths for r in roots(p) for x in (f"{r}>", f"{r}.")})
-        return {p for p in s if f"{p}>".startswith(w)}
+        chosen = {r for p in paths for r in roots(p)}
+        out = set()
+        for p in s:
+            ends = [k for k, c in enumerate(p) if c == ">"] + [len(p)]
+            # the deepest root that the path is or lies below; what is below it in doubt stays out
+            root = next((p[:k] for k in reversed(ends) if p[:k] in chosen or any_class(p[:k]) in chosen), None)
+            if root is not None and "!" not in p[len(root) :]:
+                out.add(p)
+        return out
 
     kept, own = below(winners or []), best_of(s)
     if not kept or own not in kept and own not in (side or []) and sum(s[p] for p in kept) < 0.5 * sum(s.values()):
@@ -225,11 +272,12 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             rows: dict[tuple[str, str], list[float]] = {}
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = scores(blocks(html.as_py() or ""))
-                total = sum(s.values()) or 1.0
                 own = best_of(s) if s else None
+                # containers in doubt take no vote from the others, unless one of them is the page's best
+                total = sum(x for p, x in s.items() if "!" not in p or "!" in own) or 1.0
                 for path, x in s.items():
                     v = rows.setdefault((host, path), [0.0, 0, 0])
-                    v[0] += x / total
+                    v[0] += min(1.0, x / total)
                     v[1] += 1
                     v[2] += path == own
             if rows:
@@ -245,11 +293,13 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def winners(paths: DataFrame, share: float = 0.5) -> DataFrame:
     """host, its winning paths (the best and all with ``share`` of its votes) and side paths (a page's best, but under half of the votes of the pages that have it).
 
-    A path of a single page is in neither: there its own score decides.
+    A path of a single page is in neither: there its own score decides. As a page casts one vote, the
+    shares that are asked for bound the paths of a host.
     """
-    w = paths.withColumn("top", F.max("votes").over(Window.partitionBy("host"))).where("pages > 1")
-    won = F.col("votes") >= F.col("top") * share
-    side = ~won & (F.col("best") > 0) & (F.col("votes") < 0.5 * F.col("pages"))
+    hosts = paths.groupBy("host").agg(F.max("votes").alias("top"), F.sum("votes").alias("cast"))
+    w = paths.where("pages > 1").join(hosts, "host")
+    won = (F.col("votes") >= F.col("top") * share) & (F.col("votes") >= F.col("cast") * WINNER_SHARE)
+    side = ~won & (F.col("best") > 0) & (F.col("votes") < 0.5 * F.col("pages")) & (F.col("pages") >= F.col("cast") * SIDE_SHARE)
     return w.where(won | side).groupBy("host").agg(F.sort_array(F.collect_list(F.when(won, F.col("path")))).alias("paths"), F.sort_array(F.collect_list(F.when(side, F.col("path")))).alias("side"))
 
 
@@ -257,21 +307,23 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """``pages`` without its html, with text and n_chars (code points).
 
     Null or empty html gives an empty text; pages without a host vote together; repeated pages
-    are rows of their own; input columns named text or n_chars are replaced.
+    are rows of their own and vote each; of paths that score alike the shorter wins; an empty table
+    gives an empty result. Input columns named text or n_chars are replaced. A page is parsed in one
+    pass whatever its length and depth.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     small_batches(spark)
     won = scratch.save(winners(host_paths(pages, url_col, html_col)).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"), F.col("side").alias("__side")))
-    n_paths = won.agg(F.sum(F.size("__paths") + F.size("__side"))).first()[0] or 0
-    side = F.broadcast(won) if n_paths <= BROADCAST_PATHS else won
-    rows = pages.drop("text", "n_chars").withColumn("__host", host_of(F.col(url_col))).join(side, "__host", "left").drop("__host")
-    kept = [f for f in rows.schema.fields if f.name not in (html_col, "__paths", "__side")]
+    size = won.agg(F.sum(F.length(F.concat_ws(" ", "__host", F.concat_ws(" ", "__paths"), F.concat_ws(" ", "__side"))))).first()[0] or 0
+    side = F.broadcast(won) if size <= BROADCAST_BYTES else won
+    kept = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
+    rows = pages.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{html_col}`").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("__host")).join(side, "__host", "left").drop("__host")
 
     def run(batches):
         for b in batches:
             names = b.schema.names
-            texts = [text_of(blocks(h.as_py() or ""), p.as_py(), x.as_py()) for h, p, x in zip(*(b.column(names.index(c)) for c in (html_col, "__paths", "__side")), strict=True)]
+            texts = [text_of(blocks(h.as_py() or ""), p.as_py(), x.as_py()) for h, p, x in zip(*(b.column(names.index(c)) for c in ("__html", "__paths", "__side")), strict=True)]
             columns = [b.column(names.index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), "text", "n_chars"])
 

@@ -237,6 +237,45 @@ def test_minority_templates_and_many_winners(spark):
     assert all("Brief." in got[100 + i] for i in range(1, 90))
 
 
+def test_a_winner_takes_nothing_beside_it(spark):
+    page = "<body><div>{}</div><div class=teaser>Short teaser</div></body>"
+    pages = [(i, "http://h.org/x", page.format(f"<p>First of {i}, quite long, with words, and marks.</p><p>Second, also long, and more.</p>")) for i in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for r in html.extract(df).collect():
+        assert r["text"] == f"First of {r['page_id']}, quite long, with words, and marks.\nSecond, also long, and more."
+
+
+@pytest.mark.parametrize("name", ["id=legal", "class=discussion", "class=tags", "class=disclaimer"])
+def test_the_vote_overrules_a_name(spark, name):
+    long = "<p>" + "A sentence of the text, with words. " * 12 + "</p>"
+    page = f"<body><div {name}>{long}<div class=social>Share this</div></div><div>tiny</div></body>"
+    df = spark.createDataFrame([(i, "http://h.org/x", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract(df).collect()} == {("A sentence of the text, with words. " * 12).strip()}
+    # within an article the name holds, and so it does where the rest has as much prose
+    assert html.text_of(html.blocks(f"<article><p>One, two. Three, four.</p><div {name}>no</div></article>"), None) == "One, two. Three, four."
+    assert html.text_of(html.blocks(f"<body><div {name}>{long}</div><div class=x>{long}</div></body>"), None).count("with words") == 12
+
+
+def test_deep_and_unclosed_pages_take_linear_time_and_memory(spark):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.perf_counter()
+    deep = html.text_of(html.blocks("<div><p>a word here" * 20_000), None)
+    assert deep.count("\n") > 19_900  # all from the deepest container that is told apart
+    assert html.text_of(html.blocks("<svg>" * 16_000 + "<p>end of it</p>"), None) == "end of it"
+    assert html.blocks("<div>" * 16_000) == []
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and time.perf_counter() - began < 30
+    tracemalloc.stop()
+
+
+def test_html_column_called_text(spark):
+    df = spark.createDataFrame([(1, "http://h.org", "<p>One two three.</p>")], "page_id long, url string, text string")
+    assert [r["text"] for r in html.extract(df, html_col="text").collect()] == ["One two three."]
+    assert html.extract(df.where("false"), html_col="text").count() == 0
+
+
 def test_pages_of_the_test_data(spark, small):
     from html import unescape
 
