@@ -314,7 +314,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     small_batches(spark)
-    won = scratch.save(winners(host_paths(pages, url_col, html_col)).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"), F.col("side").alias("__side")))
+    won = scratch.save(winners(scratch.save(host_paths(pages, url_col, html_col))).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"), F.col("side").alias("__side")))
     size = won.agg(F.sum(F.length(F.concat_ws(" ", "__host", F.concat_ws(" ", "__paths"), F.concat_ws(" ", "__side"))))).first()[0] or 0
     side = F.broadcast(won) if size <= BROADCAST_BYTES else won
     kept = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
