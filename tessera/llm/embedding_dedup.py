@@ -5,14 +5,19 @@ vector queries every shard. A beam begins narrow and is widened, for all queries
 recall audit against an exact scan of some of them passes (recall a query, without the query itself,
 for queries of few links and of many apart), and for a single query while its whole
 beam lies above the threshold, ending in an exact scan of the shard, so that no number of partners
-is a cap. Candidates are verified by cosine in double precision; links leave a task as counts and
-as edges that connect what the links connect.
+is a cap. Candidates are verified by cosine in double precision. A query's few links in a shard leave
+a task as pairs, so that each counts for both its ends whichever found it; many leave it as their
+number and as edges that connect what the links connect.
+
+A graph is read once for a lane of queries, which stream past it in batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +25,17 @@ from tessera.llm import words as W
 from tessera.llm.common import Scratch, by_value, table
 from tessera.llm.components import components
 
-#: Shards at least, and vectors of a shard at most (about 400 bytes each at 64 dimensions).
+#: Shards at least, vectors of a shard at most, and their bytes.
 SHARDS = 6
 SHARD_ROWS = 500_000
-#: Queries of a task and of one lockstep batch.
-BLOCK_ROWS = 20_000
+SHARD_BYTES = 128 << 20
+#: Queries of a lane at least (more where shards are large), and of one lockstep batch.
+LANE_ROWS = 20_000
 BATCH = 256
+#: Links of a query in a shard up to which they are told as pairs.
+PAIRS = 64
+#: Marks of visited nodes that a query keeps, a power of two; a lost mark costs time only.
+VISITED = 4096
 #: Neighbours of a node on the upper layers (twice as many on the lowest), beam while building.
 NEIGHBOURS = 12
 BUILD_BEAM = 48
@@ -124,11 +134,17 @@ class Graph:
         src, dst = src[order], dst[order]
         target, first, count = np.unique(dst, return_index=True, return_counts=True)
         width = self.links[k].shape[1]
-        extra = min(int(count.max()), 32)
-        new = np.full((len(target), extra), -1, np.int32)
         slot = np.arange(len(dst)) - np.repeat(first, count)
-        ok = slot < extra
-        new[np.repeat(np.arange(len(target)), count)[ok], slot[ok]] = src[ok]
+        for at in range(0, int(count.max()), 32):
+            part = (slot >= at) & (slot < at + 32)
+            some, of = np.unique(np.repeat(np.arange(len(target)), count)[part], return_inverse=True)
+            self._add_links(target[some], of, slot[part] - at, src[part], k)
+
+    def _add_links(self, target: np.ndarray, of: np.ndarray, slot: np.ndarray, src: np.ndarray, k: int) -> None:
+        """Link ``src`` from the targets that ``of`` numbers, at most 32 each; a full node keeps its best."""
+        width = self.links[k].shape[1]
+        new = np.full((len(target), int(slot.max()) + 1), -1, np.int32)
+        new[of, slot] = src
         old = self.links[k][target]
         new[(new[:, :, None] == old[:, None, :]).any(2)] = -1
         ids = np.concatenate([old, new], 1)
@@ -166,8 +182,8 @@ class Graph:
         ids[:, 0] = at
         sims[:, 0] = np.einsum("nd,nd->n", self.x[at], q)
         open_ = ids >= 0
-        seen = np.zeros((n, len(self.x)), bool)
-        seen[np.arange(n), at] = True
+        seen = np.full((n, VISITED), -1, np.int32)
+        seen[np.arange(n), at & (VISITED - 1)] = at
         active = np.arange(n)
         width = self.links[k].shape[1]
         while len(active):
@@ -177,11 +193,15 @@ class Graph:
             node = np.where(valid, np.take_along_axis(ids[active], first, 1), 0)
             np.put_along_axis(o, first, False, 1)
             around = np.where(valid[:, :, None], self.links[k][node], -1).reshape(len(active), -1)
-            around = np.where((around < 0) | seen[active[:, None], np.maximum(around, 0)], -1, around)
+            around = np.where(seen[active[:, None], around & (VISITED - 1)] == around, -1, around)
             around.sort(1)
             around[:, 1:][around[:, 1:] == around[:, :-1]] = -1
             r, c = np.nonzero(around >= 0)
-            seen[active[r], around[r, c]] = True
+            # a node whose mark was lost may still be in the beam
+            there = (ids[active[r]] == around[r, c][:, None]).any(1)
+            around[r[there], c[there]] = -1
+            r, c = r[~there], c[~there]
+            seen[active[r], around[r, c] & (VISITED - 1)] = around[r, c]
             got = np.full((len(active), EXPAND * width), -2, np.float32)
             got[r, c] = np.einsum("nd,nd->n", self.x[around[r, c]], q[active[r]])
             all_ids = np.concatenate([ids[active], around], 1)
@@ -206,15 +226,15 @@ class Graph:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         left = np.arange(len(q))
         while len(left):
-            if beam * 8 >= len(self.x) or beam > 512:
+            if beam > 512:
                 for i in left:
                     out[i] = np.flatnonzero(self.x @ q[i] >= bound)
                 break
             ids, sims = self.nearest(q[left], beam)
             hit = sims >= bound
-            wide = hit.all(1)
+            wide = hit.all(1) & (beam < len(self.x))
             for j in np.flatnonzero(~wide & hit.any(1)):
-                out[left[j]] = ids[j][hit[j]].astype(np.int64)
+                out[left[j]] = np.sort(ids[j][hit[j]]).astype(np.int64)
             left, beam = left[wide], beam * 4
         return out
 
@@ -224,8 +244,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def query_shard(graph: Graph, unit: np.ndarray, ids: np.ndarray, weights: np.ndarray, q_ids: np.ndarray, q: np.ndarray, threshold: float) -> tuple[list[tuple[int, int | None, int]], float, int]:
-    """(query, a linked node or None, rows linked) for each query and edges between nodes; recall and beam of the audit."""
+def audit(graph: Graph, unit: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, q: np.ndarray, threshold: float) -> tuple[int, float]:
+    """The first beam that finds enough of the links of some queries, by an exact scan of these; the recall."""
     single = q.astype(np.float32)
     audited, truth, few = [], [], 0
     drawn = np.random.default_rng(11).permutation(len(q))[:AUDIT_MOST]
@@ -249,21 +269,57 @@ def query_shard(graph: Graph, unit: np.ndarray, ids: np.ndarray, weights: np.nda
         if recall >= RECALL or beam > 512:
             break
         beam *= 2
-    label = np.arange(len(ids))
-    out: list[tuple[int, int | None, int]] = []
+    return beam, recall
+
+
+def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, beam: int, ids: np.ndarray, q_ids: np.ndarray) -> list[np.ndarray]:
+    """For each query the nodes that it links with, itself left out."""
+    out = []
+    single = q.astype(np.float32)
     for at in range(0, len(q), BATCH):
         for i, found in enumerate(graph.within(single[at : at + BATCH], threshold - SLACK, beam), at):
             found = found[unit[found] @ q[i] >= threshold] if len(found) else found
-            found = found[ids[found] != q_ids[i]] if len(found) else found
-            if not len(found):
-                out.append((int(q_ids[i]), None, 0))
+            out.append(found[ids[found] != q_ids[i]] if len(found) else found)
+    return out
+
+
+class Lane:
+    """Queries against one shard's graph: told are few links as (a, b, weight of b, weight of a, home of a), many as (a, None, weight, None, None) and edges (a, b, 0, None, None)."""
+
+    def __init__(self, graph: Graph, unit: np.ndarray, ids: np.ndarray, weights: np.ndarray, threshold: float):
+        self.graph, self.unit, self.ids, self.weights, self.threshold = graph, unit, ids, weights, threshold
+        self.label = np.arange(len(ids))
+        self.waiting: list[tuple] = []
+        self.beam: int | None = None
+        self.recall = 1.0
+
+    def ask(self, q_ids: np.ndarray, q_weights: np.ndarray, home: np.ndarray, q: np.ndarray) -> list[tuple]:
+        """What is told of these queries, or of all so far once there are enough to audit."""
+        self.waiting.append((q_ids, q_weights, home, q))
+        return self.told() if self.beam is not None or sum(len(w[0]) for w in self.waiting) >= AUDIT_MOST else []
+
+    def end(self) -> list[tuple]:
+        """A row without links that carries the audit's recall, also where nothing links."""
+        return [(None, None, None, None, None)]
+
+    def told(self) -> list[tuple]:
+        if not self.waiting:
+            return []
+        q_ids, q_weights, home, q = (np.concatenate(c) for c in zip(*self.waiting, strict=True))
+        self.waiting = []
+        if self.beam is None:
+            self.beam, self.recall = audit(self.graph, self.unit, self.ids, q_ids, q, self.threshold)
+        out: list[tuple] = []
+        for a, w, h, found in zip(q_ids.tolist(), q_weights.tolist(), home.tolist(), linked(self.graph, self.unit, q, self.threshold, self.beam, self.ids, q_ids), strict=True):
+            if len(found) <= PAIRS:
+                out += [(a, b, n, w, h) for b, n in zip(self.ids[found].tolist(), self.weights[found].tolist(), strict=True)]
                 continue
-            out.append((int(q_ids[i]), int(ids[found[0]]), int(weights[found].sum())))
-            groups = np.unique(label[found])
+            out += [(a, None, int(self.weights[found].sum()), None, None), (a, int(self.ids[found[0]]), 0, None, None)]
+            groups = np.unique(self.label[found])
             if len(groups) > 1:
-                out += [(int(ids[groups[0]]), int(ids[g]), 0) for g in groups[1:]]
-                label[np.isin(label, groups)] = groups[0]
-    return out, recall, beam
+                out += [(int(self.ids[groups[0]]), int(self.ids[g]), 0, None, None) for g in groups[1:]]
+                self.label[np.isin(self.label, groups)] = groups[0]
+        return out
 
 
 def link(vectors: DataFrame, threshold: float = 0.95, shards: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -271,8 +327,8 @@ def link(vectors: DataFrame, threshold: float = 0.95, shards: int | None = None,
 
     Vectors that are null, zero or hold null, NaN or infinite components link with nothing (an
     empty one is zero); vectors of different lengths never link. Rows with a null id have no links
-    and are kept, with a null component. Repeated rows are copies and link. An empty table gives
-    an empty result; other columns are not read.
+    and are kept, with a null component. Repeated rows are copies and link. Pairs at exactly the
+    threshold link. An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -281,10 +337,11 @@ def link(vectors: DataFrame, threshold: float = 0.95, shards: int | None = None,
     sound = v.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     classes = scratch.save(rows.where("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.min("v").alias("v")))
-    n = classes.count()
-    shards = shards or max(SHARDS, -(-n // SHARD_ROWS))
-    n_blocks = max(1, -(-n // BLOCK_ROWS))
-    dealt = classes.select("id", "weight", "v", F.size("v").alias("dim"), F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod("h2", F.lit(n_blocks)).cast("int").alias("block"))
+    sizes = classes.groupBy(F.size("v").alias("dim")).count().collect()
+    shards = shards or max([SHARDS, *(-(-r["count"] // min(SHARD_ROWS, max(1, SHARD_BYTES // (4 * r["dim"])))) for r in sizes)])
+    n = sum(r["count"] for r in sizes)
+    lanes = max(1, n // max(LANE_ROWS, n // shards // 2))
+    dealt = classes.select("id", "weight", "v", F.size("v").alias("dim"), F.pmod("h1", F.lit(shards)).cast("int").alias("shard"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
@@ -296,28 +353,65 @@ def link(vectors: DataFrame, threshold: float = 0.95, shards: int | None = None,
         })
 
     graphs = scratch.save(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, x binary, ids binary, weights binary, links array<binary>, entry int"))
-    asked = dealt.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def ask(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        columns = ["a", "b", "n", "recall", "beam"]
-        if not len(q) or not len(g):
-            return pd.DataFrame({c: [] for c in columns})
-        g0 = g.iloc[0]
-        ids, weights = np.frombuffer(g0["ids"], np.int64), np.frombuffer(g0["weights"], np.int64)
-        unit = _unit(np.frombuffer(g0["x"], np.float32).reshape(len(ids), -1))
-        graph = Graph(unit.astype(np.float32), [np.frombuffer(k, np.int32).reshape(len(ids), -1) for k in g0["links"]], int(g0["entry"]))
-        q = q.sort_values("id", kind="stable")
-        found, recall, beam = query_shard(graph, unit, ids, weights, q["id"].to_numpy(np.int64), _unit(np.stack(q["v"].to_numpy())), threshold)
-        out = pd.DataFrame(found, columns=columns[:3])
-        return out.assign(a=out["a"].astype("Int64"), b=out["b"].astype("Int64"), recall=recall, beam=beam)
-
-    found = scratch.save(asked.groupBy("dim", "shard", "block").cogroup(served.groupBy("dim", "shard", "block")).applyInPandas(ask, "a long, b long, n long, recall double, beam int"))
+    columns = "dim int, lane int, no int, x binary, ids binary, weights binary, home binary"
+
+    def pack(batches):
+        """Queries as arrays, by their dimensions."""
+        task = TaskContext.get().partitionId()
+        for no, b in enumerate(batches):
+            dims = b.column(3).to_numpy()
+            rows = []
+            for dim in np.unique(dims):
+                own = b.filter(pa.array(dims == dim))
+                x = own.column(2).flatten().to_numpy().astype(np.float32)
+                rows.append((int(dim), (task * 31 + no) % lanes, no + 1, x.tobytes(), *(own.column(i).to_numpy().astype(np.int64).tobytes() for i in (0, 1, 4))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 3 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=["dim", "lane", "no", "x", "ids", "weights", "home"])
+
+    asked = dealt.select("id", "weight", "v", "dim", F.col("shard").cast("long")).mapInArrow(pack, columns)
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("array<binary>").alias("links"), F.lit(None).cast("int").alias("entry"))
+    served = graphs.select("dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("no"), "x", "ids", "weights", F.lit(None).cast("binary").alias("home"), "shard", "links", "entry")
+
+    def ask(batches):
+        lane, of, shard = None, None, None
+
+        def out(told):
+            rows = [(*t, shard, lane.recall, lane.beam) for t in told]
+            types = (*[pa.int64()] * 5, pa.int32(), pa.float64(), pa.int32())
+            names = ["a", "b", "n", "m", "home", "shard", "recall", "beam"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, at, no, x, ids, weights, home, s, links, entry = (c[r] for c in batch.columns)
+                key = (dim.as_py(), s.as_py(), at.as_py())
+                if no.as_py() == 0:
+                    if lane is not None:
+                        yield out([*lane.told(), *lane.end()])
+                    node_ids = np.frombuffer(ids.as_buffer(), np.int64)
+                    unit = _unit(np.frombuffer(x.as_buffer(), np.float32).reshape(len(node_ids), -1))
+                    graph = Graph(unit.astype(np.float32), [np.frombuffer(k.as_buffer(), np.int32).reshape(len(node_ids), -1) for k in links.values], entry.as_py())
+                    lane, of, shard = Lane(graph, unit, node_ids, np.frombuffer(weights.as_buffer(), np.int64), threshold), key, key[1]
+                elif key == of:  # otherwise the shard holds no vector of these dimensions
+                    q = [np.frombuffer(c.as_buffer(), np.int64) for c in (ids, weights, home)]
+                    told = lane.ask(*q, _unit(np.frombuffer(x.as_buffer(), np.float32).reshape(len(q[0]), -1)))
+                    if told:
+                        yield out(told)
+        if lane is not None:
+            yield out([*lane.told(), *lane.end()])
+
+    met = served.unionByName(asked).select("dim", "lane", "no", "x", "ids", "weights", "home", "shard", "links", "entry")
+    met = met.repartition("dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "no")
+    found = scratch.save(met.mapInArrow(ask, "a long, b long, n long, m long, home long, shard int, recall double, beam int"))
     recall = found.agg(F.min("recall")).first()[0]
     if recall is not None and recall < RECALL:
         raise RuntimeError(f"an audit found a recall of {recall:.4f} at the widest beam; {RECALL} is asked for")
-    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-    parts = scratch.save(components(found, scratch))
+    # each pair for both its ends, but for an end that counted its links in the other's shard
+    pairs = found.where("m is not null")
+    ends = pairs.select("a", "b", "n", "shard").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("home").cast("int").alias("shard"))).dropDuplicates(["a", "b"])
+    many = found.where("a is not null and b is null").select("a", "n", "shard")
+    counts = ends.join(many, ["a", "shard"], "left_anti").select("a", "n").unionByName(many.select("a", "n")).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
+    parts = scratch.save(components(found.where("b is not null"), scratch))
     known = classes.join(counts, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
     known = known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.where("sound").join(known, ["h1", "h2"]).select("vec_id", "n_links", "component_id")

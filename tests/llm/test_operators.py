@@ -405,10 +405,35 @@ def test_embedding_links_against_brute_force(spark):
     got = {r["vec_id"]: r for r in embedding_dedup.link(df, shards=2).collect()}
     links = np.array([got[i]["n_links"] for i in range(len(x))])
     assert (links <= near.sum(1)).all() and links.sum() >= 0.98 * near.sum()
+    few = near.sum(1) <= embedding_dedup.PAIRS
+    ends = collections.Counter(links[few].tolist())
+    assert sum(k * n for k, n in ends.items()) % 2 == 0  # a pair counts for both
     assert np.mean([got[i]["component_id"] == label[i] for i in range(len(x))]) > 0.98
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_graph_finds_planted_pairs_without_an_exact_scan():
+    """The graph alone: beams below the widest, shards smaller than any switch."""
+    rng = np.random.default_rng(2)
+    for n in (40, 3000):
+        x = rng.normal(size=(n, 32))
+        x[n // 2 :] = x[: n - n // 2] + 0.05 * rng.normal(size=(n - n // 2, 32))
+        unit = embedding_dedup._unit(x)
+        g = embedding_dedup.Graph(unit.astype(np.float32))
+        got = g.within(unit.astype(np.float32), 0.95, 16)
+        truth = [np.flatnonzero(unit @ v >= 0.95) for v in unit]
+        assert np.mean([len(np.intersect1d(a, b)) / len(b) for a, b in zip(got, truth, strict=True)]) > 0.98
+
+
+def test_a_hub_keeps_its_links():
+    rng = np.random.default_rng(4)
+    x = embedding_dedup._unit(np.vstack([np.ones((1, 8)), 1 + 0.5 * rng.normal(size=(700, 8))]))
+    g = embedding_dedup.Graph(x.astype(np.float32))
+    assert all((k >= -1).all() and (k < len(x)).all() for k in g.links)
+    into = np.bincount(g.links[0][g.links[0] >= 0], minlength=len(x))
+    assert (into > 0).mean() > 0.99
+
+
 def test_audit_sees_links_of_small_groups():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1200, 16))
@@ -424,11 +449,14 @@ def test_audit_sees_links_of_small_groups():
             return [t if beam >= 64 or len(t) > 2 else t[[np.argmax(unit[t] @ v)]] for t, v in zip(near, q, strict=True)]
 
     ids = np.arange(len(x))
-    found, recall, beam = embedding_dedup.query_shard(Narrow(), unit, ids, np.ones(len(x), np.int64), ids, unit, 0.95)
+    ones = np.ones(len(x), np.int64)
+    lane = embedding_dedup.Lane(Narrow(), unit, ids, ones, 0.95)
+    assert lane.ask(ids[:600], ones[:600], ones[:600], unit[:600]) == []  # too few to audit
+    found = lane.ask(ids[600:], ones[600:], ones[600:], unit[600:]) + lane.told()
     n = collections.Counter()
-    for a, _, k in found:
+    for a, _, k, _, _ in found:
         n[a] += k
-    assert beam >= 64 and recall == 1.0 and all(n[i] == 1 for i in range(800, 1200)) and n[0] == 399
+    assert lane.beam >= 64 and lane.recall == 1.0 and all(n[i] == 1 for i in range(800, 1200)) and n[0] == 399
 
 
 def test_embedding_edges(spark):
