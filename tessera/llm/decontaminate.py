@@ -24,15 +24,19 @@ from tessera.llm.common import by_value, small_batches, table
 RADIUS = 19
 #: ... as they differ by at most one bit in one of so many blocks (10 * 2 > 19).
 BLOCKS = 10
+#: Bits of a block's value at most.
+BLOCK_BITS = 7
+#: Windows that are fingerprinted at once (300 bytes each, and for each shingle of an item).
+WINDOWS = 8192
 #: Words of benchmark items that are held in memory at once; more items take more passes.
 BLOCK_WORDS = 1_000_000
 
 
 def simhash(shingles: np.ndarray, length: int) -> np.ndarray:
     """Fingerprints of all windows of ``length`` shingles."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
     total = np.zeros((len(shingles) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
+    np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
     return np.packbits(total[length:] - total[:-length] > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -65,14 +69,23 @@ class Items:
         self.known, self.owner = known[order], owner[order]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        # for each block the items by length and by each value that differs in a bit at most
         edges = np.linspace(0, 64, BLOCKS + 1).astype(int)
         self.blocks = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            value = (self.prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-            near = np.zeros((1 << (b - a), len(found)), bool)
-            for flip in [0, *(1 << k for k in range(b - a))]:
-                near[(value ^ np.uint64(flip)).astype(np.int64), np.arange(len(found))] = True
-            self.blocks.append((np.uint64(a), np.uint64((1 << (b - a)) - 1), near))
+            mask = np.uint64((1 << (b - a)) - 1)
+            value = (self.prints >> np.uint64(a)) & mask
+            flips = np.array([0, *(1 << k for k in range(b - a))], np.uint64)
+            keys = (self.lengths[:, None] * (1 << BLOCK_BITS) + (value[:, None] ^ flips).astype(np.int64)).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.blocks.append((np.uint64(a), mask, keys[order], order // len(flips)))
+
+    @classmethod
+    def again(cls, state: dict) -> "Items":
+        """The index out of its attributes, which travel as plain arrays."""
+        out = cls.__new__(cls)
+        out.__dict__ = state
+        return out
 
     def anchors(self, shingles: np.ndarray) -> np.ndarray:
         """Positions of shingles that some item has."""
@@ -84,14 +97,17 @@ class Items:
 
     def within(self, prints: np.ndarray, length: int) -> np.ndarray:
         """(window, item) pairs within the radius among items of that number of shingles."""
-        items = np.flatnonzero(self.lengths == length)
-        close = np.zeros((len(prints), len(items)), bool)
-        for shift, mask, near in self.blocks:
-            close |= near[((prints >> shift) & mask).astype(np.int64)][:, items]
-        w, i = np.nonzero(close)
-        i = items[i]
-        good = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-        return np.column_stack([w[good], i[good]])
+        found = [np.zeros(0, np.int64)]
+        for shift, mask, keys, owner in self.blocks:
+            k = length * (1 << BLOCK_BITS) + ((prints >> shift) & mask).astype(np.int64)
+            lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+            w = np.repeat(np.arange(len(k)), hi - lo)
+            at = np.arange(len(w)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[w]
+            i = owner[at]
+            good = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
+            found.append(w[good] * len(self.prints) + i[good])
+        both = np.unique(np.concatenate(found))
+        return np.column_stack([both // max(1, len(self.prints)), both % max(1, len(self.prints))])
 
     def matches(self, shingles: np.ndarray, n_words: int, threshold: float) -> Iterator[tuple[int, float, int]]:
         """(item, best similarity, first word of the first best window) of one whole text."""
@@ -111,9 +127,7 @@ class Items:
                 np.add.at(mark, np.maximum(at - size + 1, 0), 1)
                 np.add.at(mark, at + 1, -1)
                 starts = np.flatnonzero(np.cumsum(mark[:-1])[: len(shingles) - size + 1] > 0)
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    if not len(run):
-                        continue
+                for run in (r[a : a + WINDOWS] for r in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) for a in range(0, len(r), WINDOWS)):
                     piece = shingles[run[0] : run[-1] + size]
                     for w, i in self.within(simhash(piece, size), length).tolist():
                         s = similarity(piece[w : w + size], self.shingles[i])
@@ -145,7 +159,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col:
     A document with fewer words than the item is compared as a whole. Items of fewer than five
     words match only a document of exactly these words; items and documents without words match
     nothing. Null texts count as empty; rows with a null id have no result; an item or document
-    that occurs repeatedly gives a row each time. Either table may be empty.
+    that occurs repeatedly gives a row each time. Either table may be empty. A long text is searched
+    whole, some thousand windows at a time; of windows as similar the first is told.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -153,10 +168,10 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     out = None
     for item_ids, texts in item_blocks(benchmark, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast((item_ids, Items(texts)))
+        shared = spark.sparkContext.broadcast((item_ids, Items(texts).__dict__))
 
         def run(batches, shared=shared):
-            item_ids, items = shared.value
+            item_ids, items = shared.value[0], Items.again(shared.value[1])
             for b in batches:
                 got: list[tuple] = []
                 ids = W.ids(b.column(0))
@@ -182,10 +197,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_co
     small_batches(spark)
     out = docs
     for _, texts in item_blocks(benchmark, item_id_col, item_text_col, nameless=True):
-        shared = spark.sparkContext.broadcast(Items(texts))
+        shared = spark.sparkContext.broadcast(Items(texts).__dict__)
 
         def run(batches, shared=shared):
-            items = shared.value
+            items = Items.again(shared.value)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for a, _, offsets, data in W.slices(pc.utf8_lower(b.column(b.schema.get_field_index(text_col)))):
