@@ -1,10 +1,11 @@
 """Line dedup across documents: exact reference counts, sharded cuckoo filters, reversible.
 
-The state is two written tables. ``holdings`` has a row for each line key and document that holds
-it; ``counts``, derived from it, has for each key how many documents hold it and the largest of
-them. Keys held by enough documents are also put in cuckoo filters, sharded by key; these tell
-which holdings may be frequent before anything is shuffled for the exact join. Inserting and
-deleting documents adds and removes holdings, so the counts follow and lines come back.
+The state is written tables. ``holdings`` has a row for each line key and document that holds it;
+``counts`` has for each key how many documents hold it and the largest of them. Keys held by
+enough documents are also in cuckoo filters, sharded by key; these tell which holdings may be
+frequent before anything is shuffled for the exact join. Inserting and deleting documents updates
+the counts of their keys alone, and the filters by keys that became or ceased to be frequent, so
+lines come back.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: Keys in a filter at most; more keys take more shards.
 SHARD_KEYS = 500_000
-#: Filters are broadcast up to so many bytes in all; beyond, the exact join sees all holdings.
+#: Filters are broadcast up to so many bytes in all; beyond, holdings go to their shard's filter, in so many lanes.
 BROADCAST_BYTES = 64 << 20
+LANES = 16
+#: Steps after which a store's tables are written anew.
+COMPACT = 8
 
 
 class Cuckoo:
@@ -147,57 +151,112 @@ def counted(held: DataFrame) -> DataFrame:
     return once.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
+def _filters(frequent: DataFrame) -> DataFrame:
+    """shard, n_shards and slots: filters of the frequent keys, of SHARD_KEYS keys at most on average."""
+    shards = max(1, -(-frequent.count() // SHARD_KEYS))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = Cuckoo.of(pdf["k1"].to_numpy().view(np.uint64))
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n_shards": [shards], "slots": [c.slots.tobytes()]})
+
+    sharded = frequent.select("k1", F.pmod(F.col("k2"), F.lit(shards)).cast("long").alias("shard"))
+    return sharded.groupBy("shard").applyInPandas(build, "shard long, n_shards long, slots binary")
+
+
 @dataclass
 class LineStore:
-    """The state of incremental line dedup."""
+    """The state of incremental line dedup.
+
+    ``held`` are the holdings, ``counts`` the exact reference counts of all keys, ``filters`` the cuckoo
+    filters of the frequent ones by shard. Inserting and deleting documents recounts only the keys
+    of their lines, and puts into the filters or takes out of them only keys whose frequency crossed
+    the bound; both leave the store as it was and return another. ``changed`` are the keys that the last step
+    recounted. Every COMPACT steps the tables are written anew, so that reading stays as cheap.
+    """
 
     scratch: Scratch
     held: DataFrame
+    counts: DataFrame
+    filters: DataFrame
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
-    frequent: DataFrame | None = None
-    filters: DataFrame | None = None
+    steps: int = 0
+    changed: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineStore:
         small_batches(docs.sparkSession)
         scratch = Scratch(docs.sparkSession, "lines")
-        return cls(scratch, scratch.save(holdings(docs, min_chars)), min_chars, min_docs)._refreshed()
+        held = scratch.save(holdings(docs, min_chars), hashes=True)
+        counts = scratch.save(counted(held), hashes=True)
+        return cls(scratch, held, counts, scratch.save(_filters(counts.where(F.col("n_docs") >= min_docs))), min_chars, min_docs)
+
+    @property
+    def frequent(self) -> DataFrame:
+        return self.counts.where(F.col("n_docs") >= self.min_docs)
 
     def insert(self, docs: DataFrame) -> LineStore:
         """The state with more documents; an id that is there already gains the lines of the new text."""
-        more = self.scratch.save(holdings(docs, self.min_chars))
-        return LineStore(self.scratch, self.held.unionByName(more), self.min_chars, self.min_docs)._refreshed()
+        more = holdings(docs, self.min_chars).distinct().join(self.held, ["k1", "k2", "doc_id"], "left_anti")
+        more = self.scratch.save(more.select("k1", "k2", "doc_id"), hashes=True)
+        added = more.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("more"), F.max("doc_id").alias("largest"))
+        now = added.join(self.counts, ["k1", "k2"], "left").select(
+            "k1", "k2", F.coalesce("n_docs", F.lit(0)).alias("before"), (F.coalesce("n_docs", F.lit(0)) + F.col("more")).alias("n_docs"), F.greatest("keeper", "largest").alias("keeper")
+        )
+        return self._with(self.held.unionByName(more), self.scratch.save(now, hashes=True))
 
     def delete(self, ids: DataFrame) -> LineStore:
         """The state without the documents whose ids the first column of ``ids`` has."""
-        gone = ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-        kept = self.scratch.save(self.held.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"))
-        return LineStore(self.scratch, kept, self.min_chars, self.min_docs)._refreshed()
-
-    def _refreshed(self) -> LineStore:
-        self.frequent = self.scratch.save(counted(self.held).where(F.col("n_docs") >= self.min_docs))
-        shards = max(1, -(-self.frequent.count() // SHARD_KEYS))
-
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            c = Cuckoo.of(pdf["k1"].to_numpy().view(np.uint64))
-            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n_shards": [shards], "slots": [c.slots.tobytes()]})
-
-        sharded = self.frequent.select("k1", F.pmod(F.col("k2"), F.lit(shards)).cast("long").alias("shard"))
-        self.filters = self.scratch.save(sharded.groupBy("shard").applyInPandas(build, "shard long, n_shards long, slots binary"))
-        return self
+        gone = self.scratch.save(ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct())
+        kept = self.held.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id")
+        keys = self.scratch.save(self.held.join(gone, "doc_id", "left_semi").select("k1", "k2").distinct(), hashes=True)
+        left = counted(kept.join(keys, ["k1", "k2"], "left_semi"))
+        now = keys.join(self.counts.select("k1", "k2", F.col("n_docs").alias("before")), ["k1", "k2"]).join(left, ["k1", "k2"], "left")
+        return self._with(kept, self.scratch.save(now.select("k1", "k2", "before", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), "keeper"), hashes=True))
+
+    def _with(self, held: DataFrame, now: DataFrame) -> LineStore:
+        """The state of these holdings, with new counts for some keys (k1, k2, before, n_docs, keeper)."""
+        same = self.counts.join(now, ["k1", "k2"], "left_anti")
+        counts = same.unionByName(now.where("n_docs > 0").select("k1", "k2", "n_docs", "keeper"))
+        if (self.steps + 1) % COMPACT == 0:
+            held, counts = self.scratch.save(held, hashes=True), self.scratch.save(counts, hashes=True)
+        was, is_ = F.col("before") >= self.min_docs, F.col("n_docs") >= self.min_docs
+        crossed = now.where(was != is_).select("k1", "k2", is_.alias("up"))
+        return LineStore(self.scratch, held, counts, self._refiltered(crossed, counts), self.min_chars, self.min_docs, self.steps + 1, now)
+
+    def _refiltered(self, crossed: DataFrame, counts: DataFrame) -> DataFrame:
+        """The filters with keys put in and taken out; all anew where one is full."""
+        n = self.filters.agg(F.max("n_shards")).first()[0]
+        changes = crossed.select("k1", "up", F.pmod(F.col("k2"), F.lit(n or 1)).cast("long").alias("shard"))
+        if not n:
+            return self.scratch.save(_filters(counts.where(F.col("n_docs") >= self.min_docs)))
+
+        def update(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            if not len(new):
+                return old
+            out, in_ = (new["k1"][new["up"] == x].to_numpy().view(np.uint64) for x in (False, True))
+            c = Cuckoo(2 * len(in_), np.frombuffer(old["slots"].iloc[0], np.uint16).reshape(-1, 4) if len(old) else None)
+            c.delete(out)
+            ok = c.insert(in_)
+            return pd.DataFrame({"shard": [new["shard"].iloc[0]], "n_shards": [n], "slots": [c.slots.tobytes() if ok else None]})
+
+        made = self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(update, "shard long, n_shards long, slots binary")
+        made = self.scratch.save(made)
+        return made if not made.where("slots is null").take(1) else self.scratch.save(_filters(counts.where(F.col("n_docs") >= self.min_docs)))
 
     def candidates(self) -> DataFrame:
-        """The holdings whose key passes its shard's filter: all frequent ones, and few others."""
-        size = self.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
+        """The holdings whose key passes its shard's filter: all frequent ones, and few others.
+
+        Filters are broadcast while they are small; beyond, each meets the holdings of its shard.
+        """
+        size, n = self.filters.agg(F.coalesce(F.sum(F.octet_length("slots")), F.lit(0)), F.max("n_shards")).first()
         if size > BROADCAST_BYTES:
-            return self.held
-        found = {r["shard"]: (r["n_shards"], r["slots"]) for r in self.filters.collect()}
+            return self._met_by_shard(n)
+        found = {r["shard"]: r["slots"] for r in self.filters.collect()}
         shared = self.held.sparkSession.sparkContext.broadcast(found)
 
         def run(batches):
-            filters = {k: Cuckoo(0, np.frombuffer(s, np.uint16).reshape(-1, 4)) for k, (_, s) in shared.value.items()}
-            n = next((n for n, _ in shared.value.values()), 1)
+            filters = {k: Cuckoo(0, np.frombuffer(s, np.uint16).reshape(-1, 4)) for k, s in shared.value.items()}
             for b in batches:
                 k1, k2 = W.ids(b.column(0)), W.ids(b.column(1))
                 keep = np.zeros(b.num_rows, bool)
@@ -208,6 +267,34 @@ class LineStore:
 
         return self.held.mapInArrow(run, self.held.schema)
 
+    def _met_by_shard(self, n: int) -> DataFrame:
+        """Each shard's filter, and behind it the holdings of its keys, in one stream.
+
+        A key's holdings are dealt over LANES copies of its filter, so that a key that most documents hold is no task of its own.
+        """
+        none = F.lit(None)
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), none.cast("long").alias("k1"), none.cast("long").alias("k2"), none.cast("long").alias("doc_id"), "slots")
+        rows = self.held.select(F.pmod(F.col("k2"), F.lit(n)).cast("long").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(LANES)).cast("int").alias("lane"), "k1", "k2", "doc_id", none.cast("binary").alias("slots"))
+
+        def run(batches):
+            key, now = None, None
+            for b in batches:
+                here = np.stack([W.ids(b.column(0)), W.ids(b.column(1))])
+                is_filter = b.column(5).is_valid().to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero(np.append(True, (np.diff(here) != 0).any(0) | is_filter[1:]))
+                keep = np.zeros(b.num_rows, bool)
+                for at, end in zip(edges.tolist(), [*edges[1:].tolist(), b.num_rows], strict=True):
+                    if is_filter[at]:
+                        key, now = tuple(here[:, at]), Cuckoo(0, np.frombuffer(b.column(5)[at].as_buffer(), np.uint16).reshape(-1, 4))
+                        at += 1
+                    if at < end and tuple(here[:, at]) == key:
+                        keep[at:end] = now.contains(W.ids(b.column(2).slice(at, end - at)).view(np.uint64))
+                if keep.any():
+                    yield b.select(["k1", "k2", "doc_id"]).filter(pa.array(keep))
+
+        met = filters.unionByName(rows).repartition("shard", "lane").sortWithinPartitions(F.col("shard"), F.col("lane"), F.col("slots").isNull())
+        return met.mapInArrow(run, "k1 long, k2 long, doc_id long")
+
     def drops(self) -> DataFrame:
         """doc_id and the keys whose lines it loses."""
         hits = self.candidates().join(self.frequent, ["k1", "k2"]).where("doc_id <> keeper")
@@ -218,8 +305,9 @@ class LineStore:
 
         A document's lines go where their key is frequent and another document is its keeper; all
         its lines with the key stay in the keeper. Null and empty texts are one empty line; rows
-        with a null id hold and lose nothing; rows that repeat an id are one document. Input
-        columns named n_lines or n_dropped are replaced.
+        with a null id hold and lose nothing; rows that repeat an id are one document. An empty table
+        gives an empty result; a long text is split whole. Input columns named n_lines or n_dropped
+        are replaced.
         """
         min_chars = self.min_chars
         rows = docs.drop("n_lines", "n_dropped", "__keys")
