@@ -225,7 +225,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     """Fit on at most ``max_rows`` labelled documents outside fold 0.
 
     The sample is the labelled ids with the smallest hashes, so its size is bounded whatever the
-    input; an id with several labels has the lowest; null labels and null ids are left out.
+    input; an id with several labels has the lowest, one with several texts the least of them; null
+    labels and null ids are left out. No labels give a score of 0.5 everywhere.
     """
     label = F.min((F.col(label_col) >= 1).cast("int")).alias("__label")
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col), folds)).groupBy(F.col(id_col).alias("__id")).agg(label)
@@ -233,13 +234,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(int(r[0]), int(r[1])) for r in sample], "__id long, __label int")
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    found = with_statistics(rows, "__text").select("__label", *(PREFIX + s for s in STATS)).limit(2 * max_rows).toPandas().to_numpy(dtype=float)
+    rows = rows.groupBy("__id").agg(F.min("__label").alias("__label"), F.min("__text").alias("__text"))
+    found = with_statistics(rows, "__text").select("__label", *(PREFIX + s for s in STATS)).toPandas().to_numpy(dtype=float)
     found = found[np.lexsort(found.T)]  # rows come in any order; the fit must not
     return fit(found[:, 1:], found[:, 0])
 
 
 def score(docs: DataFrame, rules: Rules, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score and predicted (1 if score >= threshold); input columns so named are replaced."""
+    """``docs`` with score and predicted (1 if score >= threshold); input columns so named are replaced.
+
+    Null, empty and wordless texts have statistics of 0 and the score that the rules give these. Null
+    and repeated ids are rows like others, equal texts have equal scores, long texts are read whole;
+    an empty table gives an empty result.
+    """
     kept = docs.drop("score", "predicted")
     out = with_statistics(kept, text_col).withColumn("score", rules.column())
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*(PREFIX + s for s in STATS))
