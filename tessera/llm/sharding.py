@@ -15,8 +15,8 @@ OUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 LARGE = 100
 #: Smaller groups are scheduled in shards * BUNDLES bundles of whole groups.
 BUNDLES = 500
-#: Rows of a shard are numbered in SLOT_BLOCKS blocks, each by a task of its own.
-SLOT_BLOCKS = 64
+#: Rows of a shard are numbered in blocks, each by a task of its own: SLOT_BLOCKS, or more of about SLOT_ROWS rows.
+SLOT_BLOCKS, SLOT_ROWS = 64, 100_000
 
 
 def schedule(sizes: list[tuple[int, tuple]], shards: int) -> dict[tuple, int]:
@@ -56,8 +56,9 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         F.xxhash64(text.isNull(), text).alias("__g1"),
         F.xxhash64(F.lit("second"), text).alias("__g2"),
     )
-    groups = scratch.save(rows.groupBy("__g1", "__g2").agg(F.sum("size").alias("weight")))
-    total = groups.agg(F.sum("weight")).first()[0] or 0
+    groups = scratch.save(rows.groupBy("__g1", "__g2").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")))
+    total, n_rows = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    slot_blocks = max(SLOT_BLOCKS, n_rows // (shards * SLOT_ROWS))
     large = F.col("weight") * (shards * LARGE) >= F.lit(total)
     bundle = F.pmod(F.col("__g1"), F.lit(shards * BUNDLES))
     alone = groups.where(large).collect()
@@ -70,7 +71,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         .join(F.broadcast(by_group), ["__g1", "__g2"], "left")
         .join(F.broadcast(by_bundle), "__bundle", "left")
         .withColumn("shard", F.coalesce("__own", "__shared"))
-        .withColumn("__block", F.pmod(F.xxhash64("__id", "__g1"), F.lit(SLOT_BLOCKS)))
+        .withColumn("__block", F.pmod(F.xxhash64("__id", "__g1"), F.lit(slot_blocks)))
     )
     before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "__block").agg(F.count(F.lit(1)).alias("__n")).select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
