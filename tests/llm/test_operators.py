@@ -519,6 +519,37 @@ def test_lines_are_reversible(spark):
     assert state(whole.delete(df.select("doc_id"))) == []
 
 
+def test_steps_recount_only_changed_keys_and_come_back(spark):
+    rows = [(i, t) for i, t in line_rows() if i is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame([(1000 + i, f"a line that only new documents hold, in all of them\nand one that document {i} alone holds, long enough") for i in range(6)], "doc_id long, text string")
+    first = linededup.LineStore.build(df)
+    grown = first.insert(more)
+    assert grown.changed.count() == 7 and first.counts.count() + 7 == grown.counts.count()  # the line of all, and one of each
+    back = grown.delete(more.select("doc_id"))
+    assert back.changed.count() == 7
+
+    def bits(s):
+        return [sorted(map(tuple, t.collect())) for t in (s.held, s.counts, s.filters)]
+
+    assert bits(back) == bits(first) and grown.frequent.count() == first.frequent.count() + 1
+    again = grown.insert(more)  # nothing new
+    assert again.changed.count() == 0 and bits(again)[:2] == bits(grown)[:2]
+    got, expected = grown.apply(more), linededup.LineStore.build(df.unionByName(more)).apply(more)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_filters_that_are_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 2)
+    rows = line_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    store = linededup.LineStore.build(df)
+    small = sorted(map(tuple, store.candidates().collect()))
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, store.candidates().collect())) == small
+    assert len(small) < store.held.count()
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
     c = linededup.Cuckoo.of(keys)
@@ -561,6 +592,24 @@ def test_shards(spark, small, odd, nothing):
     assert len(odd_rows) == len(ODD) and sharding.assign(nothing, 3).count() == 0
 
 
+def test_shards_of_large_groups_are_those_of_the_textbook(spark):
+    rng = np.random.default_rng(8)
+    texts = ["x" * int(n) + str(i) for i, n in enumerate(rng.integers(500, 9000, 150))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i % 7]) for i in range(40)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    groups = collections.Counter()
+    for _, t in rows:
+        groups[t] += len(t) + 16
+    loads = [0] * 6
+    for size in sorted(groups.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    of = collections.defaultdict(int)
+    for r in got:
+        of[r["shard"]] += r["size"]
+    assert sorted(of.values()) == sorted(loads)
+    assert len({(r["text"], r["shard"]) for r in got}) == len(groups)
+
+
 def test_schedule_is_lpt():
     assert sharding.schedule([(7, ("a",)), (6, ("b",)), (5, ("c",)), (4, ("d",)), (3, ("e",))], 2) == {("a",): 0, ("b",): 1, ("c",): 1, ("d",): 0, ("e",): 0}
 
@@ -733,6 +782,36 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
     assert got[60] > 0.5 * once["score"]
 
 
+# --- executors that have no copy of the repository -----------------------------------------------------------------------
+
+
+def test_all_queries_on_bare_executors(small, tmp_path):
+    """Workers of another process that cannot import the library: what they run comes with the tasks."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.append({root!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/c").getOrCreate()
+def bare(rows):
+    import importlib.util
+    yield importlib.util.find_spec("tessera") is None
+assert all(s.sparkContext.parallelize(range(2), 2).mapPartitions(bare).collect())
+from tessera.llm import queries
+for name, q in queries.QUERIES.items():
+    assert q(s, {small!r}).count() >= 0
+print("all", len(queries.QUERIES))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all 10" in done.stdout, done.stderr[-3000:]
+
+
 # --- SQL and the pipeline ---------------------------------------------------------------------------------------------------
 
 
@@ -779,6 +858,20 @@ def test_pipeline_stages_on_odd_rows(spark, odd, small, tmp_path):
     assert set(ids) <= {1, 4, 5, 6, 7, 9, 11, 12, None}
 
 
+def test_groups_of_rows_that_repeat_an_id_or_have_none(spark, small, nothing):
+    import corpus_pipeline as cp
+
+    other = " ".join(f"other{i}" for i in range(50))
+    rows = [(1, BASE), (1, other), (2, BASE + " more"), (None, BASE + " again"), (None, None), (None, ""), (3, ""), (3, None), (4, other), (5, "alone"), (5, "alone"), (None, "a b c d e f g h i j")]
+    got = cp.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), small)
+    expected = [(1, BASE), (1, other), (None, None), (None, ""), (3, ""), (3, None), (5, "alone"), (None, "a b c d e f g h i j")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+    docs = nothing
+    for _, f in cp.STAGES:
+        docs = f(spark, docs, small)
+        assert docs.count() == 0
+
+
 # --- 2 licences -----------------------------------------------------------------------------------------------------------
 
 
@@ -809,3 +902,13 @@ def test_licenses_against_brute_force(spark, odd, nothing):
     assert got == collections.Counter((i, *x) for i, t in enumerate(texts) for x in brute_licenses(t))
     assert {x[3] for x in got} >= {"MIT", "all-rights-reserved", "CC-BY-NC-4.0", "CC-BY-4.0", "GPL-2.0"}
     assert licenses.scan(odd).count() == 0 and licenses.scan(nothing).count() == 0 and licenses.scan(df, {}).count() == 0
+
+
+def test_whole_licence_texts(spark):
+    texts = {"MIT": "MIT License\n\nCopyright (c) 2020 A B\n\n" + licenses.GRANT + "\n\n" + licenses.AS_IS, "BSD-2-Clause": "Copyright 2020\n" + licenses.BSD.format(third=""), "ISC": licenses.ISC}
+    texts["BSD-3-Clause"] = "Copyright 2021\n" + licenses.TEMPLATES["BSD-3-Clause"][-1]
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    found = collections.defaultdict(set)
+    for r in licenses.scan(df).collect():
+        found[r["doc_id"]].add(r["license"])
+    assert all(found[k] == {k} for k in texts)
