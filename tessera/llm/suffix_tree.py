@@ -186,7 +186,7 @@ def places(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     scored = np.ones(n, bool)
     scored[starts[:-1]] = False
     at = np.flatnonzero(scored)
-    row = np.searchsorted(starts, at, "right") - 1
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts) - 1)
     return at, row, at - starts[row]
 
 
@@ -251,18 +251,28 @@ def _read(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _added(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(h, return_inverse=True)
-    return (h[order := np.argsort(h)], x[order]) if len(keys) == len(h) else (keys, np.bincount(at, x, len(keys)))
+    order = np.argsort(h)
+    h, x = h[order], x[order]
+    first, n = _runs(h)
+    return (h, x) if n == len(h) else (h[first], np.add.reduceat(x, first))
 
 
 def _summed(x: np.ndarray) -> np.ndarray:
-    """Columns with equal first rows as one, their last rows added up."""
-    _, first, at = np.unique(x[0], return_index=True, return_inverse=True)
-    out = x[:, first]
-    out[-1] = np.bincount(at, x[-1].astype(np.float64), len(first)).astype(np.uint64)
+    """Columns with equal first rows as one, their last rows added up; sorted by the first row."""
+    order = np.argsort(x[0])
+    first, n = _runs(x[0][order])
+    out = x[:, order[first]]
+    if n:
+        out[-1] = np.add.reduceat(x[-1][order], first)
     return out
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where runs of equal sorted keys begin, and how many there are."""
+    first = np.flatnonzero(np.append(len(keys) > 0, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return first, len(first)
+
+
 def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
     """g, c and, of runs of several symbols, context (all but the last) and shorter (all but the first).
 
@@ -297,8 +307,11 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
                     often = sketch.has(runs)
                     at = at[often[at - n + 1] & often[at - n + 2]]
                     context, shorter = runs[at - n + 1], runs[at - n + 2]
-                    g, first, c = np.unique(joined(context, shorter), return_index=True, return_counts=True)
-                    held.append(np.stack([g, context[first], shorter[first], c.astype(np.uint64)]))
+                    g = joined(context, shorter)
+                    order = np.argsort(g)
+                    first, k = _runs(g[order])
+                    some = order[first]
+                    held.append(np.stack([g[some], context[some], shorter[some], np.diff(first, append=len(g)).astype(np.uint64)]))
                 if sum(x.shape[1] for x in held) > HELD:
                     held = [_summed(np.concatenate(held, 1))]
                     if held[0].shape[1] > HELD // 2:
@@ -448,7 +461,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
                 at, row, before = places(starts, len(s))
                 head = words.find(s[at])
                 is_head = head >= 0
-                tokens[a : a + k] = np.bincount(row, minlength=k)
+                tokens[a : a + k] = np.diff(starts) - 1
                 known[a : a + k] = np.bincount(row[is_head], minlength=k)
                 base[a : a + k] = np.bincount(row, np.where(is_head, log_base[head], log_none), minlength=k)
                 asked[WORDS_ASKED].append((s[at[~is_head]], a + row[~is_head]))
@@ -491,10 +504,12 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
                     lookup, v = tables[kind - 1]
                     found = lookup.find(np.frombuffer(x.as_buffer(), np.uint64))
                     of_key = np.frombuffer(y.as_buffer(), np.uint16 if 2 * len(found) == len(y.as_buffer()) else np.uint32)
-                    row, of = np.unique(of_key[found >= 0], return_inverse=True)
-                    if len(row):
-                        sums = np.bincount(of, v[found[found >= 0]], len(row))
-                        out.append((0, kind, uid, row.astype(np.uint32).tobytes(), np.stack([np.bincount(of, minlength=len(row)).astype(np.float64), sums]).tobytes()))
+                    here = of_key[found >= 0]
+                    if len(here):
+                        times = np.bincount(here)
+                        row = np.flatnonzero(times)
+                        sums = np.bincount(here, v[found[found >= 0]])[row]
+                        out.append((0, kind, uid, row.astype(np.uint32).tobytes(), np.stack([times[row].astype(np.float64), sums]).tobytes()))
             if out:
                 yield _rows(out)
 
