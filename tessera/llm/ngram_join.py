@@ -81,13 +81,15 @@ def _levels(profile: DataFrame) -> np.ndarray:
                 total[part] = total.get(part, 0) + np.frombuffer(cells.as_buffer(), np.uint8).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "cells"])
 
-    counts = np.zeros(CELLS, np.int64)
+    counts = np.zeros(CELLS, np.int32)
     summed = profile.where("part is not null").select("part", "cells").repartition(CELLS // PART, "part").mapInArrow(add, "part int, cells binary")
-    for r in summed.collect():
+    for r in summed.toLocalIterator():
         counts[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["cells"], np.int32)
     mean = counts.mean()
-    frequent = counts > max(8, mean + 6 * np.sqrt(mean))
-    return np.where(frequent, np.ceil(np.log2(counts + 1.0)), 0).astype(np.uint8)
+    frequent = np.flatnonzero(counts > max(8, mean + 6 * np.sqrt(mean)))
+    levels = np.zeros(CELLS, np.uint8)
+    levels[frequent] = np.ceil(np.log2(counts[frequent] + 1.0))
+    return levels
 
 
 def prefix(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
