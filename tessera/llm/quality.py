@@ -180,8 +180,9 @@ def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> tu
     w, b, v, c, t = np.zeros(m), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), np.zeros(m), 0.0, 1.0
     c = b
     for _ in range(steps):
-        r = _sigmoid(x @ v + c) - y
-        new = v - step * (x.T @ r / n)
+        # in single precision, as the rules' hits are: no copy of them in double
+        r = _sigmoid((x @ v.astype(np.float32)).astype(float) + c) - y
+        new = v - step * ((x.T @ r.astype(np.float32)).astype(float) / n)
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         bias = c - step * r.mean()
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -230,9 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     """
     label = F.min((F.col(label_col) >= 1).cast("int")).alias("__label")
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col), folds)).groupBy(F.col(id_col).alias("__id")).agg(label)
-    sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows).collect()
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(int(r[0]), int(r[1])) for r in sample], "__id long, __label int")
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
     rows = rows.groupBy("__id").agg(F.min("__label").alias("__label"), F.min("__text").alias("__text"))
     found = with_statistics(rows, "__text").select("__label", *(PREFIX + s for s in STATS)).toPandas().to_numpy(dtype=float)
