@@ -32,14 +32,14 @@ from tessera.llm import words as W
 from tessera.llm.common import Scratch, by_value, held_out, shuffles_dropped, small_batches, table
 
 #: Longest context.
-DEPTH = 2
+DEPTH = 3
 #: Shares of all training tokens from which a word (2,000,000 at most) and a run's value (1,000,000
 #: of a length at most) are broadcast; those of rarer ones are looked up in tables.
 MIN_HEAD, MIN_CACHED = 5e-7, 1e-6
 #: An entry is explicit from this count on, and if its count times its own log ratio in nats reaches this.
-MIN_COUNT, MIN_GAIN = 2, 6.0
+MIN_COUNT, MIN_GAIN = 2, 4.0
 #: A context stays if its divergence in nats, and that times its count, reach these.
-MIN_DIVERGENCE, MIN_EVIDENCE = 0.01, 10.0
+MIN_DIVERGENCE, MIN_EVIDENCE = 0.01, 6.0
 #: 64-bit words of a sketch at most, as a power of two (64 MB).
 SKETCH_BITS = 23
 #: Keys of a bucket, about; more keys take more buckets.
