@@ -359,16 +359,23 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     words, counts = _read(vocabulary.where(F.col("c") >= F.lit(tokens * MIN_HEAD)))
     less = F.log10((F.col("c") + SMOOTH) / F.lit(tokens + SMOOTH * (types + 1)))
     before = vocabulary.where(F.col("c") >= MIN_COUNT).select(F.col("h").alias("g"), "c", F.pow(F.lit(10.0), less).alias("prob"))
-    levels_of: list[tuple[DataFrame, DataFrame]] = []
+    tree: list[tuple[DataFrame, DataFrame]] = []
+    parts: list[DataFrame] = []
     for n in range(1, depth + 1):
+        last = n == depth and not keep_tree
         # a run's first and last n symbols occur at least as often as the run, so the joins lose none
         shared = spark.sparkContext.broadcast(Sketch.of(before.select("g")))
         found = scratch.save(_counts(texts, n + 1, bits_for(tokens), shared), hashes=True)
         shared.destroy()
         times = before.select(F.col("g").alias("context"), F.col("c").alias("times"))
         known = before.select(F.col("g").alias("shorter"), F.col("prob").alias("q"))
-        entries = scratch.save(found.join(known, "shorter").join(times, "context").select("g", "context", "c", "times", "q"), hashes=True)
+        # a table between the joins, so that the shuffle files of only one are there at a time
+        half = scratch.save(found.join(known, "shorter").select("g", "context", "c", "q"), hashes=True)
         scratch.drop(found)
+        entries = scratch.save(half.join(times, "context").select("g", "context", "c", "times", "q"), hashes=True)
+        scratch.drop(half)
+        if n > 1 and not keep_tree:
+            scratch.drop(before)
         p, q = F.col("c") / F.col("times"), F.col("q")
         tells = F.abs(F.col("c") * F.log(p / q)) >= MIN_GAIN
         mass = F.when(tells, (F.col("c") - DISCOUNT) / F.col("times"))
@@ -380,20 +387,24 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
         states = scratch.save(sums.where(stays).select("context", keep.alias("keep"), F.col("times").alias("state_times")), hashes=True)
         own = F.when(F.col("keep").isNotNull(), mass)
         spread = F.coalesce(F.col("keep") * q, q)
-        grown = entries.join(states, "context", "left").select("g", "c", (spread + F.coalesce(own, F.lit(0.0))).alias("prob"), F.log10(1 + own / spread).alias("v"))
-        before = scratch.save(grown, hashes=True)
+        value = F.log10(1 + own / spread).alias("v")
+        if last:
+            # no longer run asks for probabilities, so only what tells by itself meets the states
+            grams = entries.where(tells).join(states, "context").select("g", "c", value)
+        else:
+            grown = entries.join(states, "context", "left").select("g", "c", (spread + F.coalesce(own, F.lit(0.0))).alias("prob"), value)
+            before = scratch.save(grown, hashes=True)
+            grams = before.where("v is not null")
+        of_states = states.select(F.col("context").alias("key"), F.log10("keep").alias("v"), F.col("state_times").alias("c"))
+        parts.append(scratch.save(of_states.unionByName(grams.select(F.col("g").alias("key"), "v", "c")), hashes=True))
         scratch.drop(entries)
-        levels_of.append((states, before))
-    parts = [x for states, grams in levels_of for x in (states.select(F.col("context").alias("key"), F.log10("keep").alias("v"), F.col("state_times").alias("c")), grams.where("v is not null").select(F.col("g").alias("key"), "v", "c"))]
+        if keep_tree:
+            tree.append((states.select("context", "keep"), grams.select("g", (F.col("prob") * (1 - F.pow(F.lit(10.0), -F.col("v")))).alias("mass"))))
+        else:
+            scratch.drop(states)
     # a run may be an entry and a state, with the same count; their values are added where they are read
-    one = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "key long, v double, c long")
-    values = scratch.save(one, hashes=True)
-    tree = [(states.select("context", "keep"), grams.where("v is not null").select("g", (F.col("prob") * (1 - F.pow(F.lit(10.0), -F.col("v")))).alias("mass"))) for states, grams in levels_of]
-    if not keep_tree:
-        for pair in levels_of:
-            for x in pair:
-                scratch.drop(x)
-    return Model(tokens, types, depth, words, counts, tree if keep_tree else [], values), vocabulary
+    values = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "key long, v double, c long")
+    return Model(tokens, types, depth, words, counts, tree, values), vocabulary
 
 
 #: Kinds of rows that meet in a bucket, in this order: what a batch of texts knows already, the
