@@ -51,6 +51,8 @@ END = 0x1E0D0C0B0A09A7E5
 WORD_BITS = 10
 #: Distinct entries that a counting task holds before it passes them on.
 HELD = 700_000
+#: Passes in which rows are scored, each over its part of them.
+PASSES = 2
 #: Entries of a batch that a task passes on.
 BATCH_KEYS = 100_000
 
@@ -94,9 +96,9 @@ class Sketch:
         self.shift = np.uint64(64 - (len(self.bits).bit_length() - 1))
 
     @staticmethod
-    def of(keys: DataFrame) -> np.ndarray:
-        """The words of the filter of the only column of ``keys``, of 10 bits a key while SKETCH_BITS allows."""
-        power = min(SKETCH_BITS, max(4, math.ceil(math.log2(keys.count() * 10 / 64 + 1))))
+    def of(keys: DataFrame, n: int) -> np.ndarray:
+        """The words of the filter of the only column of ``keys``, about ``n`` rows, of 10 bits a key while SKETCH_BITS allows."""
+        power = min(SKETCH_BITS, max(4, math.ceil(math.log2(n * 10 / 64 + 1))))
         part = min(power, 16)
 
         def gather(batches):
@@ -273,13 +275,118 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return first, len(first)
 
 
+#: Columns of 64-bit numbers in sorted pieces, each of one bucket of its first column: what is looked up, and what asks.
+PACKED = "bucket int, kind int, x binary"
+TABLE, ASKING = range(2)
+
+
+class Dealer:
+    """Gathers columns of numbers and passes them on as pieces, sorted and dealt by the first column."""
+
+    def __init__(self, kind: int, bits: int):
+        self.kind, self.bits, self.held = kind, bits, []
+
+    def add(self, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(x)
+        if sum(x.shape[1] for x in self.held) > HELD:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            x = np.concatenate(self.held, 1)
+            self.held = []
+            yield from pieces(x[:, np.argsort(x[0])], self.kind, self.bits)
+
+
+def pieces(x: np.ndarray, kind: int, bits: int, skip: int = 0) -> Iterator[pa.RecordBatch]:
+    """Sorted columns dealt by the first; the first ``skip`` columns are left out."""
+    rows, size = [], 0
+    for bucket, a, b in dealt(x[0], bits):
+        rows.append((bucket, kind, x[skip:, a:b].tobytes()))
+        size += b - a
+        if size > BATCH_KEYS or b == x.shape[1]:
+            columns = zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["bucket", "kind", "x"])
+            rows, size = [], 0
+
+
+def _packed(rows: DataFrame, bits: int) -> DataFrame:
+    """A table of 64-bit columns as pieces."""
+
+    def run(batches):
+        dealer = Dealer(TABLE, bits)
+        for b in batches:
+            yield from dealer.add(np.stack([c.to_numpy().view(np.uint64) for c in b.columns]))
+        yield from dealer.rest()
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def _plain(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], names=names)
+
+
+def _unpacked(packed: DataFrame, width: int, pick, schema: str) -> DataFrame:
+    """What ``pick`` makes of each piece of ``width`` columns, as rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0):
+                yield from _plain(pick(np.frombuffer(x.as_buffer(), np.uint64).reshape(width, -1)), names)
+
+    return packed.select("x").mapInArrow(run, schema)
+
+
+def _length(packed: DataFrame, width: int) -> int:
+    """Rows in pieces of ``width`` columns."""
+    return (packed.agg(F.coalesce(F.sum(F.octet_length("x").cast("long")), F.lit(0))).first()[0]) // (8 * width)
+
+
+def _met(table: DataFrame, asking: DataFrame, width: int, work, schema: str = PACKED) -> DataFrame:
+    """What ``work`` makes of the buckets of a table of ``width`` columns and of the pieces that ask it.
+
+    ``work`` gives functions of a bucket's sorted table, which is held, and a generator for what is
+    left at the end; the first function takes one asking piece at a time, so a key may have any
+    number of rows, and the second ends the bucket.
+    """
+
+    def run(batches):
+        each, after, finish = work()
+        bucket, held, table, lookup = None, [], None, None
+
+        def end():
+            if lookup is not None:
+                yield from after(bucket, table)
+
+        for b in batches:
+            for k, kind, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if k != bucket:
+                    yield from end()
+                    bucket, held, table, lookup = k, [], None, None
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                if kind == TABLE:
+                    held.append(x.reshape(width, -1))
+                elif held or lookup is not None:
+                    if lookup is None:
+                        table = np.concatenate(held, 1)
+                        table = table[:, np.argsort(table[0])]
+                        lookup, held = Lookup(table[0]), []
+                    yield from each(table, lookup, x)
+        yield from end()
+        yield from finish()
+
+    met = table.unionByName(asking).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return met.mapInArrow(run, schema)
+
+
 def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
-    """g, c and, of runs of several symbols, context (all but the last) and shorter (all but the first).
+    """Of single symbols, g and c; of runs of several, pieces of shorter (all but the first), context (all but the last) and c.
 
     Single symbols are all counted. Of longer runs those are that occur MIN_COUNT times or more; by
     the sketch ``shared`` of runs one shorter that do, most others are not even gathered.
     """
-    names = ["g", "c", "context", "shorter"][: 2 if n == 1 else 4]
 
     def gather(batches):
         sketch = Sketch(shared.value) if shared else None
@@ -287,13 +394,7 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
 
         def out(x):
             # the hash of several symbols is made of the other columns again
-            rows, size = [], 0
-            for bucket, a, b in dealt(x[0], bits):
-                rows.append((bucket, x[0 if n == 1 else 1 :, a:b].tobytes()))
-                size += b - a
-                if size > BATCH_KEYS or b == x.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "x"])
-                    rows, size = [], 0
+            yield from pieces(x, ASKING, bits, skip=int(n > 1))
 
         for b in batches:
             for _, s, starts in streams(b.column(0)):
@@ -320,18 +421,18 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
             yield from out(_summed(np.concatenate(held, 1)))
 
     def merge(batches):
-        bucket, held = None, []
+        bucket, held, dealer = None, [], Dealer(ASKING, bits)
 
         def out():
             x = np.concatenate(held, 1)
-            x = _summed(np.concatenate([joined(x[0], x[1])[None], x]) if n > 1 else x)
-            x = x[:, x[-1] >= MIN_COUNT] if n > 1 else x
-            for a in range(0, x.shape[1], 100_000):
-                columns = [x[i, a : a + 100_000].view(np.int64) for i in (0, -1, *range(1, len(x) - 1))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            if n == 1:
+                yield from _plain([c.view(np.int64) for c in _summed(x)], ["g", "c"])
+            else:
+                x = _summed(np.concatenate([joined(x[0], x[1])[None], x]))
+                yield from dealer.add(x[[2, 1, 3]][:, x[-1] >= MIN_COUNT])
 
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, x in zip(b.column(0).to_pylist(), b.column(2), strict=True):
                 if k != bucket and held:
                     yield from out()
                     held = []
@@ -339,9 +440,95 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
                 held.append(np.frombuffer(x.as_buffer(), np.uint64).reshape(2 if n == 1 else 3, -1))
         if held:
             yield from out()
+        yield from dealer.rest()
+
+    packed = texts.mapInArrow(gather, PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(merge, "g long, c long" if n == 1 else PACKED)
+
+
+def _gains(c: np.ndarray, times: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries: their share of their context, its log ratio to their suffix's, their mass if they are explicit (or 0)."""
+    c, times, q = c.astype(np.float64), times.astype(np.float64), q.view(np.float64)
+    p = c / times
+    ratio = np.log(p / q)
+    return p, ratio, np.where(np.abs(c * ratio) >= MIN_GAIN, (c - DISCOUNT) / times, 0.0)
+
+
+def _suffixed(bits: int):
+    """Pieces of runs by their context: context, shorter, c and what the shorter context gives their last symbol."""
+
+    def work():
+        dealer = Dealer(ASKING, bits)
+
+        def each(table, lookup, x):
+            shorter, context, c = x.reshape(3, -1)
+            at = lookup.find(shorter)
+            on = at >= 0
+            yield from dealer.add(np.stack([context[on], shorter[on], c[on], table[2][at[on]]]))
+
+        return each, lambda bucket, table: (), dealer.rest
+
+    return work
 
-    packed = texts.mapInArrow(gather, "bucket int, x binary").repartition("bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(merge, ", ".join(f"{x} long" for x in names))
+
+def _judged():
+    """Pieces of contexts: context, times, and the mass that is kept for the shorter one, or NaN if it is no state."""
+    sums: list[np.ndarray] = []
+
+    def each(table, lookup, x):
+        context, _, c, q = x.reshape(4, -1)
+        at = lookup.find(context)
+        on = at >= 0
+        at, c, q = at[on], c[on], q[on]
+        if not sums:
+            sums.append(np.zeros((4, table.shape[1])))
+        p, ratio, mass = _gains(c, table[1][at], q)
+        first, n = _runs(at)
+        if n:
+            sums[0][:, at[first]] += np.add.reduceat(np.stack([p, q.view(np.float64), p * ratio, mass]), first, axis=1)
+        yield from ()
+
+    def after(bucket, table):
+        p, q, d, mass = sums.pop()
+        times = table[1].astype(np.float64)
+        rest_p, rest_q = np.maximum(1 - p, 1e-9), np.maximum(1 - q, 1e-9)
+        divergence = d + rest_p * np.log(rest_p / rest_q)
+        stays = (divergence >= MIN_DIVERGENCE) & (divergence * times >= MIN_EVIDENCE) & (mass > 0)
+        keep = np.where(stays, np.clip(1 - mass, 1e-9, 1.0), np.nan)
+        some = p > 0
+        x = np.stack([table[0][some], table[1][some], keep[some].view(np.uint64)])
+        if x.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([TABLE], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["bucket", "kind", "x"])
+
+    return each, after, lambda: ()
+
+
+def _grown(bits: int, last: bool):
+    """Pieces of runs: their hash, c, probability and value as an entry (NaN: none); of the last level rows of those with a value."""
+
+    def work():
+        dealer = Dealer(TABLE, bits)
+
+        def each(table, lookup, x):
+            context, shorter, c, q = x.reshape(4, -1)
+            at = lookup.find(context)
+            on = at >= 0
+            at, context, shorter, c, q = at[on], context[on], shorter[on], c[on], q[on]
+            keep = table[2].view(np.float64)[at]
+            _, _, mass = _gains(c, table[1][at], q)
+            state = ~np.isnan(keep)
+            own = np.where(state, mass, 0.0)
+            spread = np.where(state, keep * q.view(np.float64), q.view(np.float64))
+            v = np.where(own > 0, np.log10(1 + own / spread), np.nan)
+            if last:
+                some = own > 0
+                yield from _plain([joined(context[some], shorter[some]).view(np.int64), v[some], c[some].view(np.int64)], ["key", "v", "c"])
+            else:
+                yield from dealer.add(np.stack([joined(context, shorter), c, (spread + own).view(np.uint64), v.view(np.uint64)]))
+
+        return each, lambda bucket, table: (), dealer.rest
+
+    return work
 
 
 def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int = DEPTH, keep_tree: bool = False) -> tuple[Model, DataFrame]:
@@ -357,53 +544,51 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     vocabulary = scratch.save(_counts(texts, 1, WORD_BITS).withColumnRenamed("g", "h"), hashes=True)
     tokens, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     words, counts = _read(vocabulary.where(F.col("c") >= F.lit(tokens * MIN_HEAD)))
-    less = F.log10((F.col("c") + SMOOTH) / F.lit(tokens + SMOOTH * (types + 1)))
-    before = vocabulary.where(F.col("c") >= MIN_COUNT).select(F.col("h").alias("g"), "c", F.pow(F.lit(10.0), less).alias("prob"))
+    bits = bits_for(tokens)
+    prob = (F.col("c") + SMOOTH) / F.lit(tokens + SMOOTH * (types + 1))
+    before = scratch.save(_packed(vocabulary.where(F.col("c") >= MIN_COUNT).select("h", "c", prob.alias("prob"), F.lit(float("nan")).alias("v")), bits))
     tree: list[tuple[DataFrame, DataFrame]] = []
     parts: list[DataFrame] = []
+    valued = "key long, v double, c long"
+
+    def of_states(x):
+        keep = x[2].view(np.float64)
+        some = ~np.isnan(keep)
+        return [x[0][some].view(np.int64), np.log10(keep[some]), x[1][some].view(np.int64)]
+
+    def of_runs(x):
+        v = x[3].view(np.float64)
+        some = ~np.isnan(v)
+        return [x[0][some].view(np.int64), v[some], x[1][some].view(np.int64)]
+
+    def masses(x):
+        v = x[3].view(np.float64)
+        some = ~np.isnan(v)
+        return [x[0][some].view(np.int64), x[2].view(np.float64)[some] * (1 - 10.0 ** -v[some])]
+
     for n in range(1, depth + 1):
         last = n == depth and not keep_tree
-        # a run's first and last n symbols occur at least as often as the run, so the joins lose none
-        shared = spark.sparkContext.broadcast(Sketch.of(before.select("g")))
-        found = scratch.save(_counts(texts, n + 1, bits_for(tokens), shared), hashes=True)
+        # a run's first and last n symbols occur at least as often as the run, so nothing is lost where they meet
+        shared = spark.sparkContext.broadcast(Sketch.of(_unpacked(before, 4, lambda x: [x[0].view(np.int64)], "g long"), _length(before, 4)))
+        found = scratch.save(_counts(texts, n + 1, bits, shared))
         shared.destroy()
-        times = before.select(F.col("g").alias("context"), F.col("c").alias("times"))
-        known = before.select(F.col("g").alias("shorter"), F.col("prob").alias("q"))
-        # a table between the joins, so that the shuffle files of only one are there at a time
-        half = scratch.save(found.join(known, "shorter").select("g", "context", "c", "q"), hashes=True)
+        half = scratch.save(_met(before, found, 4, _suffixed(bits)))
         scratch.drop(found)
-        entries = scratch.save(half.join(times, "context").select("g", "context", "c", "times", "q"), hashes=True)
+        states = scratch.save(_met(before, half, 4, _judged))
+        scratch.drop(before)
+        grown = scratch.save(_met(states, half, 3, _grown(bits, last), valued if last else PACKED), hashes=last)
         scratch.drop(half)
-        if n > 1 and not keep_tree:
-            scratch.drop(before)
-        p, q = F.col("c") / F.col("times"), F.col("q")
-        tells = F.abs(F.col("c") * F.log(p / q)) >= MIN_GAIN
-        mass = F.when(tells, (F.col("c") - DISCOUNT) / F.col("times"))
-        sums = entries.groupBy("context").agg(F.max("times").alias("times"), F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"), F.coalesce(F.sum(mass), F.lit(0.0)).alias("mass"))
-        rest_p, rest_q = F.greatest(1 - F.col("p"), F.lit(1e-9)), F.greatest(1 - F.col("q"), F.lit(1e-9))
-        divergence = F.col("d") + rest_p * F.log(rest_p / rest_q)
-        keep = F.least(F.greatest(1 - F.col("mass"), F.lit(1e-9)), F.lit(1.0))
-        stays = (divergence >= MIN_DIVERGENCE) & (divergence * F.col("times") >= MIN_EVIDENCE) & (F.col("mass") > 0)
-        states = scratch.save(sums.where(stays).select("context", keep.alias("keep"), F.col("times").alias("state_times")), hashes=True)
-        own = F.when(F.col("keep").isNotNull(), mass)
-        spread = F.coalesce(F.col("keep") * q, q)
-        value = F.log10(1 + own / spread).alias("v")
+        parts.append(scratch.save(_unpacked(states, 3, of_states, valued), hashes=True))
         if last:
-            # no longer run asks for probabilities, so only what tells by itself meets the states
-            grams = entries.where(tells).join(states, "context").select("g", "c", value)
+            parts.append(grown)
         else:
-            grown = entries.join(states, "context", "left").select("g", "c", (spread + F.coalesce(own, F.lit(0.0))).alias("prob"), value)
-            before = scratch.save(grown, hashes=True)
-            grams = before.where("v is not null")
-        of_states = states.select(F.col("context").alias("key"), F.log10("keep").alias("v"), F.col("state_times").alias("c"))
-        parts.append(scratch.save(of_states.unionByName(grams.select(F.col("g").alias("key"), "v", "c")), hashes=True))
-        scratch.drop(entries)
+            parts.append(scratch.save(_unpacked(grown, 4, of_runs, valued), hashes=True))
+            before = grown
         if keep_tree:
-            tree.append((states.select("context", "keep"), grams.select("g", (F.col("prob") * (1 - F.pow(F.lit(10.0), -F.col("v")))).alias("mass"))))
-        else:
-            scratch.drop(states)
+            tree.append((scratch.save(parts[-2].select(F.col("key").alias("context"), F.pow(F.lit(10.0), F.col("v")).alias("keep"))), scratch.save(_unpacked(grown, 4, masses, "g long, mass double"))))
+        scratch.drop(states)
     # a run may be an entry and a state, with the same count; their values are added where they are read
-    values = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "key long, v double, c long")
+    values = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], valued)
     return Model(tokens, types, depth, words, counts, tree, values), vocabulary
 
 
@@ -454,7 +639,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
     size = model.tokens + SMOOTH * (model.types + 1)
     rarer = vocabulary.where(F.col("c") < F.lit(model.tokens * MIN_HEAD)).select("h", F.log10((F.col("c") + SMOOTH) / F.lit(size)).alias("v"))
     log_base, log_none = np.log10(model.base(model.counts)), math.log10(SMOOTH / size)
-    shared = spark.sparkContext.broadcast((model.words, log_base, cached, cached_v, Sketch.of(model.values.select("key"))))
+    shared = spark.sparkContext.broadcast((model.words, log_base, cached, cached_v, Sketch.of(model.values.select("key"), model.values.count())))
     depth, bits = model.depth, bits_for(max(others.count(), model.types))
 
     def ask(batches):
@@ -547,10 +732,15 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
         if now is not None:
             yield out()
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(ask, ROWS)
-    met = rows.unionByName(_values(rarer, WORDS, bits)).unionByName(_values(others, RUNS, bits)).repartition("bucket").sortWithinPartitions("bucket", "kind", "uid")
-    known = met.mapInArrow(answer, ROWS).repartition("uid").sortWithinPartitions("uid", "kind")
-    out = known.mapInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    done = []
+    for k in range(PASSES):
+        # a pass over a part of the rows needs its share of the disk for what they ask
+        asked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k).mapInArrow(ask, ROWS)
+        met = asked.unionByName(_values(rarer, WORDS, bits)).unionByName(_values(others, RUNS, bits)).repartition("bucket").sortWithinPartitions("bucket", "kind", "uid")
+        known = met.mapInArrow(answer, ROWS).repartition("uid").sortWithinPartitions("uid", "kind")
+        done.append(scratch.save(known.mapInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")))
+    out = reduce(DataFrame.unionByName, done)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
