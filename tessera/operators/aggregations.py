@@ -14,6 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Entries:
+    """A collection key by key: an input's entries (structs of key and value), one value of a key's, and the result of a list of entries."""
+
+    of: Callable[[Column], Column]
+    one: Callable[[Column], Column]
+    gather: Callable[[Column], Column]
+
+
 @dataclass(frozen=True)
 class Aggregation:
     """``states`` of an input column, ``merge`` of state columns, ``final`` value of a state.
@@ -30,13 +39,15 @@ class Aggregation:
     size: int = 1
     #: The aggregation for inputs of a type, where that decides.
     by_type: Callable[[str], Aggregation] | None = None
+    #: Collections over rows of a table meet key by key in a frame of their own, so that no task holds a group's inputs.
+    entries: Entries | None = None
 
     def typed(self, kind: str) -> Aggregation:
         return self if self.by_type is None else self.by_type(kind)
 
 
-def _one(make: Callable[[Column], Column], merge: Callable[[Column], Column] | None = None, final: Callable[[Column], Column] = lambda c: c) -> Aggregation:
-    return Aggregation(lambda c: [make(c)], lambda s: [(merge or make)(s[0])], lambda s: final(s[0]))
+def _one(make: Callable[[Column], Column], merge: Callable[[Column], Column] | None = None, final: Callable[[Column], Column] = lambda c: c, entries: Entries | None = None) -> Aggregation:
+    return Aggregation(lambda c: [make(c)], lambda s: [(merge or make)(s[0])], lambda s: final(s[0]), entries=entries)
 
 
 def _average(options):
@@ -81,6 +92,11 @@ def _merged_map(c: Column) -> Column:
     return F.when(F.size(last) > 0, F.map_from_entries(last))
 
 
+ELEMENTS = Entries(lambda c: F.transform(c, lambda x: F.struct(x.alias("key"), F.lit(1).alias("value"))), F.max, lambda x: _nonempty(F.array_sort(F.transform(x, lambda e: e["key"]))))
+LAST_OF_KEY = Entries(F.map_entries, F.max, lambda x: F.when(F.size(x) > 0, F.map_from_entries(F.array_sort(x))))
+SUM_OF_KEY = Entries(lambda c: F.map_entries(c.cast("map<string,bigint>")), lambda v: F.coalesce(F.sum(v), F.lit(0)), lambda x: F.map_from_entries(F.array_sort(x)))
+
+
 def _union(options):
     """The union of sets or of maps, as the inputs are; of plain values, the set of them."""
 
@@ -138,10 +154,10 @@ KEYS: dict[str, Callable[[dict], Aggregation]] = {
     "COALESCE": _coalesce,
     "EMPTY": lambda o: _one(lambda c: F.max(F.lit(None)), F.max),
     "UNION": _union,
-    "UNION_SET": lambda o: _one(lambda c: _nonempty(F.array_sort(F.array_distinct(_flat(c))))),
+    "UNION_SET": lambda o: _one(lambda c: _nonempty(F.array_sort(F.array_distinct(_flat(c)))), entries=ELEMENTS),
     "UNION_LIST": lambda o: _one(lambda c: _nonempty(_flat(c))),
-    "UNION_MAP": lambda o: _one(_merged_map),
-    "ATOMIC_LONG_MAP": lambda o: _one(_sum_map),
+    "UNION_MAP": lambda o: _one(_merged_map, entries=LAST_OF_KEY),
+    "ATOMIC_LONG_MAP": lambda o: _one(_sum_map, entries=SUM_OF_KEY),
     "APPROX_COUNT_DISTINCT": lambda o: Aggregation(lambda c: [F.hll_sketch_agg(c)], lambda s: [F.hll_union_agg(s[0])], lambda s: F.hll_sketch_estimate(s[0])),
     "expression": lambda o: Aggregation(lambda c: [c], lambda s: [F.raise_error(F.lit("an expression does not aggregate again"))], lambda s: s[0], opaque=True),
 }

@@ -307,7 +307,7 @@ class Planner:
             walk(n)
         groups: dict[tuple, list[Leaf]] = {}
         for leaf in found.values():
-            apart = (repr(leaf.filter), id(leaf)) if leaf.agg.ranked else repr(leaf.filter) if leaf.agg.opaque else None
+            apart = (repr(leaf.filter), id(leaf)) if leaf.agg.ranked or self.entrywise(leaf) else repr(leaf.filter) if leaf.agg.opaque else None
             groups.setdefault((frozenset(leaf.group_by), apart), []).append(leaf)
         # conditions of opaque leaves must be the scan's; they join the plain leaves if these have the same
         for (g, apart), own in [x for x in groups.items() if isinstance(x[0][1], str)]:
@@ -336,6 +336,9 @@ class Planner:
         if own[0].agg.ranked:
             self.values[id(own[0])] = self.ranked(own[0])
             return
+        if self.entrywise(own[0]):
+            self.values[id(own[0])] = self.united(own[0])
+            return
         if hasattr(self.table, "states"):
             df, columns = self.table.states(self, g, [*own, *more])
         else:
@@ -469,6 +472,25 @@ class Planner:
                 df = df.withColumn(c, F.lit(GENERATED))
         return Value(Frame(df, leaf.group_by), F.col(name))
 
+    def entrywise(self, leaf: Leaf) -> bool:
+        return leaf.agg.entries is not None and not leaf.empty and not hasattr(self.table, "states")
+
+    def united(self, leaf: Leaf) -> Value:
+        """A collection out of its entries: those of a key are one, on the map side first, before a group's keys are gathered."""
+        entries, g = leaf.agg.entries, [c for c in leaf.group_by if self.known(c)]
+        df = self.base(list(dict.fromkeys([*g, *leaf.inputs(self.table), *(c for c in sorted(leaf.filter.columns()) if self.known(c))])))
+        if leaf.filter != fl.ALL:
+            df = df.where(leaf.filter.on(lambda c: F.col(f"`{c}`") if self.known(c) else None))
+        keys = [F.col(f"`{c}`") for c in g]
+        df = df.select(*keys, F.explode_outer(entries.of(leaf.value())).alias("__e"))
+        df = df.groupBy(*keys, F.col("__e.key").alias("__k"), F.col("__e").isNotNull().alias("__there")).agg(entries.one(F.col("__e.value")).alias("__x"))
+        name = f"__v{next(self.counter)}"
+        df = df.groupBy(*keys).agg(entries.gather(F.collect_list(F.when(F.col("__there"), F.struct(F.col("__k").alias("key"), F.col("__x").alias("value"))))).alias(name))
+        for c in leaf.group_by:
+            if c not in g:
+                df = df.withColumn(c, F.lit(GENERATED))
+        return Value(Frame(df, leaf.group_by), F.col(name))
+
     def value(self, n: Node) -> Value:
         if id(n) not in self.values:
             self.values[id(n)] = self.evaluate(n)

@@ -34,7 +34,7 @@ def grouping_sets(c: Cube, measures: Sequence[str], sets: Iterable[Sequence[str]
     q, _ = c.prepared(CubeQuery(tuple(measures), every, filter))
     planner = c.planner(q)
     nodes = [planner.node(m, q.filter, every, None) for m in measures]
-    plain = all(isinstance(planner.resolve(m), ms.Aggregator) and not n.agg.opaque and not n.agg.ranked for m, n in zip(measures, nodes, strict=True)) and not hasattr(c.table, "states")
+    plain = all(isinstance(planner.resolve(m), ms.Aggregator) and not n.agg.opaque and not n.agg.ranked and n.agg.entries is None for m, n in zip(measures, nodes, strict=True)) and not hasattr(c.table, "states")
     if plain:
         df, columns = planner.states(every, nodes)
         # Spark's grouping sets as an explicit expansion of the pre-aggregated rows

@@ -189,6 +189,21 @@ def test_maps(spark):
     assert got["x"] == ({"p": 3, "q": 5}, {"p": 2, "q": 5})
 
 
+def test_collections_meet_key_by_key(spark):
+    data = [("x", {"p": 1}, ["b", None]), ("x", {"p": 2, "q": None}, ["b", "a"]), ("y", None, []), (None, {}, None), (None, {"r": 4}, ["c"])]
+    t = tb.Table(spark.createDataFrame(data, "g string, m map<string,long>, s array<string>"))
+    of = [ms.Aggregator("sum", "m", "ATOMIC_LONG_MAP"), ms.Aggregator("any", "m", "UNION_MAP"), ms.Aggregator("set", "s", "UNION_SET"), ms.count_rows("n")]
+    c = Cube("c", t, Forest.of(*of, ms.Filtrator("in_x", "set", fl.where("g", "x"))))
+    got = {r["g"]: tuple(r)[1:] for r in c.query("sum", "any", "set", "n", "in_x", group_by="g").collect()}
+    assert got["x"] == ({"p": 3, "q": 0}, {"p": 2, "q": None}, ["a", "b", None], 2, ["a", "b", None])
+    assert got["y"] == ({}, None, None, 1, None)
+    assert got[None] == ({"r": 4}, {"r": 4}, ["c"], 2, None)
+    assert tuple(c.query("sum", "set").first()) == ({"p": 3, "q": 0, "r": 4}, ["a", "b", "c", None])
+    assert tuple(c.query("any", "set", filter=fl.where("g", "nowhere")).first()) == (None, None)
+    plan = c.query("sum", group_by="g")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "Generate explode" in plan
+
+
 def test_coarser_groupings_come_from_one_scan(spark):
     c = cube(spark, SPARSE, ms.sum_("k1"), ms.Aggregator("mean", "k1", "AVG"), ms.Partitionor("n", ("k1",), ("b",), "CONSTANT", {"constant": 1}))
     q, _ = c.prepared(CubeQuery(("k1", "mean", "n"), ("a",)))
