@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from tessera.llm.common import Scratch, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Hash buckets of a source; only the rows of the bucket in which the fraction ends are ordered.
-BUCKETS = 4096
+#: A source's rows are dealt by the first hex digits of their hash, three or as many as leave about so
+#: many rows or fewer in a bucket; only the rows of the bucket in which the fraction ends are ordered.
+DIGITS, BUCKET_ROWS = 3, 250_000
 #: Up to so many sources, their table (about 60 bytes a row) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -61,8 +62,12 @@ def mix(docs: DataFrame, max_epochs: float = 3, budget: float = 1.0, seed: str =
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
     own = [F.col(f"`{c}`").alias(f"__in_{c}") for c in keep or []]
     narrow = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), key.alias("key")]
-    bucket = F.conv(F.substring("key", 1, 3), 16, 10).cast("int")
-    rows = scratch.save(docs.select(*narrow)).withColumn("bucket", bucket)
+    rows = scratch.save(docs.select(*narrow))
+    n, digits = rows.count(), DIGITS
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    bucket = F.conv(F.substring("key", 1, digits), 16, 10).cast("long")
+    rows = rows.withColumn("bucket", bucket)
     summed = scratch.save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")))
     plan = targets(summed.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, budget)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))

@@ -642,6 +642,14 @@ def test_mixing_targets_against_rounds(spark):
     assert all(got[s][1] == pytest.approx(expected[s]) for s in sizes)
 
 
+def test_mixing_buckets_do_not_matter(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    before = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == before
+
+
 def test_mixing_takes_near_targets(spark, small, odd, nothing):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = mixing.mix(docs).collect()
