@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,15 @@ def scratch_root(spark: SparkSession) -> str:
 @contextlib.contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Within, Spark deletes an execution's shuffle files as soon as it ends, rather than when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within, a setting of the session has this value."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -63,7 +69,26 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         with shuffles_dropped(self.spark):
-            df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
+            self._writer(df, hashes).parquet(path)
+        return self._read(df, path)
+
+    def save_apart(self, df: DataFrame, column: str, parts: list[list[int]]) -> list[DataFrame]:
+        """Write ``df`` in a folder for each value of an integer column, and read those of each of ``parts``; ``drop`` deletes a part of one value."""
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        # a file for each value is open at once, so rows need not be sorted by it
+        with shuffles_dropped(self.spark), _set(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):
+            self._writer(df, True).partitionBy(column).parquet(path)
+        whole, out = self._read(df, path), []
+        for values in parts:
+            out.append(whole.where(F.col(column).isin(values)).select(*df.columns))
+            out[-1]._scratch_path = f"{path}/{column}={values[0]}"  # type: ignore[attr-defined]
+        return out
+
+    def _writer(self, df: DataFrame, hashes: bool) -> DataFrameWriter:
+        return df.write.option("parquet.enable.dictionary", str(not hashes).lower())
+
+    def _read(self, df: DataFrame, path: str) -> DataFrame:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out

@@ -18,6 +18,7 @@ frequent runs, and a sketch of those that the tables hold.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
@@ -96,8 +97,8 @@ class Sketch:
         self.shift = np.uint64(64 - (len(self.bits).bit_length() - 1))
 
     @staticmethod
-    def of(keys: DataFrame, n: int) -> np.ndarray:
-        """The words of the filter of the only column of ``keys``, about ``n`` rows, of 10 bits a key while SKETCH_BITS allows."""
+    def of(packed: DataFrame, width: int, n: int) -> np.ndarray:
+        """The words of the filter of the first of ``width`` columns in pieces, about ``n`` rows, of 10 bits a key while SKETCH_BITS allows."""
         power = min(SKETCH_BITS, max(4, math.ceil(math.log2(n * 10 / 64 + 1))))
         part = min(power, 16)
 
@@ -119,10 +120,11 @@ class Sketch:
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["segment", "at", "m"])
 
             for b in batches:
-                held.append(b.column(0).to_numpy().view(np.uint64))
-                if sum(map(len, held)) > HELD:
-                    yield out()
-                    held = []
+                for x in b.column(0):
+                    held.append(np.frombuffer(x.as_buffer(), np.uint64).reshape(width, -1)[0])
+                    if sum(map(len, held)) > HELD:
+                        yield out()
+                        held = []
             if sum(map(len, held)):
                 yield out()
 
@@ -136,8 +138,8 @@ class Sketch:
                 yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["segment", "words"])
 
         bits = np.zeros(1 << power, np.uint64)
-        with shuffles_dropped(keys.sparkSession):
-            made = keys.mapInArrow(gather, "segment int, at binary, m binary").repartition("segment").mapInArrow(unite, "segment int, words binary").collect()
+        with shuffles_dropped(packed.sparkSession):
+            made = packed.select("x").mapInArrow(gather, "segment int, at binary, m binary").repartition("segment").mapInArrow(unite, "segment int, words binary").collect()
         for r in made:
             bits[r["segment"] << part : (r["segment"] + 1) << part] = np.frombuffer(r["words"], np.uint64)
         return bits
@@ -206,7 +208,7 @@ def dealt(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 @dataclass
 class Model:
-    """The tree: head words, and tables of all values (key, v, c) and, if kept, of the states (context, keep) and explicit entries (g, mass) of each depth."""
+    """The tree: head words, all values as pieces (key, v, c) by ``bits`` and, if kept, tables of the states (context, keep) and explicit entries (g, mass) of each depth."""
 
     tokens: int
     types: int
@@ -215,6 +217,7 @@ class Model:
     counts: np.ndarray
     tree: list[tuple[DataFrame, DataFrame]]
     values: DataFrame
+    bits: int
 
     @cached_property
     def contexts(self) -> list[tuple[Lookup, np.ndarray]]:
@@ -275,9 +278,10 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return first, len(first)
 
 
-#: Columns of 64-bit numbers in sorted pieces, each of one bucket of its first column: what is looked up, and what asks.
+#: Columns of 64-bit numbers in sorted pieces, each of one bucket of its first column: what is looked
+#: up, what asks, and the values of states and of explicit entries (key, v, c).
 PACKED = "bucket int, kind int, x binary"
-TABLE, ASKING = range(2)
+TABLE, ASKING, STATES, ENTRIES = range(4)
 
 
 class Dealer:
@@ -298,6 +302,30 @@ class Dealer:
             yield from pieces(x[:, np.argsort(x[0])], self.kind, self.bits)
 
 
+class Spool:
+    """Columns of numbers to be read again: up to HELD rows in memory, those before them in a temporary file that goes when it is closed."""
+
+    def __init__(self):
+        self.held, self.file, self.shapes = [], None, []
+
+    def add(self, x: np.ndarray) -> None:
+        self.held.append(x)
+        if sum(x.shape[1] for x in self.held) > HELD:
+            x = np.concatenate(self.held, 1)
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.write(x.tobytes())
+            self.shapes.append(x.shape)
+            self.held = []
+
+    def read(self) -> Iterator[np.ndarray]:
+        if self.file:
+            with self.file as f:
+                f.seek(0)
+                for rows, n in self.shapes:
+                    yield np.frombuffer(f.read(8 * rows * n), np.uint64).reshape(rows, n)
+        yield from self.held
+
+
 def pieces(x: np.ndarray, kind: int, bits: int, skip: int = 0) -> Iterator[pa.RecordBatch]:
     """Sorted columns dealt by the first; the first ``skip`` columns are left out."""
     rows, size = [], 0
@@ -471,62 +499,58 @@ def _suffixed(bits: int):
     return work
 
 
-def _judged():
-    """Pieces of contexts: context, times, and the mass that is kept for the shorter one, or NaN if it is no state."""
-    sums: list[np.ndarray] = []
-
-    def each(table, lookup, x):
-        context, _, c, q = x.reshape(4, -1)
-        at = lookup.find(context)
-        on = at >= 0
-        at, c, q = at[on], c[on], q[on]
-        if not sums:
-            sums.append(np.zeros((4, table.shape[1])))
-        p, ratio, mass = _gains(c, table[1][at], q)
-        first, n = _runs(at)
-        if n:
-            sums[0][:, at[first]] += np.add.reduceat(np.stack([p, q.view(np.float64), p * ratio, mass]), first, axis=1)
-        yield from ()
-
-    def after(bucket, table):
-        p, q, d, mass = sums.pop()
-        times = table[1].astype(np.float64)
-        rest_p, rest_q = np.maximum(1 - p, 1e-9), np.maximum(1 - q, 1e-9)
-        divergence = d + rest_p * np.log(rest_p / rest_q)
-        stays = (divergence >= MIN_DIVERGENCE) & (divergence * times >= MIN_EVIDENCE) & (mass > 0)
-        keep = np.where(stays, np.clip(1 - mass, 1e-9, 1.0), np.nan)
-        some = p > 0
-        x = np.stack([table[0][some], table[1][some], keep[some].view(np.uint64)])
-        if x.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([TABLE], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["bucket", "kind", "x"])
-
-    return each, after, lambda: ()
-
-
 def _grown(bits: int, last: bool):
-    """Pieces of runs: their hash, c, probability and value as an entry (NaN: none); of the last level rows of those with a value."""
+    """Of pieces of runs by their context: the values of states (STATES) and of entries (ENTRIES) and, but for the last level, the runs' hash, c, probability and value as an entry (NaN: none).
+
+    A bucket's runs are read twice: for the mass that each context keeps for the shorter one, and for what it gives its runs.
+    """
 
     def work():
-        dealer = Dealer(TABLE, bits)
+        runs, entries = Dealer(TABLE, bits), Dealer(ENTRIES, bits)
+        now: list[tuple[np.ndarray, Spool]] = []
 
         def each(table, lookup, x):
             context, shorter, c, q = x.reshape(4, -1)
             at = lookup.find(context)
             on = at >= 0
-            at, context, shorter, c, q = at[on], context[on], shorter[on], c[on], q[on]
-            keep = table[2].view(np.float64)[at]
-            _, _, mass = _gains(c, table[1][at], q)
-            state = ~np.isnan(keep)
-            own = np.where(state, mass, 0.0)
-            spread = np.where(state, keep * q.view(np.float64), q.view(np.float64))
-            v = np.where(own > 0, np.log10(1 + own / spread), np.nan)
-            if last:
-                some = own > 0
-                yield from _plain([joined(context[some], shorter[some]).view(np.int64), v[some], c[some].view(np.int64)], ["key", "v", "c"])
-            else:
-                yield from dealer.add(np.stack([joined(context, shorter), c, (spread + own).view(np.uint64), v.view(np.uint64)]))
-
-        return each, lambda bucket, table: (), dealer.rest
+            at, shorter, c, q = at[on], shorter[on], c[on], q[on]
+            if not now:
+                now.append((np.zeros((4, table.shape[1])), Spool()))
+            sums, spool = now[0]
+            p, ratio, mass = _gains(c, table[1][at], q)
+            first, n = _runs(at)
+            if n:
+                sums[:, at[first]] += np.add.reduceat(np.stack([p, q.view(np.float64), p * ratio, mass]), first, axis=1)
+                spool.add(np.stack([at.view(np.uint64), shorter, c, q]))
+            yield from ()
+
+        def after(bucket, table):
+            (p, q, d, mass), spool = now.pop()
+            times = table[1].astype(np.float64)
+            rest_p, rest_q = np.maximum(1 - p, 1e-9), np.maximum(1 - q, 1e-9)
+            divergence = d + rest_p * np.log(rest_p / rest_q)
+            stays = (divergence >= MIN_DIVERGENCE) & (divergence * times >= MIN_EVIDENCE) & (mass > 0)
+            keep = np.where(stays, np.clip(1 - mass, 1e-9, 1.0), 1.0)
+            x = np.stack([table[0][stays], np.log10(keep[stays]).view(np.uint64), table[1][stays]])
+            if x.shape[1]:
+                yield from pieces(x, STATES, bits)
+            for at, shorter, c, q in spool.read():
+                at, q = at.view(np.int64), q.view(np.float64)
+                state = stays[at]
+                _, _, mass = _gains(c, table[1][at], q)
+                own, spread = np.where(state, mass, 0.0), keep[at] * q
+                key, some = joined(table[0][at], shorter), own > 0
+                v = np.full(len(at), np.nan)
+                v[some] = np.log10(1 + own[some] / spread[some])
+                yield from entries.add(np.stack([key[some], v[some].view(np.uint64), c[some]]))
+                if not last:
+                    yield from runs.add(np.stack([key, c, (spread + own).view(np.uint64), v.view(np.uint64)]))
+
+        def finish():
+            yield from entries.rest()
+            yield from runs.rest()
+
+        return each, after, finish
 
     return work
 
@@ -549,17 +573,9 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     before = scratch.save(_packed(vocabulary.where(F.col("c") >= MIN_COUNT).select("h", "c", prob.alias("prob"), F.lit(float("nan")).alias("v")), bits))
     tree: list[tuple[DataFrame, DataFrame]] = []
     parts: list[DataFrame] = []
-    valued = "key long, v double, c long"
 
-    def of_states(x):
-        keep = x[2].view(np.float64)
-        some = ~np.isnan(keep)
-        return [x[0][some].view(np.int64), np.log10(keep[some]), x[1][some].view(np.int64)]
-
-    def of_runs(x):
-        v = x[3].view(np.float64)
-        some = ~np.isnan(v)
-        return [x[0][some].view(np.int64), v[some], x[1][some].view(np.int64)]
+    def keeps(x):
+        return [x[0].view(np.int64), 10.0 ** x[1].view(np.float64)]
 
     def masses(x):
         v = x[3].view(np.float64)
@@ -569,27 +585,22 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", depth: int =
     for n in range(1, depth + 1):
         last = n == depth and not keep_tree
         # a run's first and last n symbols occur at least as often as the run, so nothing is lost where they meet
-        shared = spark.sparkContext.broadcast(Sketch.of(_unpacked(before, 4, lambda x: [x[0].view(np.int64)], "g long"), _length(before, 4)))
+        shared = spark.sparkContext.broadcast(Sketch.of(before, 4, _length(before, 4)))
         found = scratch.save(_counts(texts, n + 1, bits, shared))
         shared.destroy()
         half = scratch.save(_met(before, found, 4, _suffixed(bits)))
         scratch.drop(found)
-        states = scratch.save(_met(before, half, 4, _judged))
-        scratch.drop(before)
-        grown = scratch.save(_met(states, half, 3, _grown(bits, last), valued if last else PACKED), hashes=last)
+        grown, values, states = scratch.save_apart(_met(before, half, 4, _grown(bits, last)), "kind", [[TABLE], [STATES, ENTRIES], [STATES]])
         scratch.drop(half)
-        parts.append(scratch.save(_unpacked(states, 3, of_states, valued), hashes=True))
-        if last:
-            parts.append(grown)
-        else:
-            parts.append(scratch.save(_unpacked(grown, 4, of_runs, valued), hashes=True))
-            before = grown
+        scratch.drop(before)
+        parts.append(values)
+        before = grown
         if keep_tree:
-            tree.append((scratch.save(parts[-2].select(F.col("key").alias("context"), F.pow(F.lit(10.0), F.col("v")).alias("keep"))), scratch.save(_unpacked(grown, 4, masses, "g long, mass double"))))
-        scratch.drop(states)
+            tree.append((scratch.save(_unpacked(states, 3, keeps, "context long, keep double")), scratch.save(_unpacked(grown, 4, masses, "g long, mass double"))))
+    scratch.drop(before)
     # a run may be an entry and a state, with the same count; their values are added where they are read
-    values = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], valued)
-    return Model(tokens, types, depth, words, counts, tree, values), vocabulary
+    values = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PACKED)
+    return Model(tokens, types, depth, words, counts, tree, values, bits), vocabulary
 
 
 #: Kinds of rows that meet in a bucket, in this order: what a batch of texts knows already, the
@@ -634,13 +645,22 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
     """
     spark = docs.sparkSession
     small_batches(spark)
-    cached, cached_v = _read(model.values.where(F.col("c") >= F.lit(model.tokens * MIN_CACHED)).select("key", "v"))
-    others = model.values.where(F.col("c") < F.lit(model.tokens * MIN_CACHED)).select("key", "v")
+    least = model.tokens * MIN_CACHED
+
+    def frequent(x):
+        some = x[2] >= least
+        return [x[0][some].view(np.int64), x[1][some].view(np.float64)]
+
+    cached, cached_v = _read(_unpacked(model.values, 3, frequent, "key long, v double"))
+    n_values = _length(model.values, 3)
     size = model.tokens + SMOOTH * (model.types + 1)
     rarer = vocabulary.where(F.col("c") < F.lit(model.tokens * MIN_HEAD)).select("h", F.log10((F.col("c") + SMOOTH) / F.lit(size)).alias("v"))
     log_base, log_none = np.log10(model.base(model.counts)), math.log10(SMOOTH / size)
-    shared = spark.sparkContext.broadcast((model.words, log_base, cached, cached_v, Sketch.of(model.values.select("key"), model.values.count())))
-    depth, bits = model.depth, bits_for(max(others.count(), model.types))
+    shared = spark.sparkContext.broadcast((model.words, log_base, cached, cached_v, Sketch.of(model.values, 3, n_values)))
+    depth, bits = model.depth, min(model.bits, bits_for(max(n_values, model.types)))
+    # the first column of a piece is its keys, the second their values; a bucket of the fit lies within one of fewer bits
+    third = "octet_length(x) div 3"
+    runs = model.values.select(F.shiftright("bucket", model.bits - bits).alias("bucket"), F.lit(RUNS).alias("kind"), F.lit(0).cast("long").alias("uid"), F.expr(f"substring(x, 1, {third})").alias("x"), F.expr(f"substring(x, 1 + {third}, {third})").alias("y"))
 
     def ask(batches):
         words, log_base, cached, cached_v, bloom = shared.value
@@ -737,7 +757,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
     for k in range(PASSES):
         # a pass over a part of the rows needs its share of the disk for what they ask
         asked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == k).mapInArrow(ask, ROWS)
-        met = asked.unionByName(_values(rarer, WORDS, bits)).unionByName(_values(others, RUNS, bits)).repartition("bucket").sortWithinPartitions("bucket", "kind", "uid")
+        met = asked.unionByName(_values(rarer, WORDS, bits)).unionByName(runs).repartition("bucket").sortWithinPartitions("bucket", "kind", "uid")
         known = met.mapInArrow(answer, ROWS).repartition("uid").sortWithinPartitions("uid", "kind")
         done.append(scratch.save(known.mapInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")))
     out = reduce(DataFrame.unionByName, done)

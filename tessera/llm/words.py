@@ -34,12 +34,13 @@ class _Tables:
             space = (codes == 32) | ((codes >= 9) & (codes <= 13))
             lower = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
             value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-            t.update(space=space, value=value[lower], n=0)
+            t.update(space=space, solid=~space, value=value[lower], n=0)
         if t["n"] < n:
             size = max(n, SLICE + 1)
             up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
             up[0] = down[0] = 1
-            t.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
+            # values and total are room that each call of words_of fills anew
+            t.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down), values=np.empty(size, np.uint64), total=np.zeros(size, np.uint64))
         return t
 
 
@@ -81,7 +82,7 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     t = _Tables.get(n + 1)
-    word = ~t["space"][data]
+    word = np.take(t["solid"], data, mode="clip")
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edge = offsets[1:-1]
@@ -92,8 +93,10 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     stops[:-1] &= ~word[1:]
     stops[edge[edge > 0] - 1] = word[edge[edge > 0] - 1]
     end = np.flatnonzero(stops) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(t["value"][data] * t["up"][:n], out=total[1:])
+    values, total = t["values"][:n], t["total"][: n + 1]
+    np.take(t["value"], data, out=values, mode="clip")
+    np.multiply(values, t["up"][:n], out=values)
+    np.cumsum(values, out=total[1:])
     h = (total[end] - total[start]) * t["down"][start]
     h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     return h, np.searchsorted(start, offsets, "left"), start, end

@@ -790,6 +790,22 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
     assert got[60] > 0.5 * once["score"]
 
 
+def test_suffix_tree_values_travel_in_pieces(spark, small):
+    """Scoring reads the values in sorted pieces, never a row each; what is kept of a bucket's runs beyond HELD waits in a file."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    model, _ = suffix_tree.fit(docs, Scratch(spark, "t"))
+    found = [np.frombuffer(r["x"], np.uint64).reshape(3, -1) for r in model.values.collect()]
+    assert len(found) < sum(x.shape[1] for x in found) / 20 and all((np.diff(x[0].astype(object)) > 0).all() for x in found)
+
+
+def test_spool_gives_back_what_it_got(monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HELD", 10)
+    spool, given = suffix_tree.Spool(), [np.arange(3 * n, dtype=np.uint64).reshape(3, n) for n in (4, 0, 7, 1, 25, 2)]
+    for x in given:
+        spool.add(x)
+    assert spool.file and (np.concatenate(list(spool.read()), 1) == np.concatenate(given, 1)).all() and spool.file.closed
+
+
 # --- executors that have no copy of the repository -----------------------------------------------------------------------
 
 
