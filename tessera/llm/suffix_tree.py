@@ -74,17 +74,13 @@ class Lookup:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The position of each key, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        at = np.arange(len(h))
         pos = self.starts[(h >> self.shift).astype(np.int64)]
-        end = len(self.keys) - 1
+        at = np.flatnonzero(self.keys[pos] < h)
         while len(at):
-            k, x = self.keys[pos], h[at]
-            hit = (k == x) & (pos < end)
-            out[at[hit]] = pos[hit]
-            on = k < x
-            at, pos = at[on], pos[on] + 1
-        return out
+            pos[at] += 1
+            at = at[self.keys[pos[at]] < h[at]]
+        pos[(self.keys[pos] != h) | (pos == len(self.keys) - 1)] = -1
+        return pos
 
 
 @dataclass

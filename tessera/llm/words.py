@@ -15,7 +15,7 @@ import pyarrow as pa
 from tessera.llm.common import by_value
 
 #: Bytes of text handled at once (a longer text is handled alone).
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Base of the polynomial (odd, so that it has an inverse modulo 2**64) and that inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -34,13 +34,14 @@ class _Tables:
             space = (codes == 32) | ((codes >= 9) & (codes <= 13))
             lower = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
             value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-            t.update(space=space, solid=~space, value=value[lower], n=0)
+            value = value[lower]
+            t.update(space=space, value=value, inner=np.where(space, np.uint64(0), value), n=0)
         if t["n"] < n:
             size = max(n, SLICE + 1)
             up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
             up[0] = down[0] = 1
-            # values and total are room that each call of words_of fills anew
-            t.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down), values=np.empty(size, np.uint64), total=np.zeros(size, np.uint64))
+            # values is room that each call of words_of fills anew
+            t.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down), values=np.empty(size, np.uint64))
         return t
 
 
@@ -82,23 +83,25 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     t = _Tables.get(n + 1)
-    word = np.take(t["solid"], data, mode="clip")
+    word = ((data - np.uint8(9)) > np.uint8(4)) & (data != np.uint8(32))
     begins = word.copy()
-    begins[1:] &= ~word[:-1]
+    np.greater(word[1:], word[:-1], out=begins[1:])
     edge = offsets[1:-1]
     edge = edge[edge < n]
     begins[edge] = word[edge]
     start = np.flatnonzero(begins)
     stops = word.copy()
-    stops[:-1] &= ~word[1:]
+    np.greater(word[:-1], word[1:], out=stops[:-1])
     stops[edge[edge > 0] - 1] = word[edge[edge > 0] - 1]
     end = np.flatnonzero(stops) + 1
-    values, total = t["values"][:n], t["total"][: n + 1]
-    np.take(t["value"], data, out=values, mode="clip")
+    # what is between words adds nothing
+    values = t["values"][:n]
+    np.take(t["inner"], data, out=values, mode="clip")
     np.multiply(values, t["up"][:n], out=values)
-    np.cumsum(values, out=total[1:])
-    h = (total[end] - total[start]) * t["down"][start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    h = np.add.reduceat(values, start) if len(start) else np.zeros(0, np.uint64)
+    h *= t["down"][start]
+    h += (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    h = mix(h)
     return h, np.searchsorted(start, offsets, "left"), start, end
 
 

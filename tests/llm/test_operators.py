@@ -806,6 +806,24 @@ def test_spool_gives_back_what_it_got(monkeypatch):
     assert spool.file and (np.concatenate(list(spool.read()), 1) == np.concatenate(given, 1)).all() and spool.file.closed
 
 
+def test_lookups_find_what_is_there():
+    top = 2**64 - 1
+    keys = np.unique(np.random.default_rng(7).integers(0, top, 5000, dtype=np.uint64))
+    asked = np.concatenate([keys[::3], keys[::5] + np.uint64(1), np.array([0, top], np.uint64)])
+    for table in (keys, np.append(keys, np.uint64(top)), keys[:0]):
+        place = {k: i for i, k in enumerate(table.tolist())}
+        assert suffix_tree.Lookup(table).find(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+
+
+def test_a_worker_holds_little_for_words(monkeypatch):
+    monkeypatch.setattr(W._Tables, "made", {})
+    assert len(list(W.shingle_sets(pa.array(["a b c d e f " * 200_000, "", None], pa.string())))) == 3
+    small = sum(x.nbytes for x in W._Tables.made.values() if isinstance(x, np.ndarray))
+    monkeypatch.setattr(W._Tables, "made", {})
+    assert len(list(W.shingle_sets(pa.array(["a b c d e f " * 100] * 3000, pa.string())))) == 3000
+    assert sum(x.nbytes for x in W._Tables.made.values() if isinstance(x, np.ndarray)) < 8 << 20 < small  # a text is never cut
+
+
 # --- executors that have no copy of the repository -----------------------------------------------------------------------
 
 
