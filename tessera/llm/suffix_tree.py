@@ -60,27 +60,43 @@ BATCH_KEYS = 100_000
 
 @dataclass
 class Lookup:
-    """Positions of 64-bit keys in a sorted table."""
+    """Positions of 64-bit keys in a sorted table.
+
+    Slots part the range that the keys take, not all numbers: keys of a bucket share their leading bits.
+    """
 
     keys: np.ndarray
     starts: np.ndarray = field(init=False)
+    least: np.uint64 = field(init=False)
     shift: np.uint64 = field(init=False)
 
     def __post_init__(self):
-        bits = max(4, int(math.log2(len(self.keys) + 1)))
-        self.shift = np.uint64(64 - bits)
-        self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        n = len(self.keys)
+        self.least = self.keys[0] if n else np.uint64(0)
+        span = int(self.keys[-1]) - int(self.least) if n else 0
+        shift = max(0, span.bit_length() - max(4, int(math.log2(n + 1)) + 1))
+        self.shift = np.uint64(shift)
+        count = np.bincount(((self.keys - self.least) >> self.shift).view(np.int64), minlength=(span >> shift) + 1)
+        self.starts = np.zeros(len(count), np.int32 if n < 1 << 31 else np.int64)
+        np.cumsum(count[:-1], out=self.starts[1:])
         self.keys = np.append(self.keys, np.uint64(2**64 - 1))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The position of each key, or -1."""
-        pos = self.starts[(h >> self.shift).astype(np.int64)]
-        at = np.flatnonzero(self.keys[pos] < h)
+        # those below the range wrap around; whatever slot they are given, no key there equals them
+        out = np.take(self.starts, ((h - self.least) >> self.shift).view(np.int64), mode="clip").astype(np.int64)
+        key = np.take(self.keys, out, mode="clip")
+        at = np.flatnonzero(key < h)
+        pos, wanted = out[at], h[at]
         while len(at):
-            pos[at] += 1
-            at = at[self.keys[pos[at]] < h[at]]
-        pos[(self.keys[pos] != h) | (pos == len(self.keys) - 1)] = -1
-        return pos
+            pos += 1
+            here = np.take(self.keys, pos, mode="clip")
+            low = here < wanted
+            ends = at[~low]
+            out[ends], key[ends] = pos[~low], here[~low]
+            at, pos, wanted = at[low], pos[low], wanted[low]
+        out[(key != h) | (out == len(self.keys) - 1)] = -1
+        return out
 
 
 @dataclass
@@ -143,7 +159,7 @@ class Sketch:
     def has(self, h: np.ndarray) -> np.ndarray:
         """Whether each key may be among those of the filter; always true for those that are."""
         m = masks(h)
-        return self.bits[(h >> self.shift).astype(np.int64)] & m == m
+        return np.take(self.bits, (h >> self.shift).view(np.int64), mode="clip") & m == m
 
 
 def masks(h: np.ndarray) -> np.ndarray:
@@ -158,8 +174,9 @@ def streams(texts: pa.Array):
         h, first, _, _ = W.words_of(offsets, data)
         n = len(offsets) - 1
         starts = first + 2 * np.arange(n + 1)
-        out = np.full(starts[-1], END, np.uint64)
-        out[np.arange(len(h)) + 2 * np.repeat(np.arange(n), np.diff(first)) + 1] = h
+        out, word = np.full(starts[-1], END, np.uint64), np.ones(starts[-1], bool)
+        word[starts[:-1]] = word[starts[1:] - 1] = False
+        out[word] = h
         yield a, out, starts
 
 
@@ -190,6 +207,15 @@ def places(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return at, row, at - starts[row]
 
 
+def apart(starts: np.ndarray, n: int) -> np.ndarray:
+    """Whether each run of n symbols, by its first, reaches from one row into another."""
+    out = np.zeros(max(0, starts[-1] - n + 1), bool)
+    for k in range(1, n):
+        at = starts[1:-1] - k
+        out[at[(at >= 0) & (at < len(out))]] = True
+    return out
+
+
 def bits_for(n: int) -> int:
     """How many leading bits of a hash make its bucket, for ``n`` keys."""
     return max(4, math.ceil(math.log2(n / BUCKET_KEYS + 1)))
@@ -197,9 +223,12 @@ def bits_for(n: int) -> int:
 
 def dealt(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """bucket, first and past the last of each bucket's keys, which are sorted."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-    yield from zip(bucket[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(keys)][: len(edge)], strict=True)
+    if not len(keys):
+        return
+    shift = np.uint64(64 - bits)
+    first, last = int(keys[0] >> shift), int(keys[-1] >> shift)
+    edge = [0, *np.searchsorted(keys, np.arange(first + 1, last + 1, dtype=np.uint64) << shift).tolist(), len(keys)]
+    yield from ((bucket, a, b) for bucket, (a, b) in enumerate(zip(edge, edge[1:], strict=False), first) if a < b)
 
 
 @dataclass
@@ -422,16 +451,14 @@ def _counts(texts: DataFrame, n: int, bits: int, shared=None) -> DataFrame:
 
         for b in batches:
             for _, s, starts in streams(b.column(0)):
-                at, _, before = places(starts, len(s))
-                at = at[before >= n - 1]
                 if n == 1:
-                    g, c = np.unique(s[at], return_counts=True)
+                    g, c = np.unique(np.delete(s, starts[:-1]), return_counts=True)
                     held.append(np.stack([g, c.astype(np.uint64)]))
                 else:
                     runs = levels(s, n - 1)[-1]
                     often = sketch.has(runs)
-                    at = at[often[at - n + 1] & often[at - n + 2]]
-                    context, shorter = runs[at - n + 1], runs[at - n + 2]
+                    at = np.flatnonzero(often[:-1] & often[1:] & ~apart(starts, n))
+                    context, shorter = runs[at], runs[at + 1]
                     g = joined(context, shorter)
                     order = np.argsort(g)
                     first, k = _runs(g[order])
@@ -661,7 +688,10 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
     def ask(batches):
         words, log_base, cached, cached_v, bloom = shared.value
         words, cached, sketch = Lookup(words), Lookup(cached), Sketch(bloom)
-        log_base, cached_v = np.append(log_base, 0.0), np.append(cached_v, 0.0)
+        log_base, cached_v = np.append(log_base, log_none), np.append(cached_v, 0.0)
+        # what the most frequent words are worth as contexts is found with the words
+        found = cached.find(words.keys[:-1])
+        word_v, open_ = np.append(cached_v[found], 0.0), np.append(found < 0, True)
         task = TaskContext.get().partitionId()
         for no, b in enumerate(batches):
             uid, n = (task << 32) | no, b.num_rows
@@ -670,23 +700,32 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch
             asked: dict[int, list] = {WORDS_ASKED: [], RUNS_ASKED: []}
             for a, s, starts in streams(b.column(1)):
                 k = len(starts) - 1
-                at, row, before = places(starts, len(s))
-                head = words.find(s[at])
-                is_head = head >= 0
+                row = np.repeat(np.arange(k), np.diff(starts))
+                head = words.find(s)
+                # all symbols are scored but the END before each text
+                rare, v = head < 0, log_base[head]
+                rare[starts[:-1]], v[starts[:-1]] = False, 0.0
                 tokens[a : a + k] = np.diff(starts) - 1
-                known[a : a + k] = np.bincount(row[is_head], minlength=k)
-                base[a : a + k] = np.bincount(row, np.where(is_head, log_base[head], log_none), minlength=k)
-                asked[WORDS_ASKED].append((s[at[~is_head]], a + row[~is_head]))
+                rare = np.flatnonzero(rare)
+                known[a : a + k] = tokens[a : a + k] - np.bincount(row[rare], minlength=k)
+                base[a : a + k] = np.bincount(row, v, minlength=k)
+                asked[WORDS_ASKED].append((s[rare], a + row[rare]))
                 for j, runs in enumerate(levels(s, depth + 1) if depth else [], 1):
-                    # of one symbol, the contexts; a longer run that ends its text is no context of a state
-                    on = before >= j - 1
-                    h, r = (s[at - 1], row) if j == 1 else (runs[at[on] - j + 1], row[on])
-                    some = sketch.has(h)
-                    h, r = h[some], r[some]
-                    found = cached.find(h)
-                    full[a : a + k] += np.bincount(r, cached_v[found], minlength=k)
-                    left = found < 0
-                    asked[RUNS_ASKED].append((h[left], a + r[left]))
+                    if j == 1:
+                        # the contexts, all symbols but the END after each text
+                        v, left = word_v[head], open_[head]
+                        v[starts[1:] - 1], left[starts[1:] - 1] = 0.0, False
+                        full[a : a + k] += np.bincount(row, v, minlength=k)
+                        left = np.flatnonzero(left)
+                        left = left[sketch.has(runs[left])]
+                        found = cached.find(runs[left])
+                    else:
+                        # a run that ends its text is no context of a state
+                        left = np.flatnonzero(sketch.has(runs) & ~apart(starts, j))
+                        found = cached.find(runs[left])
+                    full[a : a + k] += np.bincount(row[left], cached_v[found], minlength=k)
+                    left = left[found < 0]
+                    asked[RUNS_ASKED].append((runs[left], a + row[left]))
             out = []
             for kind, parts in asked.items():
                 h, r = (np.concatenate(c) if c else np.zeros(0, np.uint64) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))

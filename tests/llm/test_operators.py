@@ -847,6 +847,27 @@ def test_lookups_find_what_is_there():
         assert suffix_tree.Lookup(table).find(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
 
 
+def test_lookups_in_a_bucket_part_its_keys():
+    """Keys of a bucket share their leading bits; a slot must still hold a few of them, not all."""
+    keys = np.unique(np.random.default_rng(8).integers(0, 2**64 - 1, 50_000, dtype=np.uint64))
+    for bits in (0, 4, 8, 12):
+        own = np.unique((keys >> np.uint64(bits)) | np.uint64((1 << bits) - 1) << np.uint64(64 - bits)) if bits else keys
+        table = suffix_tree.Lookup(own)
+        assert np.diff(np.append(table.starts, len(own))).max() < 16
+        asked = np.concatenate([own[::2], own[::2] + np.uint64(1), np.array([0, 1, 2**63, own[0] - 1, own[-1] + 1, 2**64 - 1], np.uint64)])
+        place = {k: i for i, k in enumerate(own.tolist())}
+        assert table.find(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+        assert [x for x in suffix_tree.dealt(own, 4)] == [(b, *np.searchsorted(own, np.array([b, b + 1]) * 2.0**60).tolist()) for b in np.unique(own >> np.uint64(60)).tolist()]
+
+
+def test_runs_that_reach_from_a_text_into_another():
+    starts = np.cumsum([0, 2, 2, 5, 2, 3, 9])
+    row = np.repeat(np.arange(6), np.diff(starts))
+    for n in (1, 2, 3, 4):
+        assert suffix_tree.apart(starts, n).tolist() == [row[i] != row[i + n - 1] for i in range(len(row) - n + 1)]
+    assert suffix_tree.apart(np.array([0, 2]), 4).tolist() == []
+
+
 def test_a_worker_holds_little_for_words(monkeypatch):
     monkeypatch.setattr(W._Tables, "made", {})
     assert len(list(W.shingle_sets(pa.array(["a b c d e f " * 200_000, "", None], pa.string())))) == 3
