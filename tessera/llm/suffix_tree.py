@@ -290,10 +290,19 @@ def _added(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _summed(x: np.ndarray) -> np.ndarray:
     """Columns with equal first rows as one, their last rows added up; sorted by the first row."""
     order = np.argsort(x[0])
-    first, n = _runs(x[0][order])
-    out = x[:, order[first]]
-    if n:
-        out[-1] = np.add.reduceat(x[-1][order], first)
+    first, n = _runs(np.take(x[0], order, mode="clip"))
+    out = _picked(x, order[first])
+    if n < len(order):
+        total = np.cumsum(np.take(x[-1], order, mode="clip"))
+        out[-1] = np.diff(total[np.append(first[1:], len(order)) - 1], prepend=np.uint64(0))
+    return out
+
+
+def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``x[:, at]``, column by column, which takes about half the time."""
+    out = np.empty((len(x), len(at)), x.dtype)
+    for c, o in zip(x, out, strict=True):
+        np.take(c, at, out=o, mode="clip")
     return out
 
 
@@ -324,7 +333,7 @@ class Dealer:
         if self.held:
             x = np.concatenate(self.held, 1)
             self.held = []
-            yield from pieces(x[:, np.argsort(x[0])], self.kind, self.bits)
+            yield from pieces(_picked(x, np.argsort(x[0])), self.kind, self.bits)
 
 
 class Spool:
@@ -424,7 +433,7 @@ def _met(table: DataFrame, asking: DataFrame, width: int, work, schema: str = PA
                 elif held or lookup is not None:
                     if lookup is None:
                         table = np.concatenate(held, 1)
-                        table = table[:, np.argsort(table[0])]
+                        table = _picked(table, np.argsort(table[0]))
                         lookup, held = Lookup(table[0]), []
                     yield from each(table, lookup, x)
         yield from end()
